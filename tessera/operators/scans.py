@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 from ..functions.bits import byte_unzigzag, byte_zigzag
 
 PIECE = 65_536
-_INSIDE = Window.partitionBy("img", "_piece").orderBy("i")
-_SO_FAR = _INSIDE.rowsBetween(Window.unboundedPreceding, 0)
-_PIECES = Window.partitionBy("img").orderBy("_piece")
-_EARLIER = _PIECES.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _inside():
+    return Window.partitionBy("img", "_piece").orderBy("i")
+
+
+def _pieces():
+    return Window.partitionBy("img").orderBy("_piece")
 
 
 def _cut(seq: DataFrame) -> DataFrame:
@@ -28,18 +32,18 @@ def running(seq: DataFrame, value: Column, out: str) -> DataFrame:
     """``seq`` with the sum of ``value`` up to and with each place."""
     cut = _cut(seq).withColumn("_v", value)
     totals = cut.groupBy("img", "_piece").agg(F.sum("_v").alias("_t"))
-    carried = totals.select("img", "_piece", F.coalesce(F.sum("_t").over(_EARLIER), F.lit(0)).alias("_from"))
+    carried = totals.select("img", "_piece", F.coalesce(F.sum("_t").over(_pieces().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_from"))
     met = cut.join(carried, ["img", "_piece"])
-    return met.withColumn(out, F.col("_from") + F.sum("_v").over(_SO_FAR)).drop("_piece", "_v", "_from")
+    return met.withColumn(out, F.col("_from") + F.sum("_v").over(_inside().rowsBetween(Window.unboundedPreceding, 0))).drop("_piece", "_v", "_from")
 
 
 def previous(seq: DataFrame, out: str, first: int = 0) -> DataFrame:
     """``seq`` with the value one place before; ``first`` where there is none."""
     cut = _cut(seq)
     ends = cut.groupBy("img", "_piece").agg(F.max_by("v", "i").alias("_last"))
-    carried = ends.select("img", "_piece", F.lag("_last").over(_PIECES).alias("_from"))
+    carried = ends.select("img", "_piece", F.lag("_last").over(_pieces()).alias("_from"))
     met = cut.join(carried, ["img", "_piece"])
-    return met.withColumn(out, F.coalesce(F.lag("v").over(_INSIDE), "_from", F.lit(first))).drop("_piece", "_from")
+    return met.withColumn(out, F.coalesce(F.lag("v").over(_inside()), "_from", F.lit(first))).drop("_piece", "_from")
 
 
 def _wrap(c: Column, width: int | None) -> Column:
