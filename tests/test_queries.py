@@ -1,5 +1,5 @@
 import pytest
-from conftest import same_as_sql
+from oracle import same_as_sql
 
 from tessera.queries import ORACLE_SQL, QUERIES
 
