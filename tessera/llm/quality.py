@@ -276,7 +276,7 @@ def judge(docs: DataFrame, spread: float = SPREAD, floor: float = FLOOR) -> Data
     measured = stage(measure(docs, model))
     limits = stage(bands(measured))
     judged = join_checked(measured.withColumn("_lang", F.coalesce("lang", F.lit(""))), limits, "_lang", "left")
-    away = floor + spread * F.col("stray") / F.sqrt("n_bytes")
+    away = floor + spread * F.col("stray") / F.sqrt(F.greatest("n_bytes", F.lit(1)))
     judged = judged.withColumn("low", F.col("mid") - away).withColumn("high", F.col("mid") + away).withColumn("base_failed", _failed())
     verdict = ~F.col("base_failed") & F.col("log_ppl").between(F.col("low"), F.col("high"))
     return judged.withColumn("kept", F.coalesce(verdict, F.lit(False))).drop("_lang", "mid", "stray")
