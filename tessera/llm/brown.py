@@ -47,6 +47,8 @@ SUFFIX = 3
 CLASSES = 48
 SWEEPS = 6
 LAMBDA = 5.0
+#: Steps of the histogram of counts for each power of two.
+COUNT_STEPS = 64
 #: Distinct words, and bigrams, that a task gathers before it sends them on.
 FLUSH_WORDS = 400_000
 FLUSH_TOKENS = 2_000_000
@@ -101,6 +103,27 @@ class Words:
         return words, at, items
 
 
+def _head(vocabulary: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """The most frequent words and their counts: at most HEAD words of at most HEAD_BYTES bytes.
+
+    A histogram of counts over log steps says from which count on all words fit, so that
+    no task sorts the vocabulary.
+    """
+    short = vocabulary.filter(F.length("word") <= HEAD_BYTES).withColumn("step", F.floor(F.log2("n") * COUNT_STEPS).cast("int"))
+    have = sorted(((r.step, r.k) for r in short.groupBy("step").agg(F.count("*").alias("k")).collect()), reverse=True)  # at most 64 * COUNT_STEPS rows
+    least, total = None, 0
+    for step, k in have:
+        total += k
+        if total > HEAD:
+            break
+        least = step
+    if least is None:
+        return [], np.empty(0, np.int64)
+    head = short.filter(F.col("step") >= least).select("word", "n").toArrow()
+    head = head.sort_by([("n", "descending"), ("word", "ascending")])
+    return head["word"].to_pylist(), head["n"].to_numpy()
+
+
 def _bigrams(shared):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, total, pending, size = Words(*shared.value), None, [], 0
@@ -208,9 +231,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     source = _sources(docs, id_col, text_col)
     train = source.filter(~F.col("held_out")).select("text")
     vocabulary = stage(train.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    short = vocabulary.filter(F.length("word") <= HEAD_BYTES)
-    head = short.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()  # at most HEAD rows of HEAD_BYTES bytes
-    words, counts = head["word"].to_pylist(), head["n"].to_numpy()
+    words, counts = _head(vocabulary)
 
     item = np.zeros(ITEMS * ITEMS, np.int64)
     pairs = train.mapInArrow(_bigrams(sc.broadcast((words, counts))), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
