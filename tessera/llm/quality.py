@@ -7,10 +7,12 @@ only 32 classes, a count table has at most 2**20 rows whatever the corpus holds,
 bounds the table that the driver turns into the model and the model that is broadcast.
 The model is stored as sorted arrays of n-gram hashes with log probabilities beside them.
 
-A language's lower and upper band lie around the median log perplexity of all its
-documents that pass the base rules. A short text strays further from it than a long one,
-as the mean of n terms does, so the bands are FLOOR + SPREAD * m / sqrt(n) away for a text
-of n bytes, where m is the median of |log perplexity - median| * sqrt(n).
+A language's lower and upper band lie around the median log perplexity of all its different
+texts that pass the base rules; copies count once. A short text strays further from it than
+a long one, as the mean of n terms does, so the bands are FLOOR + SPREAD * m / sqrt(n) away
+for a text of n bytes. m is the median of |log perplexity - median| * sqrt(n), but at least
+LEAST_STRAY times the median deviation of single terms within a text: near copies that make
+up most of a language would else draw the bands together around themselves.
 
 Defined cases: null text has no words and fails the base rules; a null language is a
 language of its own; repeated rows come back as often as they went in; with no document
@@ -34,6 +36,7 @@ BITS = 5
 CELLS = 1 << (ORDER * BITS)
 FLOOR = 0.03
 SPREAD = 5.0
+LEAST_STRAY = 0.4
 MIN_WORDS = 10
 WINDOW = 5
 #: Bytes whose n-grams are taken at once.
@@ -235,35 +238,42 @@ _STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def measure(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, th, lang, the statistics, n_bytes and log_ppl (null for empty text) of each row."""
+    """doc_id, th, lang, the statistics, n_bytes, log_ppl and its terms' deviation (null for empty text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model.parts())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = KneserNey.of(shared.value).dense()
         for batch in batches:
-            stats, scores, sizes = [], [], []
+            stats, scores, sizes, terms = [], [], [], []
             for t in batch.column(3):
                 b = t.as_py()
                 stats.append(statistics(b))
                 sizes.append(len(b or b""))
-                total = sum(float(table[g].sum(dtype=np.float64)) for g in grams(b or b""))
+                total = squares = 0.0
+                for g in grams(b or b""):
+                    p = table[g].astype(np.float64)
+                    total, squares = total + float(p.sum()), squares + float(p @ p)
                 scores.append(-total / len(b) if b else None)
+                terms.append(max(0.0, squares / len(b) - (total / len(b)) ** 2) ** 0.5 if b else None)
             columns = [pa.array([s[i] for s in stats], pa.int64()) for i in range(len(_STATS))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *columns, pa.array(sizes, pa.int64()), pa.array(scores, pa.float64())], ["doc_id", "th", "lang", *_STATS, "n_bytes", "log_ppl"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *columns, pa.array(sizes, pa.int64()), pa.array(scores, pa.float64()), pa.array(terms, pa.float64())], ["doc_id", "th", "lang", *_STATS, "n_bytes", "log_ppl", "term_sd"])
 
     source = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(lang_col).cast("string").alias("lang"),
         F.col(text_col).cast("binary").alias("text"),
     )
-    return source.mapInArrow(rows, "doc_id long, th long, lang string, " + ", ".join(f"{c} long" for c in _STATS) + ", n_bytes long, log_ppl double")
+    return source.mapInArrow(rows, "doc_id long, th long, lang string, " + ", ".join(f"{c} long" for c in _STATS) + ", n_bytes long, log_ppl double, term_sd double")
 
 
 def bands(measured: DataFrame) -> DataFrame:
     """_lang, mid, stray: each language's median log perplexity, and m (see above)."""
     passing = measured.filter(~_failed() & F.col("log_ppl").isNotNull()).withColumn("_lang", F.coalesce("lang", F.lit("")))
-    middle = stage(passing.groupBy("_lang").agg(F.percentile_approx("log_ppl", 0.5, 1000).alias("mid")))
-    away = join_checked(passing, middle, "_lang").withColumn("off", F.abs(F.col("log_ppl") - F.col("mid")) * F.sqrt("n_bytes"))
-    return away.groupBy("_lang").agg(F.first("mid").alias("mid"), F.percentile_approx("off", 0.5, 1000).alias("stray"))
+    each = passing.groupBy("_lang", "th").agg(*[F.min(c).alias(c) for c in ("log_ppl", "n_bytes", "term_sd")])
+    each = stage(each)
+    middle = stage(each.groupBy("_lang").agg(F.percentile_approx("log_ppl", 0.5, 1000).alias("mid"), F.percentile_approx("term_sd", 0.5, 1000).alias("sd")))
+    away = join_checked(each, middle, "_lang").withColumn("off", F.abs(F.col("log_ppl") - F.col("mid")) * F.sqrt("n_bytes"))
+    stray = F.greatest(F.percentile_approx("off", 0.5, 1000), F.first("sd") * LEAST_STRAY)
+    return away.groupBy("_lang").agg(F.first("mid").alias("mid"), stray.alias("stray"))
 
 
 def _failed():
