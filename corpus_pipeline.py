@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontam, packing, pii, quality, simhash
-from tessera.llm.common import stage, table
+from tessera.llm.common import discard, stage, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,5 +50,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for _, f in STAGES[:-1]:
-        docs = stage(f(spark, docs, sf_dir))
+        last, docs = docs, stage(f(spark, docs, sf_dir))
+        discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -58,7 +58,16 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{base}/{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing will read again; other DataFrames are left alone."""
+    for df in staged:
+        if path := getattr(df, "_staged_at", None):
+            _remove(df.sparkSession, path)
 
 
 def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import discard, stage
 
 WORDS = 4
 SEED = 42
@@ -187,6 +187,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
         new = stage(small.select("x.u", "x.v").filter("u <> v").distinct())
         same = new.count() == e.count() and new.exceptAll(e).isEmpty()
+        discard(e, large)
         e = new
         if same:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
