@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import Codec
+
 TURN_OPEN, TURN_MID, TURN_CLOSE = 50_300, 50_301, 50_302
 #: What the reserved ids look like in the printed form.
 MARKS = {TURN_OPEN: "<s>[INST:", TURN_MID: "]", TURN_CLOSE: "[/INST]</s>"}
@@ -44,25 +46,15 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
-def _codec():
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
-
-
 class Formatter:
     """Formats conversations and reads formatted ones back."""
 
     def __init__(self) -> None:
-        self.codec = _codec()
+        self.codec = Codec()
 
     def format(self, turns: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids and loss mask of a conversation given as (role, text)."""
-        texts = [escape(x) for turn in turns for x in turn]
-        segments = [np.array(e.ids, np.int64) for e in self.codec.encode_batch(texts, add_special_tokens=False)]
+        segments = [self.codec.encode(escape(x)).astype(np.int64) for turn in turns for x in turn]
         sizes = np.zeros((len(turns), 5), np.int64)
         sizes[:, [0, 2, 4]] = 1
         sizes[:, [1, 3]] = np.array([len(s) for s in segments], np.int64).reshape(-1, 2)
@@ -83,11 +75,10 @@ class Formatter:
         """From ids and mask alone: the turns, the text under the mask, and the printed form."""
         opens, mids, closes = (np.flatnonzero(ids == x) for x in (TURN_OPEN, TURN_MID, TURN_CLOSE))
         parts = [ids[a + 1 : b].tolist() for o, m, c in zip(opens, mids, closes) for a, b in ((o, m), (m, c))]
-        texts = self.codec.decode_batch(parts, skip_special_tokens=False) if parts else []
+        texts = [self.codec.decode(p) for p in parts]
         turns = [(unescape(texts[i]), unescape(texts[i + 1])) for i in range(0, len(texts), 2)]
         edge = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).astype(np.int8)))
-        spans = [ids[a:b].tolist() for a, b in edge.reshape(-1, 2)]
-        loss = "".join(unescape(x) for x in self.codec.decode_batch(spans, skip_special_tokens=False)) if spans else ""
+        loss = "".join(unescape(self.codec.decode(ids[a:b].tolist())) for a, b in edge.reshape(-1, 2))
         printed = "".join(MARKS[TURN_OPEN] + texts[i] + MARKS[TURN_MID] + texts[i + 1] + MARKS[TURN_CLOSE] for i in range(0, len(texts), 2))
         return turns, loss, printed
 
@@ -109,7 +100,7 @@ def formatted(conversations: DataFrame) -> DataFrame:
         for batch in batches:
             made = [make.format([(t["role"], t["text"]) for t in turns.as_py()]) for turns in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([m[0].tolist() for m in made], pa.list_(pa.int32())), pa.array([m[1].tolist() for m in made], pa.list_(pa.bool_()))],
+                [batch.column(0), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.bool_()))],
                 ["conv_id", "input_ids", "loss_mask"],
             )
 
@@ -124,7 +115,7 @@ def digest(made: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for ids, mask in zip(batch.column(1), batch.column(2)):
-                turns, loss, printed = make.read(np.array(ids.as_py(), np.int64), np.array(mask.as_py(), bool))
+                turns, loss, printed = make.read(ids.values.to_numpy(), mask.values.to_numpy(zero_copy_only=False))
                 said = "".join(f"{role}\n{text}\n" for role, text in turns).encode()
                 out.append((len(turns), hashlib.sha256(said).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(printed)))
             types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]

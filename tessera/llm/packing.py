@@ -21,10 +21,9 @@ gives an empty result.
 
 from __future__ import annotations
 
-import base64
 import zlib
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import rank_in_groups, stage
+from .tokens import Codec
 
 WINDOW = 2048
 END_ID = 1
@@ -44,38 +44,6 @@ ROUNDS = 400
 RANK_PARTS = 64
 
 
-def tokenizer(vocabulary: str | None = None) -> Callable[[str], np.ndarray]:
-    """Ids of a text under the byte-level BPE; strings of special tokens are ordinary text.
-
-    ``tiktoken`` reads the same vocabulary as ranks, gives the same ids about four times
-    as fast, and tests hold it against ``tokenizers``. A text on which it fails (its
-    pattern engine gives up on some extreme runs) goes to ``tokenizers``.
-    """
-    import public_tokenizers
-    import tiktoken
-    from tokenizers import Tokenizer
-
-    path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    slow: list[Tokenizer] = []
-
-    def encode(text: str) -> np.ndarray:
-        try:
-            return np.array(fast.encode_ordinary(text), np.uint32)
-        except BaseException as e:  # a panic of the library isn't an Exception
-            if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
-                raise
-            if not slow:
-                t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-                t.encode_special_tokens = True
-                slow.append(t)
-            return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
-
-    return encode
-
-
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt int"
 
 
@@ -84,7 +52,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     names = [f.split()[0] for f in _PIECE.split(", ")] + ["ids"] * keep_ids
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, n = tokenizer(), 0
+        encode, n = Codec().encode, 0
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
