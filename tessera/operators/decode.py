@@ -16,34 +16,43 @@ from pyspark.sql import DataFrame
 ESCAPE = 16
 
 
+def _leading() -> np.ndarray:
+    """Zeros before the first one of each 16 bits; 16 for none."""
+    table = np.full(1 << 16, ESCAPE, np.uint8)
+    for i in range(16):
+        table[1 << i : 2 << i] = 15 - i
+    return table
+
+
+LEADING = _leading()
+
+
 class Lanes:
     """A bit position in each of several packed bit strings."""
 
     def __init__(self, data: list[bytes], skip: np.ndarray | None = None):
         size = [len(d) for d in data]
-        self.bytes = np.frombuffer(b"".join(data) + b"\0" * 16, np.uint8)
+        joined = b"".join(data) + b"\0" * 16
+        # the eight bytes from each byte on, without a copy
+        self.words = np.ndarray(len(joined) - 7, ">u8", joined, strides=(1,))
         begin = np.concatenate(([0], np.cumsum(size)))[:-1].astype(np.int64)
         self.at = begin * 8 + (0 if skip is None else skip.astype(np.int64))
 
     def peek(self) -> np.ndarray:
         """The next 32 bits of each, the first one highest."""
-        byte, bit = self.at >> 3, (self.at & 7).astype(np.uint64)
-        word = np.zeros(len(self.at), np.uint64)
-        last = len(self.bytes) - 1
-        for i in range(5):
-            word = (word << np.uint64(8)) | self.bytes[np.minimum(byte + i, last)]
-        return (word >> (np.uint64(8) - bit)) & np.uint64(0xFFFFFFFF)
+        byte = np.minimum(self.at >> 3, len(self.words) - 1)
+        word = self.words[byte].astype(np.uint64)
+        return (word << (self.at & 7).astype(np.uint64)) >> np.uint64(32)
 
     def take(self, n: np.ndarray) -> np.ndarray:
-        """n bits of each as a number, n at most 24."""
+        """n bits of each as a number, n at most 32."""
         out = self.peek() >> (np.uint64(32) - n.astype(np.uint64))
         self.at = self.at + n
-        return np.where(n > 0, out, 0).astype(np.int64)
+        return out.astype(np.int64)
 
     def zeros(self) -> np.ndarray:
         """Reads a prefix: zeros up to a one, which is read too; or 16 zeros alone."""
-        top = (self.peek() >> np.uint64(16)).astype(np.int64)
-        q = np.where(top > 0, 15 - np.floor(np.log2(np.maximum(top, 1))).astype(np.int64), ESCAPE)
+        q = LEADING[self.peek() >> np.uint64(16)].astype(np.int64)
         self.at = self.at + np.minimum(q + 1, ESCAPE)
         return q
 
@@ -52,13 +61,19 @@ def grouped(data: list[bytes], k: np.ndarray, n: int, skip: np.ndarray | None =
     """n symbols of each block whose code puts four prefix parts before four suffixes."""
     lanes, k = Lanes(data, skip), k.astype(np.int64)
     out = np.zeros((len(k), n), np.int64)
+    low = (1 << k) - 1
     for g in range(0, n, 4):
-        for j in range(g, min(n, g + 4)):
+        last = min(n, g + 4)
+        for j in range(g, last):
             q = lanes.zeros()
-            top = lanes.take(np.where(q == ESCAPE, 8 - k, 0))
-            out[:, j] = np.where(q == ESCAPE, top, q) << k
-        for j in range(g, min(n, g + 4)):
-            out[:, j] |= lanes.take(k)
+            escaped = q == ESCAPE
+            if escaped.any():
+                q = np.where(escaped, lanes.take(np.where(escaped, 8 - k, 0)), q)
+            out[:, j] = q << k
+        rest = lanes.take(k * (last - g))  # at most 28 bits
+        for j in range(last - 1, g - 1, -1):
+            out[:, j] |= rest & low
+            rest >>= k
     return out
 
 

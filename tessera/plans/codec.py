@@ -21,7 +21,7 @@ ENCODED = "img long, width int, height int, ks binary, offsets array<long>, n_bi
 
 
 def _zigzag(u: np.ndarray) -> np.ndarray:
-    return np.where(u >= 128, 511 - 2 * u.astype(np.int32), 2 * u.astype(np.int32)).astype(np.uint8)
+    return (u << 1) ^ (0 - (u >> 7)).astype(np.uint8)
 
 
 def _unzigzag(z: np.ndarray) -> np.ndarray:
@@ -65,53 +65,73 @@ def plane_of(blocks: np.ndarray, width: int, height: int) -> bytes:
     return plane[:height, :width].tobytes()
 
 
+def _costs() -> np.ndarray:
+    """Bits of each byte under each k."""
+    n, k = np.arange(256), np.arange(8)[:, None]
+    return np.where(n >> k >= ESCAPE, 24, (n >> k) + 1 + k).astype(np.uint8)
+
+
+COSTS = _costs()
+
+
 def best_ks(blocks: np.ndarray) -> np.ndarray:
-    cost = []
-    for k in range(8):
-        q = blocks >> k
-        cost.append(np.where(q >= ESCAPE, 24, q.astype(np.int32) + 1 + k).sum(axis=1))
-    return np.argmin(np.stack(cost), axis=0)  # the first, so the smallest, of those that tie
-
-
-def bits_of(blocks: np.ndarray, ks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All bits of a stream, and where each half block begins."""
-    k = ks[:, None].astype(np.int64)
-    n = blocks.astype(np.int64)
-    q = n >> k
+    cost = np.stack([COSTS[k][blocks].sum(axis=1, dtype=np.int32) for k in range(8)])
+    return np.argmin(cost, axis=0)  # the first, so the smallest, of those that tie
+
+
+def words_of(blocks: np.ndarray, ks: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+    """The words of a stream, its bits, and where each half block begins.
+
+    Four symbols give five parts: each one's prefix, and all suffixes as one. A part ends at
+    a known bit and adds to one word or two; as parts share no bits, sums put them together.
+    """
+    if not len(blocks):
+        return np.zeros(0, np.uint32), 0, np.zeros(0, np.int64)
+    k = ks[:, None].astype(np.uint8)
+    q = blocks >> k
     escaped = q >= ESCAPE
-    head = np.where(escaped, ESCAPE + 8 - k, q + 1).reshape(-1, 4)
-    value = np.where(escaped, q, 1).reshape(-1, 4)
-    tail = np.broadcast_to(k, n.shape).reshape(-1, 4)
-    low = (n & ((1 << k) - 1)).reshape(-1, 4)
-    size = np.concatenate([head, tail], axis=1).ravel()
-    number = np.concatenate([value, low], axis=1).ravel()
-    end = np.cumsum(size)
-    out = np.zeros(int(end[-1]) if len(end) else 0, np.uint8)
-    for j in range(8):  # no part holds more than 8 bits besides its zeros
-        on = ((number >> j) & 1).astype(bool)
-        out[end[on] - 1 - j] = 1
-    begin = end - size
-    return out, begin[:: 2 * HALF]
-
-
-def frame(bits: np.ndarray) -> bytes:
-    """Stored words: four zero bytes, padding, one zero word, bytes of each word turned."""
-    packed = np.packbits(bits)
-    total = -(-(len(packed) + 4) // 4) * 4 + 4
-    padded = np.zeros(total, np.uint8)
-    padded[: len(packed)] = packed
-    return padded.reshape(-1, 4)[:, ::-1].tobytes()
+    four = len(blocks) * blocks.shape[1] // 4
+    size, number = np.empty((four, 5), np.uint8), np.empty((four, 5), np.uint64)
+    size[:, :4] = np.where(escaped, ESCAPE + 8 - k, q + 1).reshape(-1, 4)
+    size[:, 4] = np.repeat(ks.astype(np.uint8) * 4, blocks.shape[1] // 4)
+    number[:, :4] = np.where(escaped, q, 1).reshape(-1, 4)
+    low = (blocks & ((1 << k.astype(np.uint16)) - 1).astype(np.uint8)).reshape(-1, 4).astype(np.uint64)
+    width = np.repeat(ks.astype(np.uint64), blocks.shape[1] // 4)
+    rest = low[:, 0]
+    for j in range(1, 4):
+        rest = (rest << width) | low[:, j]
+    number[:, 4] = rest
+    end = np.cumsum(size.ravel(), dtype=np.int64)
+    begin = end[4::5] - size.reshape(-1, 5).sum(axis=1, dtype=np.int64)
+    n_bits = int(end[-1])
+    n_words = -(-n_bits // 32)
+    place = np.maximum(end - 1, 0)
+    moved = number.ravel() << (31 - (place & 31)).astype(np.uint64)
+    word = place >> 5
+    high = moved >> np.uint64(32)
+    total = np.bincount(word, (moved & np.uint64(0xFFFFFFFF)).astype(float), n_words)
+    over = np.flatnonzero(high)
+    total += np.bincount(word[over] - 1, high[over].astype(float), n_words)
+    return total.astype(np.uint32), n_bits, begin[:: HALF // 4]
+
+
+def frame(words: np.ndarray, n_bits: int) -> bytes:
+    """Stored words: four zero bytes, padding, one zero word; bytes of each word turned."""
+    total = (-(-(-(-n_bits // 8) + 4) // 4) * 4 + 4) // 4
+    out = np.zeros(total, "<u4")
+    out[: len(words)] = words
+    return out.tobytes()
 
 
 def unframe(words: bytes) -> bytes:
-    return np.frombuffer(words, np.uint8).reshape(-1, 4)[:, ::-1].tobytes()
+    return np.frombuffer(words, "<u4").astype(">u4").tobytes()
 
 
 def encode_one(data: bytes, width: int, height: int) -> tuple[bytes, list[int], int, bytes]:
     blocks = blocks_of(data, width, height)
     ks = best_ks(blocks)
-    bits, offsets = bits_of(blocks, ks)
-    return ks.astype(np.uint8).tobytes() + b"\0", offsets.tolist(), len(bits), frame(bits)
+    words, n_bits, offsets = words_of(blocks, ks)
+    return ks.astype(np.uint8).tobytes() + b"\0", offsets.tolist(), n_bits, frame(words, n_bits)
 
 
 def decode_one(ks: bytes, offsets: list[int], words: bytes, width: int, height: int) -> bytes:
