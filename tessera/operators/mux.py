@@ -18,15 +18,15 @@ ESCAPE = 16
 
 
 class Reader:
-    """A decoder of one stream that gets its bytes from a function."""
+    """A decoder of one stream that gets its units from a function."""
 
-    def __init__(self, next_byte):
-        self.next_byte, self.bits, self.have = next_byte, 0, 0
+    def __init__(self, next_unit, unit: int = 1):
+        self.next_unit, self.width, self.bits, self.have = next_unit, 8 * unit, 0, 0
 
     def refill(self) -> None:
         while self.have <= LOW:
-            self.bits = (self.bits << 8) | self.next_byte()
-            self.have += 8
+            self.bits = (self.bits << self.width) | self.next_unit()
+            self.have += self.width
 
     def take(self, n: int) -> int:
         self.have -= n
@@ -55,47 +55,58 @@ def _turns(readers: list[Reader], ks: list[list[int]], n: int, block: int) -> li
     return out
 
 
-def multiplex(streams: list[bytes], ks: list[list[int]], n: int, block: int) -> bytes:
-    """The bytes of all streams in the order of their use; past an end zeros are read."""
+def _units(data: bytes, unit: int):
+    """The next unit of a stream at each call; past its end zeros are read."""
+    at = iter(range(0, len(data), unit))
+
+    def following() -> bytes:
+        i = next(at, None)
+        return bytes(unit) if i is None else data[i : i + unit].ljust(unit, b"\0")
+
+    return following
+
+
+def multiplex(streams: list[bytes], ks: list[list[int]], n: int, block: int, unit: int = 1) -> bytes:
+    """The units of all streams in the order of their use; a unit is a byte, or a word of ``unit`` bytes."""
     order = bytearray()
 
     def source(data: bytes):
-        at = iter(data)
+        following = _units(data, unit)
 
-        def following() -> int:
-            b = next(at, 0)
-            order.append(b)
-            return b
+        def recorded() -> int:
+            got = following()
+            order.extend(got)
+            return int.from_bytes(got, "big")
 
-        return following
+        return recorded
 
-    _turns([Reader(source(d)) for d in streams], ks, n, block)
+    _turns([Reader(source(d), unit) for d in streams], ks, n, block)
     return bytes(order)
 
 
-def demultiplex(data: bytes, ks: list[list[int]], n: int, block: int) -> list[list[int]]:
+def demultiplex(data: bytes, ks: list[list[int]], n: int, block: int, unit: int = 1) -> list[list[int]]:
     """The symbols of each stream."""
-    at = iter(data)
-    return _turns([Reader(lambda: next(at, 0)) for _ in ks], ks, n, block)
+    following = _units(data, unit)
+    return _turns([Reader(lambda: int.from_bytes(following(), "big"), unit) for _ in ks], ks, n, block)
 
 
-def multiplexed(streams: DataFrame, n: int, block: int) -> DataFrame:
+def multiplexed(streams: DataFrame, n: int, block: int, unit: int = 1) -> DataFrame:
     """img and mux of rows (img, stream, data, ks)."""
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("stream")
-        mux = multiplex(list(rows["data"]), [[int(x) for x in k] for k in rows["ks"]], n, block)
+        mux = multiplex(list(rows["data"]), [[int(x) for x in k] for k in rows["ks"]], n, block, unit)
         return pd.DataFrame({"img": rows["img"].iloc[:1], "mux": [mux]})
 
     return streams.groupBy("img").applyInPandas(one, "img long, mux binary")
 
 
-def demultiplexed(muxed: DataFrame, n: int, block: int) -> DataFrame:
+def demultiplexed(muxed: DataFrame, n: int, block: int, unit: int = 1) -> DataFrame:
     """img, stream, syms of rows (img, mux, kss), kss being the ks of each stream in order."""
     def some(frames):
         for rows in frames:
             out = []
             for img, mux, kss in zip(rows["img"], rows["mux"], rows["kss"]):
-                out += [(img, s, v) for s, v in enumerate(demultiplex(mux, [[int(x) for x in k] for k in kss], n, block))]
+                out += [(img, s, v) for s, v in enumerate(demultiplex(mux, [[int(x) for x in k] for k in kss], n, block, unit))]
             yield pd.DataFrame(out, columns=["img", "stream", "syms"])
 
     return muxed.mapInPandas(some, "img long, stream int, syms array<int>")

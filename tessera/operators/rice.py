@@ -133,6 +133,14 @@ def remainders(syms, k) -> Column:
     return F.transform(col(syms), rest)
 
 
+def expand_runs(runs: DataFrame) -> DataFrame:
+    """Runs (img, run, count, n) as blocks: img, blocki in the order of runs, and n, its symbols."""
+    before = Window.partitionBy("img").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    placed = runs.withColumn("_from", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    blocks = placed.filter("count > 0").select("img", "n", "_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count").cast("long") - 1)).alias("_i"))
+    return blocks.select("img", (F.col("_from") + F.col("_i")).alias("blocki"), "n")
+
+
 def offsets_of(rows: DataFrame, width: str, keys: list[str], out: str = "bit_offset") -> DataFrame:
     """``rows`` with the sum of a width over the rows before, by img in the order of keys."""
     before = Window.partitionBy("img").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)

@@ -184,3 +184,17 @@ def bands(images: DataFrame, rows: int = 32 * BIG) -> DataFrame:
     height = F.least(F.lit(rows), F.col("height") - F.col("band") * rows).cast("int")
     part = F.substring(F.col("data"), (F.col("band") * size + 1).cast("int"), (F.col("width") * height).cast("int"))
     return cut.select("img", "band", "width", height.alias("height"), part.alias("data"))
+
+
+def relations(encoded: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """An encoding as three relations: k by block, offset by half block, and words."""
+    ks = F.transform(F.sequence(F.lit(1), F.octet_length("ks") - 1), lambda i: F.conv(F.hex(F.substr("ks", i, F.lit(1))), 16, 10).cast("int"))
+    k = encoded.select("img", F.posexplode(ks).alias("blocki", "k"))
+    offsets = encoded.select("img", F.posexplode("offsets").alias("half", "bit_offset"))
+    return k, offsets, encoded.select("img", "width", "height", "n_bits", "words")
+
+
+def write_relations(encoded: DataFrame, path: str) -> None:
+    """The three relations as parquet folders under a path."""
+    for name, part in zip(("k", "offsets", "words"), relations(encoded)):
+        part.write.mode("overwrite").parquet(f"{path}/{name}")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import bits, pixels, serial
 from .operators import checks, decode, mux, rice, scans, tiles
 from .plans import codec
-from .sources import images, relations
+from .sources import generators, images, relations
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -620,19 +620,60 @@ def bit_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {EMBED} select img // 4 as img, img % 4 as stream, string_agg(cast(v as varchar), ',' order by o) as syms from sy group by all")
 def mux_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four vectors at a time as streams in one, and apart again."""
+    """Four vectors at a time as streams in one, and apart again."""
+    return _muxed(spark, sf_dir, 1)
+
+
+def _muxed(spark: SparkSession, sf_dir: str, unit: int) -> DataFrame:
     rows = _coded(spark, sf_dir).select(
         F.floor(F.col("img") / 4).cast("long").alias("img"), (F.col("img") % 4).cast("int").alias("stream"), F.array("k").alias("ks"), rice.interleaved_bits("syms", "k").alias("bits")
     )
     packed = serial.swap_words(serial.frame_words("bits"))  # bytes in order
     streams = rows.select("img", "stream", "ks", packed.alias("data"))
     kss = F.transform(F.array_sort(F.collect_list(F.struct("stream", "ks"))), lambda x: x["ks"])
-    muxed = mux.multiplexed(streams, 64, 64).join(streams.groupBy("img").agg(kss.alias("kss")), "img")
-    return mux.demultiplexed(muxed, 64, 64).select("img", F.col("stream").cast("long").alias("stream"), text("syms").alias("syms"))
+    muxed = mux.multiplexed(streams, 64, 64, unit).join(streams.groupBy("img").agg(kss.alias("kss")), "img")
+    return mux.demultiplexed(muxed, 64, 64, unit).select("img", F.col("stream").cast("long").alias("stream"), text("syms").alias("syms"))
+
+
+@query(f"with {EMBED} select img // 4 as img, img % 4 as stream, string_agg(cast(v as varchar), ',' order by o) as syms from sy group by all")
+def mux64_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with words of eight bytes."""
+    return _muxed(spark, sf_dir, 8)
+
+
+@query(f"""with {PX}, r as (select img, i, 1 + v % 3 as count, 16 * (1 + v % 4) as n from px),
+s as (select *, coalesce(sum(count) over (partition by img order by i rows between unbounded preceding and 1 preceding), 0) as first from r)
+select img, cast(first + j as bigint) as blocki, n from (select img, first, n, unnest(range(count)) as j from s)""")
+def expand_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of counts and sizes as one row for each block."""
+    v = F.col("v").cast("long")
+    runs = relations.px_events(spark, sf_dir).select("img", F.col("i").alias("run"), (v % 3 + 1).alias("count"), ((v % 4 + 1) * 16).alias("n"))
+    return rice.expand_runs(runs)
 
 
 # ---- files
 
+@query("""with s as (select unnest(['8x8_ident', '16x8_ident', '16x16_ident', '16x16_delta_ident', '32x32_delta_ident']) as config, unnest([8, 16, 16, 16, 32]) as w, unnest([8, 8, 16, 16, 32]) as h),
+c as (select config, w, unnest(range(w * h)) as i from s)
+select config, i // w as y, i % w as x, case when config like '%delta%' then (i * (i + 1) // 2) % 256 else i % 256 end as v from c""")
+def generated_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named test planes."""
+    out = None
+    for config in ("8x8_ident", "16x8_ident", "16x16_ident", "16x16_delta_ident", "32x32_delta_ident"):
+        one = generators.frame(spark, config).select(F.lit(config).alias("config"), "y", "x", F.col("v").cast("long").alias("v"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query(f"""with {BESTK}, h as (select img, b, s, so // 32 as half, sum({COST}) as bits from sb join bk using (img, b, s) group by all),
+o as (select *, coalesce(sum(bits) over (partition by img order by b, s, half rows between unbounded preceding and 1 preceding), 0) as start from h)
+select img, b * 16 + s as blocki, k, half, cast(start as bigint) as bit_offset from o join bk using (img, b, s)""")
+def codec_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored tables of k and offsets joined by block."""
+    k, offsets, _ = codec.relations(codec.encode(_event_images(spark, sf_dir)))
+    halves = offsets.select("img", F.floor(F.col("half") / 2).cast("int").alias("blocki"), (F.col("half") % 2).cast("long").alias("half"), "bit_offset")
+    return halves.join(k, ["img", "blocki"]).select("img", F.col("blocki").cast("long").alias("blocki"), F.col("k").cast("long").alias("k"), "half", "bit_offset")
+
 @query(f"""with {PX}, h as (select img, (max(i) // 32 + 1) * 32 as cells from px group by 1), f as (select img, unnest(range(cells)) as i from h),
 d as (select f.img, f.i, coalesce(v, 0) as v from f left join px on px.img = f.img and px.i = f.i)
 select img, 32 as width, count(*) // 32 as height, string_agg(repeat(lpad(hex(v), 2, '0'), 3) || 'FF', '' order by i) as png, string_agg(repeat(lpad(hex(v), 2, '0'), 3) || 'FF', '' order by i) as bmp from d group by 1""")
