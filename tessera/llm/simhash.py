@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stage
+from .common import discard, join_checked, stage
 
 WORDS = 4
 SEED = 42
@@ -38,6 +38,12 @@ MAX_BITS = 4
 SEGMENTS = (9, 9, 9, 9, 9, 9, 10)
 #: Classes under one key that are still compared with each other.
 MAX_GROUP = 8192
+#: For ``keep_one``: fingerprints of word sets, the bits in which the texts' own fingerprints
+#: may differ for a pair to be verified, the words of a shingle, and the least similarity.
+WORD_PRINTS = 3
+FAR_BITS = 18
+SIMILAR_WORDS = 5
+SIMILARITY = 0.8
 #: Hashes whose bits are counted at once.
 CHUNK = 65_536
 
@@ -58,7 +64,11 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     stops = ends[words - 1 :].tolist()
-    hashes = np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts[: len(stops)].tolist(), stops)), np.uint64, len(stops))
+    return _vote(np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts[: len(stops)].tolist(), stops)), np.uint64, len(stops)))
+
+
+def _vote(hashes: np.ndarray) -> int:
+    """Each bit that over half of the hashes have."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), CHUNK):
         bits = np.unpackbits(hashes[i : i + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -66,6 +76,19 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def word_fingerprints(text: bytes | None) -> list[int]:
+    """WORD_PRINTS fingerprints of the set of a text's words, each from hashes of its own."""
+    words = sorted(set((text or b"").lower().split()))
+    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    out = []
+    for i in range(WORD_PRINTS):
+        x = h + np.uint64(((i + 1) * 0x9E3779B97F4A7C15) & (2**64 - 1))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(_vote(x ^ (x >> np.uint64(31))) if words else 0)
+    return out
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
@@ -151,13 +174,16 @@ def _ball(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(near.view(np.int64)), pa.array(np.full(len(near), f).view(np.int64))], ["z", "fp"])
 
 
+def _keys(fp: str) -> list[str]:
+    """SQL for the 35 keys of a fingerprint."""
+    seg = [f"(shiftrightunsigned({fp}, {s}) & {(1 << w) - 1})" for w, s in zip(SEGMENTS, _STARTS)]
+    three = enumerate(combinations(range(len(SEGMENTS)), 3))
+    return [f"shiftleft({i}L, 40) | shiftleft({seg[p]}, 20) | shiftleft({seg[q]}, 10) | {seg[r]}" for i, (p, q, r) in three]
+
+
 def links(classes: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     """Links a, b between distinct fingerprints that give the components of all links."""
-    seg = [f"(shiftrightunsigned(fp, {s}) & {(1 << w) - 1})" for w, s in zip(SEGMENTS, _STARTS)]
-    keys = []
-    for i, (p, q, r) in enumerate(combinations(range(len(SEGMENTS)), 3)):
-        keys.append(f"shiftleft({i}L, 40) | shiftleft({seg[p]}, 20) | shiftleft({seg[q]}, 10) | {seg[r]}")
-    keyed = classes.select("fp", F.explode(F.array(*[F.expr(k) for k in keys])).alias("key"))
+    keyed = classes.select("fp", F.explode(F.array(*[F.expr(k) for k in _keys("fp")])).alias("key"))
     sized = stage(keyed.selectExpr("key", "fp", "count(*) over (partition by key) as n").filter("n > 1"))
     small = sized.filter(F.col("n") <= max_group).select("key", "fp")
     found = small.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links, "a long, b long")
@@ -169,6 +195,100 @@ def links(classes: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     return found.distinct()
 
 
+def _near_in_words(key: np.ndarray, w: np.ndarray, fp: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row, of the rows before it under its key the first and the nearest that its words are near to."""
+    n = len(key)
+    first, near, least = np.full(n, -1), np.full(n, -1), np.full(n, FAR_BITS + 1)
+    at, gap = np.arange(n), 0
+    while len(at):
+        gap += 1
+        at = at[at + gap < n]
+        at = at[key[at + gap] == key[at]]
+        a = at[root[at] != root[at + gap]]
+        x = w[a] ^ w[a + gap]
+        keep = ring_viable(x)
+        a, x = a[keep], x[keep]
+        far = np.bitwise_count(fp[a] ^ fp[a + gap])
+        ok = (np.bitwise_count(x) <= MAX_BITS) & (far <= FAR_BITS)
+        a, far = a[ok], far[ok]
+        first[a + gap] = a
+        better = far < least[a + gap]
+        near[a[better] + gap], least[a[better] + gap] = a[better], far[better]
+    b = np.concatenate([np.flatnonzero(first >= 0), np.flatnonzero(near >= 0)])
+    a = np.concatenate([first[first >= 0], near[near >= 0]])
+    return fp[a], fp[b]
+
+
+def _word_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, w, fp, root) sorted by key; a key's rows may run over several batches."""
+    kept = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)]
+
+    def pairs(part: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = _near_in_words(*part)
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+    for batch in batches:
+        new = [batch.column(i).to_numpy() for i in range(4)]
+        new[1], new[2] = new[1].view(np.uint64), new[2].view(np.uint64)
+        all_ = [np.concatenate(x) for x in zip(kept, new)]
+        if not len(all_[0]):
+            continue
+        cut = int(np.searchsorted(all_[0], all_[0][-1]))
+        yield pairs([x[:cut] for x in all_])
+        kept = [x[cut:] for x in all_]
+    yield pairs(kept)
+
+
+def word_pairs(rooted: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
+    """Pairs a, b of fingerprints of different components whose word sets are near, two for each row and key at most.
+
+    ``rooted`` has fp, root and ws, the fingerprints of the word sets. Large groups go
+    through the fingerprints around, as in ``links``.
+    """
+    each = rooted.select("fp", "root", F.posexplode("ws").alias("which", "w"))
+    keyed = each.select("fp", "root", "which", "w", F.explode(F.array(*[F.expr(k) for k in _keys("w")])).alias("k"))
+    keyed = keyed.select("fp", "root", "w", "which", F.expr("k | shiftleft(cast(which as bigint), 48)").alias("key"))
+    of_key = [f"{f} over (partition by key) as {name}" for f, name in (("count(*)", "n"), ("min(root)", "low"), ("max(root)", "high"))]
+    sized = stage(keyed.selectExpr("key", "w", "fp", "root", "which", *of_key).filter("low < high"))
+    small = sized.filter(F.col("n") <= max_group).select("key", "w", "fp", "root")
+    found = small.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_word_pairs, "a long, b long")
+    large = sized.filter(F.col("n") > max_group).select("which", "w", "fp").distinct()
+    if not large.isEmpty():
+        near = large.select("w").distinct().withColumnRenamed("w", "fp").mapInArrow(_ball, "z long, fp long").withColumnRenamed("fp", "w")
+        met = stage(near.join(large, "w"))
+        least = met.groupBy("which", "z").agg(F.min("fp").alias("a"), F.count("*").alias("m")).filter("m > 1").select("which", "z", "a")
+        found = found.union(met.join(least, ["which", "z"]).filter("fp <> a").select("a", F.col("fp").alias("b")))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = []
+        for t in batch.column(1):
+            words = (t.as_py() or b"").lower().split()
+            parts = {b" ".join(words[i : i + SIMILAR_WORDS]) for i in range(max(1, len(words) - SIMILAR_WORDS + 1))}
+            sets.append(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in parts), np.uint64, len(parts)).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
+
+
+def similar(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs whose documents share at least SIMILARITY of their shingles.
+
+    ``reps`` gives fp, doc_id and th of one document for each fingerprint; ``docs`` has
+    doc_id, th and text.
+    """
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    wanted = stage(reps.join(wanted, "fp").select("fp", F.col("doc_id").alias("_id"), F.col("th").alias("_h")))
+    same = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("th") == F.col("_h")]
+    texts = join_checked(docs, wanted, same).select("fp", F.col("text").cast("binary").alias("text")).dropDuplicates(["fp"])
+    sets = stage(texts.mapInArrow(_shingle_sets, "fp long, shingles array<long>"))
+    left = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    met = pairs.join(left, "a").join(right, "b").withColumn("s", shared)
+    return met.filter(F.col("s") >= SIMILARITY * (F.size("x") + F.size("y") - F.col("s"))).select("a", "b")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root of every node of ``edges`` (a, b): the least node that it reaches.
 
@@ -216,25 +336,33 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest doc_id.
+    """``docs`` with one document of each group of near copies: the one with the smallest doc_id.
 
-    Among rows that share that id the one with the smallest text hash stays, once.
+    Besides fingerprints that link, copies are found that changed in more places: documents
+    whose word sets are near (by the same search over WORD_PRINTS other fingerprints) and
+    that share at least SIMILARITY of their SIMILAR_WORDS-word shingles, which is verified.
+    Among rows that share an id the one with the smallest text hash stays, once.
     """
     keyed = docs.withColumn("_th", F.xxhash64("text"))
-    source = keyed.select("doc_id", "_th", "text")
-    prints = stage(
-        source.select(F.struct(F.col("doc_id").cast("long"), "_th").alias("who"), F.col("text").cast("binary").alias("text"))
-        .mapInArrow(_fingerprints_of_who, "doc_id long, th long, fp long")
-    )
-    found = _with_components(prints, max_group)
-    chosen = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("x"))
-    chosen = stage(chosen.select(F.col("x.doc_id").alias("_id"), F.col("x.th").alias("_h")))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    prints = stage(source.withColumn("text", F.col("text").cast("binary")).mapInArrow(_all_prints, "doc_id long, th long, fp long, ws array<long>"))
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "ws"))
+    classes = stage(prints.groupBy("fp").agg(rep.alias("rep")))
+    edges = stage(links(classes.select("fp"), max_group))
+    rooted = classes.join(components(edges), classes.fp == F.col("node"), "left")
+    rooted = stage(rooted.select("fp", F.coalesce("root", "fp").alias("root"), F.col("rep.ws").alias("ws")))
+    more = stage(word_pairs(rooted, max_group))
+    reps = classes.select("fp", "rep.doc_id", "rep.th")
+    linked = components(edges.union(similar(more, reps, source)))
+    grouped = classes.join(linked, classes.fp == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root"))
+    chosen = stage(grouped.agg(F.min("rep").alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.th").alias("_h")))
     kept = keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")), "left_semi")
     return kept.dropDuplicates(["doc_id", "_th"]).select(*docs.columns)
 
 
-def _fingerprints_of_who(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _all_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        who = batch.column(0)
-        prints = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([*who.flatten(), pa.array(prints, pa.int64())], ["doc_id", "th", "fp"])
+        texts = [t.as_py() for t in batch.column(2)]
+        fp = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+        ws = np.array([word_fingerprints(t) for t in texts], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp), pa.array(list(ws), pa.list_(pa.int64()))], ["doc_id", "th", "fp", "ws"])

@@ -489,3 +489,32 @@ def test_pipeline(spark, sf, texts):
     run = p.run(spark, sf).select("doc_id", "start", "length", "ids_crc32").collect()
     assert sorted(map(tuple, run)) == sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in packed.collect())
     assert p.STAGES[0][1](spark, docs.limit(0), sf).count() == 0
+
+
+def test_keep_one_removes_copies_that_simhash_alone_misses(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randrange(3, 9)))
+    rows, i = [], 0
+    for _ in range(60):
+        words = [word() for _ in range(rng.randrange(80, 300))]
+        rows.append((i, " ".join(words)))
+        for _ in range(2):
+            changed = list(words)
+            for at in rng.sample(range(len(words)), max(1, len(words) // 75)):
+                changed[at] = word()
+            i += 1
+            rows.append((i, " ".join(changed)))
+        i += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one(df).collect()}
+    assert set(range(0, 180, 3)) <= kept and len(kept) <= 63
+    alone = {r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert len(kept) < len(alone)
+
+
+def test_keep_one_with_large_groups_takes_the_other_way(spark):
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*base[:i], "x", *base[i + 1 :]])) for i in range(0, 120, 4)] + [(500, "nothing like the rest " * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one(df, max_group=3).collect()} == {0, 500}
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == {0, 500}
