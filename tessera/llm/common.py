@@ -44,20 +44,39 @@ def _remove(spark: SparkSession, path: str) -> None:
 _registered: set[str] = set()
 
 
-def stage(df: DataFrame) -> DataFrame:
+#: Bytes of a batch between the JVM and Python: texts may be long, and a worker holds a few.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Sets BATCH_BYTES for the session, unless another limit than Spark's own is set."""
+    if spark.conf.get(_BATCH) in ("67108864b", "67108864"):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+#: Rows of a staged file where a bound of the rows is known.
+FILE_ROWS = 50_000
+
+
+def stage(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends here.
 
+    ``rows`` is a bound of its rows, if one is known: a small table then comes in a few
+    files rather than one for each shuffle partition.
+
     A lost executor then costs no more than the tasks it ran. The folder goes when
     the driver's interpreter ends.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     base = shared_dir(spark)
     if base not in _registered:
         _registered.add(base)
         atexit.register(_remove, spark, base)
     path = f"{base}/{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(rows // FILE_ROWS + 1)).write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._staged_at = path
     return out
@@ -82,6 +101,7 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 NEAR = 40
 ACCEPT = 0.5
 #: The kinds, in the order in which spans are listed.
@@ -211,5 +213,6 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
             columns[at] = pa.array(new, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
+    bound_batches(docs.sparkSession)
     out = docs.mapInArrow(rows, docs.schema)
     return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

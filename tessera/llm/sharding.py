@@ -91,7 +91,7 @@ def uniform_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> Dat
 
     dealt = rank_in_groups(keyed, ["_block"], [F.col("_k1"), F.col("_tie")], bucket("_k1", len(counted)), "_rank")
     sent = dealt.join(ends_of, "_block").withColumn("shard", F.size(F.filter("_ends", lambda e: e <= F.col("_rank"))))
-    sent = stage(sent.drop("_ends", "_rank", "_block", "_k1"))
+    sent = stage(sent.drop("_ends", "_rank", "_block", "_k1"), rows)
     return rank_in_groups(sent, ["shard"], [F.col("_k2"), F.col("_tie")], bucket("_k2", shards), "slot").drop("_k2", "_tie")
 
 

@@ -296,19 +296,21 @@ def components(edges: DataFrame) -> DataFrame:
     each round is two joins with per-node minima, and ends when no edge changes.
     """
     e = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    size = e.count()
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        large = stage(large.distinct())
+        large = stage(large.distinct(), 2 * size)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         # a neighbour that is not the least one hangs below it, and so does the node
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        new = stage(small.select("x.u", "x.v").filter("u <> v").distinct())
-        same = new.count() == e.count() and new.exceptAll(e).isEmpty()
+        new = stage(small.select("x.u", "x.v").filter("u <> v").distinct(), 4 * size)
+        now = new.count()
+        same = now == size and new.exceptAll(e).isEmpty()
         discard(e, large)
-        e = new
+        e, size = new, now
         if same:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
                 e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
@@ -322,13 +324,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _with_components(prints: DataFrame, max_group: int) -> DataFrame:
-    classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    rows = prints.count()
+    classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), rows)
     root = components(links(classes, max_group))
-    reach = stage(classes.join(root, classes.fp == root.node).select("fp", "root", "least"))
+    reach = stage(classes.join(root, classes.fp == root.node).select("fp", "root", "least"), rows)
     least = reach.groupBy("root").agg(F.min("least").alias("all_least"))
     linked = reach.join(least, "root").select("fp", "all_least")
     ids = classes.join(linked, "fp", "left").select("fp", F.coalesce("all_least", "least").alias("component_id"))
-    return prints.join(stage(ids), "fp")
+    return prints.join(stage(ids, rows), "fp")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -347,15 +350,16 @@ def keep_one(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     prints = stage(source.withColumn("text", F.col("text").cast("binary")).mapInArrow(_all_prints, "doc_id long, th long, fp long, ws array<long>"))
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "ws"))
-    classes = stage(prints.groupBy("fp").agg(rep.alias("rep")))
+    rows = prints.count()
+    classes = stage(prints.groupBy("fp").agg(rep.alias("rep")), rows)
     edges = stage(links(classes.select("fp"), max_group))
     rooted = classes.join(components(edges), classes.fp == F.col("node"), "left")
-    rooted = stage(rooted.select("fp", F.coalesce("root", "fp").alias("root"), F.col("rep.ws").alias("ws")))
+    rooted = stage(rooted.select("fp", F.coalesce("root", "fp").alias("root"), F.col("rep.ws").alias("ws")), rows)
     more = stage(word_pairs(rooted, max_group))
     reps = classes.select("fp", "rep.doc_id", "rep.th")
     linked = components(edges.union(similar(more, reps, source)))
     grouped = classes.join(linked, classes.fp == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root"))
-    chosen = stage(grouped.agg(F.min("rep").alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.th").alias("_h")))
+    chosen = stage(grouped.agg(F.min("rep").alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.th").alias("_h")), rows)
     kept = keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")), "left_semi")
     return kept.dropDuplicates(["doc_id", "_th"]).select(*docs.columns)
 
