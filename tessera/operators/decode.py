@@ -28,14 +28,15 @@ LEADING = _leading()
 
 
 class Lanes:
-    """A bit position in each of several packed bit strings."""
+    """Bit positions in packed bit strings: one in each, or as many as ``owner`` names."""
 
-    def __init__(self, data: list[bytes], skip: np.ndarray | None = None):
+    def __init__(self, data: list[bytes], skip: np.ndarray | None = None, owner: np.ndarray | None = None):
         size = [len(d) for d in data]
         joined = b"".join(data) + b"\0" * 16
         # the eight bytes from each byte on, without a copy
         self.words = np.ndarray(len(joined) - 7, ">u8", joined, strides=(1,))
         begin = np.concatenate(([0], np.cumsum(size)))[:-1].astype(np.int64)
+        begin = begin if owner is None else begin[owner]
         self.at = begin * 8 + (0 if skip is None else skip.astype(np.int64))
 
     def peek(self) -> np.ndarray:
@@ -57,9 +58,9 @@ class Lanes:
         return q
 
 
-def grouped(data: list[bytes], k: np.ndarray, n: int, skip: np.ndarray | None = None) -> np.ndarray:
+def grouped(data: list[bytes], k: np.ndarray, n: int, skip: np.ndarray | None = None, owner: np.ndarray | None = None) -> np.ndarray:
     """n symbols of each block whose code puts four prefix parts before four suffixes."""
-    lanes, k = Lanes(data, skip), k.astype(np.int64)
+    lanes, k = Lanes(data, skip, owner), k.astype(np.int64)
     out = np.zeros((len(k), n), np.int64)
     low = (1 << k) - 1
     for g in range(0, n, 4):

@@ -1,6 +1,6 @@
 """The codec over compact images: planes in, k tables, offsets and words out, and back.
 
-An image is (img, width, height, data). ``encode`` and ``decode`` work on one image at a
+An image is (img, width, height, data). ``encode`` and ``decode`` work on a few images at a
 time with numpy and no shuffle, which is the way for images that fit a task. For larger
 planes ``bands`` first cuts them into bands of big blocks, which code independently.
 """
@@ -79,40 +79,49 @@ def best_ks(blocks: np.ndarray) -> np.ndarray:
     return np.argmin(cost, axis=0)  # the first, so the smallest, of those that tie
 
 
-def words_of(blocks: np.ndarray, ks: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
-    """The words of a stream, its bits, and where each half block begins.
+def words_of(blocks: np.ndarray, ks: np.ndarray, owner: np.ndarray, images: int) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """The words of each image's stream, its bits, and where each of its half blocks begins.
 
-    Four symbols give five parts: each one's prefix, and all suffixes as one. A part ends at
-    a known bit and adds to one word or two; as parts share no bits, sums put them together.
+    ``owner`` says, in rising order, whose each block is. Four symbols give five parts: each
+    one's prefix, and all suffixes as one. A part ends at a known bit and adds to one word or
+    two; as parts share no bits, sums put them together. Each stream begins a new word.
     """
-    if not len(blocks):
-        return np.zeros(0, np.uint32), 0, np.zeros(0, np.int64)
-    k = ks[:, None].astype(np.uint8)
+    k, fours = ks[:, None].astype(np.uint8), blocks.shape[1] // 4
     q = blocks >> k
     escaped = q >= ESCAPE
-    four = len(blocks) * blocks.shape[1] // 4
+    four = len(blocks) * fours
     size, number = np.empty((four, 5), np.uint8), np.empty((four, 5), np.uint64)
     size[:, :4] = np.where(escaped, ESCAPE + 8 - k, q + 1).reshape(-1, 4)
-    size[:, 4] = np.repeat(ks.astype(np.uint8) * 4, blocks.shape[1] // 4)
+    size[:, 4] = np.repeat(ks.astype(np.uint8) * 4, fours)
     number[:, :4] = np.where(escaped, q, 1).reshape(-1, 4)
     low = (blocks & ((1 << k.astype(np.uint16)) - 1).astype(np.uint8)).reshape(-1, 4).astype(np.uint64)
-    width = np.repeat(ks.astype(np.uint64), blocks.shape[1] // 4)
+    width = np.repeat(ks.astype(np.uint64), fours)
     rest = low[:, 0]
     for j in range(1, 4):
         rest = (rest << width) | low[:, j]
     number[:, 4] = rest
     end = np.cumsum(size.ravel(), dtype=np.int64)
-    begin = end[4::5] - size.reshape(-1, 5).sum(axis=1, dtype=np.int64)
-    n_bits = int(end[-1])
+
+    whose = np.repeat(owner, fours)
+    last = np.searchsorted(whose, np.arange(images), side="right") * 5 - 1
+    until = np.where(last >= 0, end[last], 0)
+    before = np.concatenate(([0], until[:-1]))
+    n_bits = until - before
     n_words = -(-n_bits // 32)
+    first = np.concatenate(([0], np.cumsum(n_words)))
+    end += np.repeat((first[:-1] * 32 - before)[whose], 5)
+
+    begin = end[4::5] - size.sum(axis=1, dtype=np.int64) - (first[:-1] * 32)[whose]
     place = np.maximum(end - 1, 0)
     moved = number.ravel() << (31 - (place & 31)).astype(np.uint64)
     word = place >> 5
     high = moved >> np.uint64(32)
-    total = np.bincount(word, (moved & np.uint64(0xFFFFFFFF)).astype(float), n_words)
+    total = np.bincount(word, (moved & np.uint64(0xFFFFFFFF)).astype(float), int(first[-1]))
     over = np.flatnonzero(high)
-    total += np.bincount(word[over] - 1, high[over].astype(float), n_words)
-    return total.astype(np.uint32), n_bits, begin[:: HALF // 4]
+    total += np.bincount(word[over] - 1, high[over].astype(float), int(first[-1]))
+    words = np.split(total.astype(np.uint32), first[1:-1])
+    halves = np.split(begin[:: HALF // 4], np.searchsorted(owner, np.arange(1, images)) * (blocks.shape[1] // HALF))
+    return words, n_bits, halves
 
 
 def frame(words: np.ndarray, n_bits: int) -> bytes:
@@ -127,33 +136,53 @@ def unframe(words: bytes) -> bytes:
     return np.frombuffer(words, "<u4").astype(">u4").tobytes()
 
 
-def encode_one(data: bytes, width: int, height: int) -> tuple[bytes, list[int], int, bytes]:
-    blocks = blocks_of(data, width, height)
+#: Cells that are encoded or decoded in one go; images are small or are cut into bands.
+CELLS = 1 << 20
+
+
+def encode_many(images: list[tuple[bytes, int, int]]) -> list[tuple[bytes, list[int], int, bytes]]:
+    """ks, offsets, bits and words of images given as (data, width, height)."""
+    parts = [blocks_of(*image) for image in images]
+    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    blocks = np.concatenate(parts)
     ks = best_ks(blocks)
-    words, n_bits, offsets = words_of(blocks, ks)
-    return ks.astype(np.uint8).tobytes() + b"\0", offsets.tolist(), n_bits, frame(words, n_bits)
+    words, n_bits, halves = words_of(blocks, ks, owner, len(parts))
+    own = np.split(ks.astype(np.uint8), np.cumsum([len(p) for p in parts])[:-1])
+    return [(k.tobytes() + b"\0", at.tolist(), int(n), frame(w, int(n))) for k, at, n, w in zip(own, halves, n_bits, words)]
+
+
+def decode_many(images: list[tuple[bytes, list[int], bytes, int, int]]) -> list[bytes]:
+    """Planes of images given as (ks, offsets, words, width, height): all half blocks at once."""
+    k = [np.repeat(np.frombuffer(ks, np.uint8)[:-1], 2) for ks, *_ in images]
+    at = np.concatenate([np.asarray(offsets, np.int64) for _, offsets, *_ in images])
+    owner = np.repeat(np.arange(len(images)), [len(x) for x in k])
+    symbols = grouped([unframe(words) for _, _, words, *_ in images], np.concatenate(k), HALF, at, owner)
+    blocks = np.split(symbols.reshape(-1, SMALL * SMALL), np.cumsum([len(x) // 2 for x in k])[:-1])
+    return [plane_of(b, width, height) for b, (*_, width, height) in zip(blocks, images)]
+
+
+def encode_one(data: bytes, width: int, height: int) -> tuple[bytes, list[int], int, bytes]:
+    return encode_many([(data, width, height)])[0]
 
 
 def decode_one(ks: bytes, offsets: list[int], words: bytes, width: int, height: int) -> bytes:
-    """All half blocks at once, each from its own offset."""
-    k = np.repeat(np.frombuffer(ks, np.uint8)[:-1], 2)
-    at = np.asarray(offsets, np.int64)
-    stream = unframe(words)
-    symbols = _from_one(stream, k, at)
-    return plane_of(symbols.reshape(-1, SMALL * SMALL), width, height)
+    return decode_many([(ks, offsets, words, width, height)])[0]
 
 
-def _from_one(stream: bytes, k: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Half blocks of a shared stream; the lanes of ``grouped`` differ by their skip alone."""
-    return grouped([stream] + [b""] * (len(k) - 1), k, HALF, at - np.where(np.arange(len(k)) > 0, len(stream) * 8, 0))
+def _batches(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Rows in pieces of at most CELLS cells, or one row."""
+    cells = np.cumsum(rows["width"].to_numpy(np.int64) * rows["height"].to_numpy(np.int64))
+    yield from (part for _, part in rows.groupby(cells // CELLS, sort=True))
 
 
 def encode(images: DataFrame) -> DataFrame:
     """img, width, height, ks (a zero byte last), offsets by half block, n_bits, words."""
     def some(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in frames:
-            out = [(r.img, r.width, r.height, *encode_one(r.data, r.width, r.height)) for r in rows.itertuples()]
-            yield pd.DataFrame(out, columns=["img", "width", "height", "ks", "offsets", "n_bits", "words"])
+            for part in _batches(rows):
+                made = encode_many(list(zip(part["data"], part["width"], part["height"])))
+                ks, offsets, n_bits, words = zip(*made)
+                yield part[["img", "width", "height"]].assign(ks=ks, offsets=list(offsets), n_bits=n_bits, words=words)
 
     return images.filter((F.col("width") > 0) & (F.col("height") > 0)).select("img", "width", "height", "data").mapInPandas(some, ENCODED)
 
@@ -162,8 +191,9 @@ def decode(encoded: DataFrame) -> DataFrame:
     """img, width, height, data."""
     def some(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in frames:
-            out = [(r.img, r.width, r.height, decode_one(r.ks, r.offsets, r.words, r.width, r.height)) for r in rows.itertuples()]
-            yield pd.DataFrame(out, columns=["img", "width", "height", "data"])
+            for part in _batches(rows):
+                data = decode_many(list(zip(part["ks"], part["offsets"], part["words"], part["width"], part["height"])))
+                yield part[["img", "width", "height"]].assign(data=data)
 
     return encoded.mapInPandas(some, "img long, width int, height int, data binary")
 
