@@ -85,7 +85,7 @@ class _Page:
             self.text, self.linked = [], 0
 
     def start(self, tag: str, attributes: str) -> None:
-        if tag in INLINE:
+        if tag in INLINE and not (tag == "ins" and "class" in attributes):  # adverts come in such
             if tag == "a":
                 self.link = True
             return
@@ -115,7 +115,7 @@ class _Page:
         self.push(tag, tuple(dict.fromkeys(names)), hides)
 
     def end(self, tag: str) -> None:
-        if tag in INLINE:
+        if tag in INLINE and not self.open.get(tag):
             if tag == "a":
                 self.link = False
             return

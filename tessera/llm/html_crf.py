@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from .html_blocks import Block, blocks
 
-TRAINING_PAGES = 500
+TRAINING_PAGES = 1200
 SEED = 7
-PENALTY = 0.05
+PENALTY = 0.02
 STEPS = 160
 
 # ---- labelled pages
@@ -39,84 +39,95 @@ def _words(rng: random.Random, low: int, high: int) -> str:
     return " ".join(words).capitalize()
 
 
-def _links(rng: random.Random, n: int) -> str:
-    return "".join(f'<li><a href="/{i}">{_words(rng, 1, 3)}</a></li>' for i in range(n))
-
-
 #: Names that pages give to the article and to what is around it.
 ARTICLE_NAMES = ("content", "post", "entry", "entry-content", "post-content", "article", "article-body", "story", "main-content", "text", "body-text", "page-content")
 AROUND = {
-    "menu": ("menu", "nav", "navbar", "navigation", "top-menu", "breadcrumb", "breadcrumbs"),
-    "side": ("sidebar", "side", "widget", "related", "rail", "aside", "recent-posts", "popular"),
-    "notice": ("cookie", "cookie-banner", "consent", "notice", "gdpr", "alert", "banner", "popup", "modal"),
-    "advert": ("ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "ad-slot", "adsbygoogle"),
-    "form": ("search", "subscribe", "newsletter", "login", "signup", "search-form"),
-    "comments": ("comments", "comment", "comment-list", "discussion", "replies", "reader-comments", "disqus"),
+    "menu": ("menu", "nav", "navbar", "navigation", "top-menu", "breadcrumb", "breadcrumbs", "links", "toc"),
+    "side": ("sidebar", "side", "widget", "related", "rail", "aside", "recent-posts", "popular", "more", "read-next"),
+    "notice": ("cookie", "cookies", "cookie-banner", "consent", "notice", "gdpr", "alert", "banner", "popup", "modal", "overlay", "message"),
+    "advert": ("ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "promotion", "ad-slot", "adsbygoogle", "ad-top", "ad-box"),
+    "form": ("search", "subscribe", "newsletter", "login", "signup", "search-form", "contact-form", "form"),
+    "comments": ("comments", "comment", "comment-list", "commentlist", "discussion", "replies", "reader-comments", "user-comments", "disqus", "respond"),
     "foot": ("footer", "foot", "copyright", "legal", "bottom", "site-footer"),
-    "head": ("header", "masthead", "site-header", "top", "branding", "logo"),
-    "share": ("share", "social", "share-buttons", "tags", "meta-links"),
+    "head": ("header", "masthead", "site-header", "top", "branding", "logo", "site-title"),
+    "share": ("share", "sharing", "social", "share-buttons", "tags", "meta-links"),
 }
+#: Elements of each kind; those after the bar say what they are without a name.
+BOXES = {
+    "menu": ("div", "ul", "|", "nav", "menu"), "side": ("div", "section", "|", "aside"), "notice": ("div", "section", "p", "aside", "|", "dialog"),
+    "advert": ("div", "section", "aside", "table", "p", "ins"), "form": ("div", "section", "|", "form", "form"), "comments": ("div", "section", "ol", "ul"),
+    "foot": ("div", "p", "|", "footer", "footer"), "head": ("div", "|", "header", "header"), "share": ("div", "ul", "p"),
+}
+SAYING = {"notice": ("We use cookies. ", "Cookie: "), "advert": ("Advertisement ", "Sponsored: "), "foot": ("&copy; ", "Copyright ", "All rights reserved. "), "comments": ("Reply: ",), "form": ("Subscribe ",)}
+
+
+def _said(rng: random.Random, mark: str = "") -> str:
+    """A run of words; its length and ending say nothing about where it stands."""
+    low, high = rng.choice(((1, 4), (3, 12), (8, 30), (20, 90)))
+    words = " ".join(mark + w for w in _words(rng, low, high).split())
+    return words + rng.choice((".", ".", ".", ""))
+
+
+def _piece(rng: random.Random, within: str, opening: str) -> str:
+    """Something that stands in a box around the article."""
+    link = lambda: f'<a href="/{rng.randrange(99)}">{_words(rng, 1, 3)}</a>'
+    item = lambda: f"<li>{link() if rng.random() < 0.6 else _said(rng)}{rng.choice(('</li>', ''))}"
+    if within in ("ul", "ol"):
+        return "".join(f"<li>{rng.choice(('', '<p>'))}{opening}{link() if rng.random() < 0.5 else _said(rng)}</li>" for _ in range(rng.randint(1, 4)))
+    if within == "table":
+        return f"<tr><td>{opening}{_said(rng)}</td></tr>"
+    if within == "p":
+        return opening + _said(rng)
+    return rng.choice((
+        lambda: f"<p>{opening}{_said(rng)}</p>", lambda: f"<p>{opening}{_said(rng)}</p>", lambda: opening + _said(rng), lambda: f"<ul>{item()}{item()}{item()}</ul>",
+        lambda: f"<{(h := rng.choice(('h1', 'h2', 'h3', 'h4')))}>{_words(rng, 1, 8)}</{h}>", lambda: f"{link()} {link()}", lambda: f"<div>{opening}{_said(rng)}</div>",
+    ))()
 
 
 def _around(rng: random.Random, kind: str) -> str:
+    """A box of a kind: a telling element, a name, or both, with anything in it."""
+    boxes = BOXES[kind]
+    tag = rng.choice([b for b in boxes if b != "|"])
+    tells = "|" in boxes and boxes.index("|") < len(boxes) - 1 - boxes[::-1].index(tag)
     name = rng.choice(AROUND[kind])
-    attribute = f' {rng.choice(("class", "id"))}="{name}"' if rng.random() < 0.85 else ""
-    box = rng.choice(("div", "section"))
-    if kind == "menu":
-        tag = rng.choice(("nav", "nav", "div", "ul"))
-        inside = _links(rng, rng.randint(2, 8))
-        return f"<{tag}{attribute}>{inside}</{tag}>" if tag == "ul" else f"<{tag}{attribute}><ul>{inside}</ul></{tag}>"
-    if kind == "side":
-        tag = rng.choice(("aside", "aside", "div"))
-        rest = f"<ul>{_links(rng, rng.randint(2, 6))}</ul>" if rng.random() < 0.6 else f"<p>{_words(rng, 5, 40)}.</p>"
-        return f"<{tag}{attribute or ' class=sidebar'}><{(h := rng.choice(('h2', 'h3', 'h4')))}>{_words(rng, 1, 4)}</{h}>{rest}</{tag}>"
-    if kind == "notice":
-        named = attribute or ' class="cookie-notice"'
-        return f"<{box}{named}>{rng.choice(('<p>', ''))}{rng.choice(('We use cookies. ', 'Cookie: ', ''))}{_words(rng, 5, 30)}.{rng.choice(('<button>OK</button>', ''))}</{box}>"
-    if kind == "advert":
-        named = attribute or ' class="ad"'
-        return f"<{rng.choice(('div', 'aside'))}{named}>{rng.choice(('Advertisement ', 'Sponsored: ', '', ''))}{rng.choice(('<p>', ''))}{_words(rng, 3, 40)}.</div>"
-    if kind == "form":
-        return f"<form{attribute}><label>{_words(rng, 1, 4)}</label><input name=q><p>{_words(rng, 2, 20)}</p><button>{_words(rng, 1, 2)}</button></form>"
-    if kind == "comments":
-        named = attribute or ' id="comments"'
-        tag = rng.choice(("section", "div", "ol"))
-        each = "".join(f'<{(t := "li" if tag == "ol" else rng.choice(("div", "article", "p")))} class="{rng.choice(("comment", "reply", "comment-body"))}">{rng.choice(("<p>", "<b>x</b> "))}{_words(rng, 4, 60)}.</{t}>' for _ in range(rng.randint(1, 4)))
-        return f"<{tag}{named}>{rng.choice(('<h3>Comments</h3>', '<h2>3 ' + _words(rng, 1, 2) + '</h2>', ''))}{each}</{tag}>"
-    if kind == "foot":
-        tag = rng.choice(("footer", "footer", "div"))
-        return f"<{tag}{attribute if tag == 'footer' else attribute or ' class=footer'}>{rng.choice(('&copy; ', 'Copyright ', ''))}{_words(rng, 2, 30)}.{rng.choice(('', '<p>All rights reserved</p>'))}</{tag}>"
-    if kind == "head":
-        tag = rng.choice(("header", "header", "div"))
-        return f"<{tag}{attribute if tag == 'header' else attribute or ' class=header'}><{(h := rng.choice(('h1', 'p', 'div')))}>{_words(rng, 1, 5)}</{h}>{rng.choice(('', '<p>' + _words(rng, 3, 9) + '</p>'))}</{tag}>"
-    return f'<div{attribute or " class=share"}><a href="#">{_words(rng, 1, 2)}</a> <a href="#">{_words(rng, 1, 2)}</a></div>'
+    attribute = "" if tells and rng.random() < 0.5 else f' {rng.choice(("class", "class", "id"))}="{name}"'
+    opening = rng.choice(SAYING[kind]) if kind in SAYING and rng.random() < 0.12 else ""
+    inside = "".join(_piece(rng, tag, opening if not i else "") for i in range(1 if tag == "p" else rng.randint(1, 4)))
+    if kind == "form" and tag == "form":
+        inside += f"<label>{_words(rng, 1, 3)}</label><input name=q><button>{_words(rng, 1, 2)}</button>"
+    if kind == "comments" and rng.random() < 0.5:
+        inside += f'<div class="{rng.choice(("comment", "reply", "comment-body"))}"><p>{_said(rng)}</p></div>' if tag in ("div", "section") else ""
+    return f"<{tag}{attribute}>{inside}</{tag}>"
 
 
 def _article_parts(rng: random.Random, keep: str) -> list[str]:
     """Pieces of an article; ``keep`` stands before each word of its blocks."""
-    def said(low: int, high: int) -> str:
-        text = _words(rng, low, high)
-        return " ".join(keep + w for w in text.split())
+    phrases = [w for words in SAYING.values() for w in words]
+
+    def said() -> str:
+        """Articles use the phrases of notices and footers too."""
+        opening = " ".join(keep + w for w in rng.choice(phrases).split()) if rng.random() < 0.2 else ""
+        return rng.choice((opening, f"{opening} {_said(rng, keep)}")) if opening else _said(rng, keep)
 
-    end = rng.choice((".", ".", ".", ""))
-    parts = [f"<h1>{said(2, 10)}</h1>"] if rng.random() < 0.8 else []
+    short = lambda: " ".join(keep + w for w in _words(rng, 1, 10).split())
+    parts = [f"<h1>{short()}</h1>"] if rng.random() < 0.8 else []
     for _ in range(rng.randint(1, 9)):
         kind = rng.random()
         if kind < 0.62:
-            inline = f" <b>{said(1, 3)}</b> <a href='/x'>{said(1, 2)}</a>" if rng.random() < 0.2 else ""
-            parts.append(f"<p>{said(1, 90)}{inline}{end}{rng.choice(('</p>', '</p>', ''))}")
+            inline = f" <b>{short()}</b> <a href='/x'>{short()}</a>" if rng.random() < 0.2 else ""
+            parts.append(f"<p>{said()}{inline}{rng.choice(('</p>', '</p>', ''))}")
         elif kind < 0.7:
-            parts.append(f"<p><b>{said(3, 60)}{end}<br>{said(3, 40)}{end}</p>")
-        elif kind < 0.8:
-            parts.append(f"<{(h := rng.choice(('h2', 'h3')))}>{said(1, 7)}</{h}>")
-        elif kind < 0.88:
-            parts.append("<ul>" + "".join(f"<li>{said(1, 20)}{rng.choice(('</li>', ''))}" for _ in range(rng.randint(1, 5))) + "</ul>")
-        elif kind < 0.93:
-            parts.append(f"<blockquote>{said(4, 40)}</blockquote>")
+            parts.append(f"<p><b>{said()}<br>{said()}</p>")
+        elif kind < 0.78:
+            parts.append(f"<{(h := rng.choice(('h2', 'h3')))}>{short()}</{h}>")
+        elif kind < 0.87:
+            parts.append("<ul>" + "".join(f"<li>{said()}{rng.choice(('</li>', ''))}" for _ in range(rng.randint(1, 5))) + "</ul>")
+        elif kind < 0.92:
+            parts.append(f"<blockquote>{said()}</blockquote>")
         elif kind < 0.96:
-            parts.append(f"<table><tr><td>{said(1, 6)}</td><td>{said(1, 6)}</td></tr></table>")
+            parts.append(f"<table><tr><td>{said()}</td><td>{said()}</td></tr></table>")
         else:
-            parts.append(f"<pre>{said(3, 30)}</pre>")
+            parts.append(f"<{(t := rng.choice(('pre', 'div', 'section')))}>{said()}</{t}>")
     return parts
 
 
@@ -127,11 +138,9 @@ KEEP = "\ue000"
 def training_page(rng: random.Random) -> list[tuple[Block, int]]:
     """The blocks of one composed page with their labels."""
     parts = _article_parts(rng, KEEP)
-    for kind in ("advert", "share", "form", "notice", "side"):
-        if rng.random() < 0.18:
+    for kind in AROUND:
+        if rng.random() < 0.22:
             parts.insert(rng.randint(1, len(parts)), _around(rng, kind))
-    if rng.random() < 0.15:
-        parts.append(_around(rng, "comments"))
     shape = rng.random()
     if shape < 0.45:
         opening, closing = f"<article{rng.choice(('', ' class=post'))}>", "</article>"
@@ -143,8 +152,10 @@ def training_page(rng: random.Random) -> list[tuple[Block, int]]:
         opening, closing = rng.choice((("<div>", "</div>"), ("<section>", "</section>"), ("", "")))
     if shape < 0.45 and rng.random() < 0.3:
         opening, closing = "<main>" + opening, closing + "</main>"
-    before = [_around(rng, k) for k in ("head", "menu", "notice", "advert", "form", "side") if rng.random() < 0.5]
-    after = [_around(rng, k) for k in ("comments", "share", "side", "form", "advert", "notice", "menu", "foot") if rng.random() < 0.45]
+    before = [_around(rng, k) for k in AROUND if rng.random() < 0.3]
+    after = [_around(rng, k) for k in AROUND if rng.random() < 0.3]
+    rng.shuffle(before)
+    rng.shuffle(after)
     wrap = rng.choice((("", ""), ('<div class="wrapper">', "</div>"), ('<div id="page"><div class="container">', "</div></div>")))
     page = f"<html><head><title>x</title></head><body>{wrap[0]}{''.join(before)}{opening}{''.join(parts)}{closing}{''.join(after)}{wrap[1]}</body></html>"
     return [(b._replace(text=b.text.replace(KEEP, "")), int(b.text.startswith(KEEP))) for b in blocks(page)]

@@ -292,7 +292,7 @@ def similar(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node and root of every node of ``edges`` (a, b): the least node that it reaches.
 
-    Large and small stars in turn (Kiverstein et al.'s map-reduce connected components):
+    Large and small stars in turn (Kiveris et al., Connected components in MapReduce and beyond):
     each round is two joins with per-node minima, and ends when no edge changes.
     """
     e = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())

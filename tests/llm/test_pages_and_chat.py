@@ -178,3 +178,22 @@ def test_chat_edges(spark):
     assert got[1].n_turns == 2 and got[1].loss_chars == 0 and got[2].loss_chars == 100_000
     assert got[1].turns_sha256 == hashlib.sha256(b"user\n\n\na\n").hexdigest() and got[3].loss_sha256 == hashlib.sha256(b"ba").hexdigest()
     assert chat.formatted(df.limit(0)).count() == 0
+
+
+LONG = "The hewhat nted thatin erthe that of all. " * 6
+BOXES = [
+    "<header><h1>{0}</h1><p>{0}</p></header>", "<aside><h3>Related</h3><p>{1}</p></aside>", '<div class="sidebar"><p>{1}</p></div>', '<div class="cookie"><p>{0}</p></div>', '<div id="cookie-notice">{1}</div>',
+    '<div class="notice"><p>{1}</p></div>', '<form><label>{0}</label><input><button>Go</button></form>', '<section class="comments"><h2>Comments</h2><p>{1}</p></section>', '<ol class="commentlist"><li>{1}</li></ol>',
+    '<div class="ad"><p>{1}</p></div>', '<ins class="adsbygoogle">{0}</ins>', '<ul class="menu"><li><a href=/>a</a></li></ul>', '<div class="footer"><p>{1}</p></div>', '<div class="newsletter"><p>{1}</p></div>', "<dialog open><p>{0}</p></dialog>",
+]
+
+
+@pytest.mark.parametrize("box", BOXES)
+def test_boxes_around_and_within(model, box):
+    extra = box.format("Nicht aulich für sch erüver enau sch der.", LONG)
+    body = BODY + f"<p>{LONG}All rights reserved.</p><p>All rights reserved.</p><ul><li>One of them</li><li>Other</li></ul>"
+    wanted = f"{TEXT} {LONG}All rights reserved. All rights reserved. One of them Other"
+    for opening, closing in (("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>")):
+        for before, within, after in ((extra, "", ""), ("", extra, ""), ("", "", extra)):
+            page = f"<body><nav><ul><li><a href=/>x</a></li></ul></nav>{before}{opening}{body}{within}{closing}{after}<footer>&copy; a.example</footer></body>"
+            assert html_crf.main_text(page, model) == wanted
