@@ -21,6 +21,7 @@ repeated rows come back as often as they went in; an empty table gives an empty
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -44,11 +45,16 @@ WORD_PRINTS = 3
 FAR_BITS = 18
 SIMILAR_WORDS = 5
 SIMILARITY = 0.8
+#: Distances in a group's order from which, and below which, pairs are verified in one round.
+BANDS = ((1, 4), (4, 64), (64, 1 << 62))
 #: Hashes whose bits are counted at once.
 CHUNK = 65_536
 
 _STARTS = np.cumsum((0, *SEGMENTS[:-1]))
 _MASKS = [np.uint64(((1 << w) - 1) << int(s)) for w, s in zip(SEGMENTS, _STARTS)]
+_KEY_OF = np.full((len(SEGMENTS),) * 3, -1)
+for _i, _three in enumerate(combinations(range(len(SEGMENTS)), 3)):
+    _KEY_OF[_three] = _i
 _BUDGET = [n * MAX_BITS // len(SEGMENTS) for n in range(1, len(SEGMENTS) + 1)]
 
 
@@ -195,70 +201,134 @@ def links(classes: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     return found.distinct()
 
 
-def _near_in_words(key: np.ndarray, w: np.ndarray, fp: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row, of the rows before it under its key the first and the nearest that its words are near to."""
-    n = len(key)
-    first, near, least = np.full(n, -1), np.full(n, -1), np.full(n, FAR_BITS + 1)
-    at, gap = np.arange(n), 0
-    while len(at):
-        gap += 1
-        at = at[at + gap < n]
-        at = at[key[at + gap] == key[at]]
-        a = at[root[at] != root[at + gap]]
-        x = w[a] ^ w[a + gap]
-        keep = ring_viable(x)
-        a, x = a[keep], x[keep]
-        far = np.bitwise_count(fp[a] ^ fp[a + gap])
-        ok = (np.bitwise_count(x) <= MAX_BITS) & (far <= FAR_BITS)
-        a, far = a[ok], far[ok]
-        first[a + gap] = a
-        better = far < least[a + gap]
-        near[a[better] + gap], least[a[better] + gap] = a[better], far[better]
-    b = np.concatenate([np.flatnonzero(first >= 0), np.flatnonzero(near >= 0)])
-    a = np.concatenate([first[first >= 0], near[near >= 0]])
-    return fp[a], fp[b]
-
-
-def _word_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, w, fp, root) sorted by key; a key's rows may run over several batches."""
-    kept = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)]
-
-    def pairs(part: list[np.ndarray]) -> pa.RecordBatch:
-        a, b = _near_in_words(*part)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+def _first_key(x: np.ndarray) -> np.ndarray:
+    """Which of the 35 keys is the first that two fingerprints share, from their differing bits."""
+    other = np.stack([(x & m) != 0 for m in _MASKS], axis=1)
+    three = np.argsort(other, axis=1, kind="stable")[:, :3]
+    return _KEY_OF[three[:, 0], three[:, 1], three[:, 2]]
 
-    for batch in batches:
-        new = [batch.column(i).to_numpy() for i in range(4)]
-        new[1], new[2] = new[1].view(np.uint64), new[2].view(np.uint64)
-        all_ = [np.concatenate(x) for x in zip(kept, new)]
-        if not len(all_[0]):
-            continue
-        cut = int(np.searchsorted(all_[0], all_[0][-1]))
-        yield pairs([x[:cut] for x in all_])
-        kept = [x[cut:] for x in all_]
-    yield pairs(kept)
 
+def _hubs(w: np.ndarray, fp: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of each group the row nearest to what most of its rows have in each bit."""
+    away = np.zeros(len(w), np.int64)
+    for x in (w, fp):
+        bits = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        most = 2 * np.add.reduceat(bits, starts, axis=0, dtype=np.int32) > size[:, None]
+        away += np.bitwise_count(x ^ np.packbits(most, axis=1, bitorder="little").view(np.uint64).ravel().repeat(size))
+    return np.lexsort((away, np.arange(len(size)).repeat(size)))[starts]
 
-def word_pairs(rooted: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
-    """Pairs a, b of fingerprints of different components whose word sets are near, two for each row and key at most.
 
-    ``rooted`` has fp, root and ws, the fingerprints of the word sets. Large groups go
-    through the fingerprints around, as in ``links``.
+def _near_in_words(part: list[np.ndarray], low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows under one key, ``low`` to ``high - 1`` places apart, that both bit tests pass and no root joins.
+
+    A pair is given under the first key that it shares. From ``low`` = 1 each row also
+    meets the hub of its group, which joins most of a family before all pairs are asked.
+    """
+    n = len(part[0])
+    if not n:
+        return
+    starts = np.flatnonzero(np.append(True, part[0][1:] != part[0][:-1]))
+    size = np.diff(np.append(starts, n))
+    mixed = np.minimum.reduceat(part[3], starts) < np.maximum.reduceat(part[3], starts)
+    key, w, fp, root = (x[mixed.repeat(size)] for x in part)
+    size = size[mixed]
+    starts = np.cumsum(size) - size
+
+    def near(a: np.ndarray, b: np.ndarray, once: bool) -> tuple[np.ndarray, np.ndarray]:
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+        x = w[a] ^ w[b]
+        ok = (np.bitwise_count(x) <= MAX_BITS) & (np.bitwise_count(fp[a] ^ fp[b]) <= FAR_BITS)
+        a, b, x = a[ok], b[ok], x[ok]
+        if once and len(a):
+            ok = _first_key(x) == (key[a] >> 40) & 0xFF
+            a, b = a[ok], b[ok]
+        return fp[a], fp[b]
+
+    if low == 1 and len(size):
+        yield near(_hubs(w, fp, starts, size).repeat(size), np.arange(len(key)), False)
+    at, pending, held = np.arange(len(key)), [], 0
+    for gap in range(low, high):
+        at = at[at + gap < len(key)]
+        at = at[key[at + gap] == key[at]]
+        if not len(at):
+            break
+        pending.append(near(at, at + gap, True))
+        held += len(pending[-1][0])
+        if held > CHUNK or len(pending) > CHUNK:
+            yield tuple(map(np.concatenate, zip(*pending)))
+            pending, held = [], 0
+    if pending:
+        yield tuple(map(np.concatenate, zip(*pending)))
+
+
+def _word_pairs(low: int, high: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (key, w, fp, root) sorted by key; a key's rows may run over several batches."""
+        kept = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)]
+
+        def pairs(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for a, b in _near_in_words(part, low, high):
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+        for batch in batches:
+            new = [batch.column(i).to_numpy() for i in range(4)]
+            new[1], new[2] = new[1].view(np.uint64), new[2].view(np.uint64)
+            all_ = [np.concatenate(x) for x in zip(kept, new)]
+            if not len(all_[0]):
+                continue
+            cut = int(np.searchsorted(all_[0], all_[0][-1]))
+            yield from pairs([x[:cut] for x in all_])
+            kept = [x[cut:] for x in all_]
+        yield from pairs(kept)
+
+    return rows
+
+
+def word_links(rooted: DataFrame, reps: DataFrame, docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame | None:
+    """Links a, b that join all documents of different components whose word sets are near and whose shingles are similar.
+
+    ``rooted`` has fp, root and ws, the fingerprints of the word sets; ``reps`` and ``docs``
+    are as in ``similar``. Every pair that passes both bit tests is verified, unless links
+    found before join it: pairs come in rounds by their distance in the group's order, and
+    after each round components are contracted. Large groups go through the fingerprints
+    around, as in ``links``.
     """
     each = rooted.select("fp", "root", F.posexplode("ws").alias("which", "w"))
     keyed = each.select("fp", "root", "which", "w", F.explode(F.array(*[F.expr(k) for k in _keys("w")])).alias("k"))
     keyed = keyed.select("fp", "root", "w", "which", F.expr("k | shiftleft(cast(which as bigint), 48)").alias("key"))
     of_key = [f"{f} over (partition by key) as {name}" for f, name in (("count(*)", "n"), ("min(root)", "low"), ("max(root)", "high"))]
     sized = stage(keyed.selectExpr("key", "w", "fp", "root", "which", *of_key).filter("low < high"))
-    small = sized.filter(F.col("n") <= max_group).select("key", "w", "fp", "root")
-    found = small.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_word_pairs, "a long, b long")
+    roots = stage(sized.select("fp", "root").distinct())
+    small = sized.filter(F.col("n") <= max_group).select("key", "w", "fp")
     large = sized.filter(F.col("n") > max_group).select("which", "w", "fp").distinct()
+    links = []
+
+    def settle(found: DataFrame) -> None:
+        nonlocal roots
+        pairs = stage(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        if pairs.isEmpty():
+            return
+        good = stage(similar(pairs, reps, docs))
+        discard(pairs)
+        if good.isEmpty():
+            return
+        links.append(good)
+        of_a, of_b = roots.selectExpr("fp as a", "root as u"), roots.selectExpr("fp as b", "root as v")
+        joined = stage(components(good.join(of_a, "a").join(of_b, "b").selectExpr("u as a", "v as b"))).selectExpr("node as root", "root as new")
+        last, roots = roots, stage(join_checked(roots, joined, "root", "left").select("fp", F.coalesce("new", "root").alias("root")))
+        discard(last)
+
+    for low, high in BANDS:
+        rows = join_checked(small, roots, "fp").select("key", "w", "fp", "root")
+        settle(rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_word_pairs(low, high), "a long, b long"))
     if not large.isEmpty():
         near = large.select("w").distinct().withColumnRenamed("w", "fp").mapInArrow(_ball, "z long, fp long").withColumnRenamed("fp", "w")
         met = stage(near.join(large, "w"))
         least = met.groupBy("which", "z").agg(F.min("fp").alias("a"), F.count("*").alias("m")).filter("m > 1").select("which", "z", "a")
-        found = found.union(met.join(least, ["which", "z"]).filter("fp <> a").select("a", F.col("fp").alias("b")))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        settle(met.join(least, ["which", "z"]).filter("fp <> a").select("a", F.col("fp").alias("b")))
+    discard(sized, roots)
+    return reduce(DataFrame.union, links) if links else None
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,9 +425,9 @@ def keep_one(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     edges = stage(links(classes.select("fp"), max_group))
     rooted = classes.join(components(edges), classes.fp == F.col("node"), "left")
     rooted = stage(rooted.select("fp", F.coalesce("root", "fp").alias("root"), F.col("rep.ws").alias("ws")), rows)
-    more = stage(word_pairs(rooted, max_group))
     reps = classes.select("fp", "rep.doc_id", "rep.th")
-    linked = components(edges.union(similar(more, reps, source)))
+    more = word_links(rooted, reps, source, max_group)
+    linked = components(edges if more is None else edges.union(more))
     grouped = classes.join(linked, classes.fp == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root"))
     chosen = stage(grouped.agg(F.min("rep").alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.th").alias("_h")), rows)
     kept = keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")), "left_semi")

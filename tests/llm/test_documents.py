@@ -518,3 +518,49 @@ def test_keep_one_with_large_groups_takes_the_other_way(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in simhash.keep_one(df, max_group=3).collect()} == {0, 500}
     assert {r.doc_id for r in simhash.keep_one(df).collect()} == {0, 500}
+
+
+def star(variants: int, changed: int = 4) -> list[tuple[int, str]]:
+    """A text of 200 words, and variants each like it but mostly not like each other."""
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, variants + 1):
+        words = list(base)
+        for at in rng.sample(range(200), changed):
+            words[at] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def plain_kept(rows: list[tuple[int, str]]) -> set[int]:
+    """The least id of each component over all pairs that link, or that both bit tests pass and that are similar."""
+    fp = np.array([simhash.fingerprint(t.encode()) for _, t in rows], np.uint64)
+    ws = np.array([simhash.word_fingerprints(t.encode()) for _, t in rows], np.uint64)
+    shingles = []
+    for _, t in rows:
+        words = t.split()
+        shingles.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        far = np.bitwise_count(fp ^ fp[i])
+        words_near = (np.bitwise_count(ws ^ ws[i]) <= simhash.MAX_BITS).any(axis=1) & (far <= simhash.FAR_BITS)
+        for j in np.flatnonzero((far <= simhash.MAX_BITS) | words_near).tolist():
+            shared = len(shingles[i] & shingles[j])
+            if j < i and (far[j] <= simhash.MAX_BITS or shared >= 0.8 * (len(shingles[i]) + len(shingles[j]) - shared)):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {rows[i][0] for i in range(len(rows)) if find(i) == i}
+
+
+def test_keep_one_verifies_every_pair_near_in_words(spark):
+    rows = star(300)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one(df).collect()}
+    assert kept == plain_kept(rows)
