@@ -37,7 +37,7 @@ SEED = 42
 MAX_BITS = 4
 #: Widths of the ring's segments, from the lowest bit.
 SEGMENTS = (9, 9, 9, 9, 9, 9, 10)
-#: Classes under one key that are still compared with each other.
+#: Classes under one key that are still compared with each other, and rows of a block in ``word_links``.
 MAX_GROUP = 8192
 #: For ``keep_one``: fingerprints of word sets, the bits in which the texts' own fingerprints
 #: may differ for a pair to be verified, the words of a shingle, and the least similarity.
@@ -218,20 +218,22 @@ def _hubs(w: np.ndarray, fp: np.ndarray, starts: np.ndarray, size: np.ndarray) -
     return np.lexsort((away, np.arange(len(size)).repeat(size)))[starts]
 
 
-def _near_in_words(part: list[np.ndarray], low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows under one key, ``low`` to ``high - 1`` places apart, that both bit tests pass and no root joins.
+def _near_in_words(part: list[np.ndarray], low: int, high: int, hubs: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of one part, ``low`` to ``high - 1`` places apart, that both bit tests pass and no root joins.
 
-    A pair is given under the first key that it shares. From ``low`` = 1 each row also
-    meets the hub of its group, which joins most of a family before all pairs are asked.
+    A pair is given under the first key that it shares, and where a part is made of two
+    blocks only if its rows are of different ones. With ``hubs`` each row also meets the hub
+    of its part, which joins most of a family before all pairs are asked.
     """
     n = len(part[0])
     if not n:
         return
-    starts = np.flatnonzero(np.append(True, part[0][1:] != part[0][:-1]))
+    starts = np.flatnonzero(np.append(True, (part[0][1:] != part[0][:-1]) | (part[4][1:] != part[4][:-1])))
     size = np.diff(np.append(starts, n))
     mixed = np.minimum.reduceat(part[3], starts) < np.maximum.reduceat(part[3], starts)
-    key, w, fp, root = (x[mixed.repeat(size)] for x in part)
+    key, w, fp, root, _, block, two = (x[mixed.repeat(size)] for x in part)
     size = size[mixed]
+    group = np.arange(len(size)).repeat(size)
     starts = np.cumsum(size) - size
 
     def near(a: np.ndarray, b: np.ndarray, once: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -241,16 +243,16 @@ def _near_in_words(part: list[np.ndarray], low: int, high: int) -> Iterator[tupl
         ok = (np.bitwise_count(x) <= MAX_BITS) & (np.bitwise_count(fp[a] ^ fp[b]) <= FAR_BITS)
         a, b, x = a[ok], b[ok], x[ok]
         if once and len(a):
-            ok = _first_key(x) == (key[a] >> 40) & 0xFF
+            ok = (_first_key(x) == (key[a] >> 40) & 0xFF) & (~two[a] | (block[a] != block[b]))
             a, b = a[ok], b[ok]
         return fp[a], fp[b]
 
-    if low == 1 and len(size):
+    if hubs and len(size):
         yield near(_hubs(w, fp, starts, size).repeat(size), np.arange(len(key)), False)
     at, pending, held = np.arange(len(key)), [], 0
     for gap in range(low, high):
         at = at[at + gap < len(key)]
-        at = at[key[at + gap] == key[at]]
+        at = at[group[at + gap] == group[at]]
         if not len(at):
             break
         pending.append(near(at, at + gap, True))
@@ -262,22 +264,23 @@ def _near_in_words(part: list[np.ndarray], low: int, high: int) -> Iterator[tupl
         yield tuple(map(np.concatenate, zip(*pending)))
 
 
-def _word_pairs(low: int, high: int):
+def _word_pairs(low: int, high: int, hubs: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (key, w, fp, root) sorted by key; a key's rows may run over several batches."""
-        kept = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)]
+        """Rows (key, w, fp, root, part, block, two) sorted by key and part; a part's rows may run over several batches."""
+        kept = [np.empty(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64, bool)]
 
         def pairs(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for a, b in _near_in_words(part, low, high):
+            for a, b in _near_in_words(part, low, high, hubs):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
-            new = [batch.column(i).to_numpy() for i in range(4)]
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
             new[1], new[2] = new[1].view(np.uint64), new[2].view(np.uint64)
             all_ = [np.concatenate(x) for x in zip(kept, new)]
             if not len(all_[0]):
                 continue
-            cut = int(np.searchsorted(all_[0], all_[0][-1]))
+            last = (all_[0] == all_[0][-1]) & (all_[4] == all_[4][-1])
+            cut = len(last) - int(last.sum())
             yield from pairs([x[:cut] for x in all_])
             kept = [x[cut:] for x in all_]
         yield from pairs(kept)
@@ -291,8 +294,9 @@ def word_links(rooted: DataFrame, reps: DataFrame, docs: DataFrame, max_group: i
     ``rooted`` has fp, root and ws, the fingerprints of the word sets; ``reps`` and ``docs``
     are as in ``similar``. Every pair that passes both bit tests is verified, unless links
     found before join it: pairs come in rounds by their distance in the group's order, and
-    after each round components are contracted. Large groups go through the fingerprints
-    around, as in ``links``.
+    after each round components are contracted. A group of over ``max_group`` rows is dealt
+    into blocks by hash: each block is a part, and so are any two blocks, first for their hubs
+    and at last for all pairs. So a task has two blocks at once, and no pair is left out.
     """
     each = rooted.select("fp", "root", F.posexplode("ws").alias("which", "w"))
     keyed = each.select("fp", "root", "which", "w", F.explode(F.array(*[F.expr(k) for k in _keys("w")])).alias("k"))
@@ -300,8 +304,9 @@ def word_links(rooted: DataFrame, reps: DataFrame, docs: DataFrame, max_group: i
     of_key = [f"{f} over (partition by key) as {name}" for f, name in (("count(*)", "n"), ("min(root)", "low"), ("max(root)", "high"))]
     sized = stage(keyed.selectExpr("key", "w", "fp", "root", "which", *of_key).filter("low < high"))
     roots = stage(sized.select("fp", "root").distinct())
-    small = sized.filter(F.col("n") <= max_group).select("key", "w", "fp")
-    large = sized.filter(F.col("n") > max_group).select("which", "w", "fp").distinct()
+    count = f"cast(ceil(n / {max_group}) as bigint)"
+    dealt = sized.selectExpr("key", "w", "fp", f"{count} as blocks", f"pmod(xxhash64(fp), {count}) as block")
+    blocks = sized.selectExpr(f"max({count}) as blocks").first().blocks or 1
     links = []
 
     def settle(found: DataFrame) -> None:
@@ -319,14 +324,26 @@ def word_links(rooted: DataFrame, reps: DataFrame, docs: DataFrame, max_group: i
         last, roots = roots, stage(join_checked(roots, joined, "root", "left").select("fp", F.coalesce("new", "root").alias("root")))
         discard(last)
 
-    for low, high in BANDS:
-        rows = join_checked(small, roots, "fp").select("key", "w", "fp", "root")
-        settle(rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_word_pairs(low, high), "a long, b long"))
-    if not large.isEmpty():
-        near = large.select("w").distinct().withColumnRenamed("w", "fp").mapInArrow(_ball, "z long, fp long").withColumnRenamed("fp", "w")
-        met = stage(near.join(large, "w"))
-        least = met.groupBy("which", "z").agg(F.min("fp").alias("a"), F.count("*").alias("m")).filter("m > 1").select("which", "z", "a")
-        settle(met.join(least, ["which", "z"]).filter("fp <> a").select("a", F.col("fp").alias("b")))
+    def ask(parts: DataFrame, low: int, high: int, hubs: bool) -> None:
+        rows = join_checked(parts, roots, "fp").select("key", "w", "fp", "root", "part", "block", "two")
+        settle(rows.repartition("key", "part").sortWithinPartitions("key", "part", "fp").mapInArrow(_word_pairs(low, high, hubs), "a long, b long"))
+
+    def apart(least: int, most: int) -> DataFrame:
+        """Parts of two blocks each that are ``least`` to ``most`` places from each other."""
+        by = f"explode(sequence({least}L, least({most}L, blocks - 1))) as by"
+        sides = dealt.filter(F.col("blocks") > least).selectExpr("*", by).selectExpr("*", "explode(array(block, block - by)) as first")
+        sides = sides.filter("first >= 0 and first + by < blocks")
+        return sides.selectExpr("key", "w", "fp", "first * blocks + by as part", "block", "true as two")
+
+    alone = dealt.selectExpr("key", "w", "fp", "block as part", "block", "false as two")
+    steps = [(1 << i, (2 << i) - 1) for i in range((blocks - 1).bit_length())]
+    for i, (low, high) in enumerate(BANDS):
+        ask(alone, low, high, i == 0)
+        if i == 0:
+            for least, most in steps:
+                ask(apart(least, most), 1, 1, True)
+    for least, most in steps:
+        ask(apart(least, most), 1, 1 << 62, False)
     discard(sized, roots)
     return reduce(DataFrame.union, links) if links else None
 

@@ -564,3 +564,20 @@ def test_keep_one_verifies_every_pair_near_in_words(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r.doc_id for r in simhash.keep_one(df).collect()}
     assert kept == plain_kept(rows)
+
+
+def test_keep_one_with_blocks_verifies_every_pair(spark):
+    rows = star(150)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in simhash.keep_one(df, max_group=60).collect()} == plain_kept(rows)
+
+
+def test_large_groups_verify_more_than_the_least_fingerprint(spark):
+    """One word-print for all: the least fingerprint is unlike the others, which are alike in twos."""
+    text = lambda kind, last: " ".join([*(f"{kind}{i}" for i in range(60)), last])
+    texts = {1: text("a", "x"), 2: text("b", "x"), 3: text("b", "y"), 4: text("c", "x"), 5: text("c", "y"), 6: text("d", "x")}
+    docs = spark.createDataFrame([(i, i, t) for i, t in texts.items()], "doc_id long, th long, text string")
+    rooted = docs.select(F.col("doc_id").alias("fp"), F.col("doc_id").alias("root"), F.array(*[F.lit(7).cast("long")] * 3).alias("ws"))
+    reps = docs.select(F.col("doc_id").alias("fp"), "doc_id", "th")
+    found = simhash.word_links(rooted, reps, docs, max_group=2)
+    assert found is not None and {tuple(r) for r in found.collect()} == {(2, 3), (4, 5)}
