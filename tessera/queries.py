@@ -657,7 +657,7 @@ def expand_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 c as (select config, w, unnest(range(w * h)) as i from s)
 select config, i // w as y, i % w as x, case when config like '%delta%' then (i * (i + 1) // 2) % 256 else i % 256 end as v from c""")
 def generated_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Named test planes."""
+    """Named test planes."""
     out = None
     for config in ("8x8_ident", "16x8_ident", "16x16_ident", "16x16_delta_ident", "32x32_delta_ident"):
         one = generators.frame(spark, config).select(F.lit(config).alias("config"), "y", "x", F.col("v").cast("long").alias("v"))
