@@ -89,6 +89,14 @@ def discard(*staged: DataFrame) -> None:
             _remove(df.sparkSession, path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a helper column that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
     """``left`` joined with ``right``, which is broadcast only if it is counted as small.
 
@@ -110,19 +118,18 @@ def rank_in_groups(df: DataFrame, group: list[str], order: list[Column], bucket:
 
     ``bucket`` cuts each group into pieces that are ordered among themselves; a piece is
     sorted alone and starts at the sum of the counts before it. The table of counts has a
-    row for each group and piece, and is summed in the order of the pieces.
+    row for each group and piece, and is summed in the order of the pieces. Helper columns
+    meet no name of ``df``.
     """
-    cut = df.withColumn("_b", bucket)
-    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    piece, other, n, start = (fresh(df, x) for x in ("piece", "other_piece", "n", "start"))
+    of = [fresh(df, f"of_{g}") for g in group]
+    cut = df.withColumn(piece, bucket)
+    before = Window.partitionBy(*group).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
     starts = stage(
-        cut.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
-        .withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_b").alias("_c"), "_from")
-    )
-    on = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)] + [F.col("_b") == F.col("_c")]
-    inside = Window.partitionBy(*group, "_b").orderBy(*order)
-    return (
-        join_checked(cut, starts, on)
-        .withColumn(out, F.col("_from") + F.row_number().over(inside) - 1)
-        .drop("_b", "_c", "_from", *[f"_g{i}" for i in range(len(group))])
+        cut.groupBy(*group, piece).agg(F.count("*").alias(n))
+        .withColumn(start, F.coalesce(F.sum(n).over(before), F.lit(0)))
+        .select(*[F.col(g).alias(o) for g, o in zip(group, of)], F.col(piece).alias(other), start)
     )
+    on = [F.col(g).eqNullSafe(F.col(o)) for g, o in zip(group, of)] + [F.col(piece) == F.col(other)]
+    inside = Window.partitionBy(*group, piece).orderBy(*order)
+    return join_checked(cut, starts, on).withColumn(out, F.col(start) + F.row_number().over(inside) - 1).drop(piece, other, start, *of)

@@ -1,193 +1,76 @@
 """Quality rules: word and line statistics, and bands of n-gram perplexity per language.
 
-The language model is a modified Kneser-Ney model of order 4 over 32 classes of bytes
-(letters without case, white space, digits, symbols, other punctuation, lead and
-continuation bytes of UTF-8). Spark counts the 4-grams of all documents. As there are
-only 32 classes, a count table has at most 2**20 rows whatever the corpus holds, which
-bounds the table that the driver turns into the model and the model that is broadcast.
-The model is stored as sorted arrays of n-gram hashes with log probabilities beside them.
+The language model of each language is a modified Kneser-Ney model of order 4 over the
+UTF-16 units of the text as it is, so that every letter of every script counts for itself
+(a symbol beyond the basic plane is two units). Spark counts the 4-grams of all
+documents; those of the reference texts of a language train its model: texts that pass
+the base rules and whose share of symbols lies in no higher step than that of the
+language's median (``STEPS`` per power of two; no symbols at all is a step of its own). The
+table of 4-grams covers all documents, so each has its interpolated probability there,
+with a count of zero or more, and no text needs anything that the table lacks.
+
+Levels, discounts and weights are joins and sums by language and history in Spark. The
+result is stored as sorted hash arrays: hashes of 4-grams by language, with log
+probabilities beside them. Arrays of the ``HEAD`` most frequent 4-grams go to every task;
+where there are more, texts look up the others in the table by an exact join.
 
 A language's lower and upper band lie around the median log perplexity of all its different
 texts that pass the base rules; copies count once. A short text strays further from it than
 a long one, as the mean of n terms does, so the bands are FLOOR + SPREAD * m / sqrt(n) away
-for a text of n bytes. m is the median of |log perplexity - median| * sqrt(n), but at least
+for a text of n units. m is the median of |log perplexity - median| * sqrt(n), but at least
 LEAST_STRAY times the median deviation of single terms within a text: near copies that make
 up most of a language would else draw the bands together around themselves.
 
 Defined cases: null text has no words and fails the base rules; a null language is a
-language of its own; repeated rows come back as often as they went in; with no document
-that passes the base rules there are no bands, and nothing is kept; an empty table gives
-an empty result.
+language of its own, apart from the empty string; a very long text is read in pieces of
+``CHUNK`` units; repeated rows come back as often as they went in; a language without a text
+that passes the base rules has no bands, and nothing of it is kept; other columns are not
+read, and ``keep_good`` names its helpers so that they meet no column of the input; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import join_checked, stage
+from .common import discard, fresh, join_checked, stage
 
 ORDER = 4
-BITS = 5
-CELLS = 1 << (ORDER * BITS)
-FLOOR = 0.03
-SPREAD = 5.0
+UNIT = 16
+FLOOR = 0.02
+SPREAD = 8.0
 LEAST_STRAY = 0.4
 MIN_WORDS = 10
 WINDOW = 5
-#: Bytes whose n-grams are taken at once.
+#: Steps of the share of symbols for each power of two, and the step of texts that fail the base rules.
+STEPS = 2
+NEVER = 1 << 20
+#: 4-grams whose probabilities every task holds, in 12 bytes each; the others are joined.
+HEAD = 1 << 21
+COUNT_STEPS = 64
+#: Units whose n-grams are taken at once, and distinct n-grams that a task gathers before it sends them on.
 CHUNK = 1 << 20
+FLUSH = 1 << 21
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
 
 
-def _classes() -> np.ndarray:
-    table = np.full(256, 29, np.int32)
-    table[list(_SPACE)] = 0
-    for i in range(26):
-        table[[97 + i, 65 + i]] = 1 + i
-    table[48:58] = 27
-    table[list(_SYMBOLS)] = 28
-    table[0x80:0xC0] = 31
-    table[0xC0:] = 30
-    return table
-
-
-CLASS_OF = _classes()
-
-
-def grams(text: bytes) -> Iterator[np.ndarray]:
-    """Codes of the 4-grams of a text, white space before it; in pieces of ``CHUNK``."""
-    data = np.frombuffer(text, np.uint8)
-    tail = np.zeros(ORDER - 1, np.int32)
-    for i in range(0, len(data), CHUNK):
-        c = np.concatenate([tail, CLASS_OF[data[i : i + CHUNK]]])
+def grams(text: str | None) -> Iterator[np.ndarray]:
+    """The 4-grams of a text as unsigned 64-bit numbers, zero units before it; in pieces of ``CHUNK``."""
+    units = np.frombuffer((text or "").encode("utf-16-le", "surrogatepass"), "<u2")
+    tail = np.zeros(ORDER - 1, np.uint64)
+    for i in range(0, len(units), CHUNK):
+        c = np.concatenate([tail, units[i : i + CHUNK].astype(np.uint64)])
         tail = c[-(ORDER - 1) :]
-        yield (c[:-3] << 15) | (c[1:-2] << 10) | (c[2:-1] << 5) | c[3:]
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(CELLS, np.int64)
-    for batch in batches:
-        pending, size = [], 0
-        for t in batch.column(0):
-            for g in grams(t.as_py() or b""):
-                pending.append(g)
-                size += len(g)
-                if size > CHUNK:
-                    total += np.bincount(np.concatenate(pending), minlength=CELLS)
-                    pending, size = [], 0
-        if pending:
-            total += np.bincount(np.concatenate(pending), minlength=CELLS)
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], ["gram", "n"])
-
-
-def count_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """gram and n: counts of all 4-grams, at most 2**20 rows; each task sends sums only."""
-    rows = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(_count, "gram long, n long")
-    return rows.groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def hashes(order: int, code: np.ndarray) -> np.ndarray:
-    """64-bit hashes of n-grams; a bijection of (order, code), so that none collide."""
-    x = (code.astype(np.uint64) << np.uint64(3)) | np.uint64(order)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class KneserNey:
-    """Modified Kneser-Ney probabilities in sorted hash arrays.
-
-    ``keys`` are sorted hashes of all n-grams seen, ``logp`` their interpolated log
-    probabilities, ``backoff`` the log weight they give to shorter histories when they
-    are histories themselves.
-    """
-
-    def __init__(self, gram: np.ndarray, n: np.ndarray):
-        levels: dict[int, tuple[np.ndarray, np.ndarray]] = {ORDER: (gram, n)}
-        for k in range(ORDER - 1, 0, -1):  # how many different symbols come before
-            code, count = np.unique(levels[k + 1][0] & ((1 << (BITS * k)) - 1), return_counts=True)
-            levels[k] = (code, count)
-        below = np.full(1 << BITS, 1.0 / (1 << BITS))  # each level's probabilities, dense
-        dense, weights, seen = {}, {}, {k: levels[k][0] for k in levels}
-        for k in range(1, ORDER + 1):
-            code, count = levels[k]
-            history, size = code >> BITS, 1 << (BITS * (k - 1))
-            d = self._discounts(count)[np.minimum(count, 3)]
-            total = np.bincount(history, count, size)
-            freed = np.bincount(history, d, size)
-            weight = np.divide(freed, total, out=np.ones(size), where=total > 0)
-            lower = np.tile(below, (1 << BITS * k) // len(below))
-            dense[k] = weight.repeat(1 << BITS) * lower
-            dense[k][code] += (count - d) / total[history]
-            below = dense[k]
-            if k > 1:  # a history may itself never follow anything, as at the start of texts
-                weights[k - 1] = weight
-                seen[k - 1] = np.union1d(seen[k - 1], np.flatnonzero(total))
-        self.base = float(np.log(dense[1].min())) if len(gram) else -BITS * np.log(2)
-        keys = np.concatenate([hashes(k, seen[k]) for k in seen])
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.logp = np.concatenate([np.log(dense[k][seen[k]]) for k in seen])[order].astype(np.float32)
-        self.backoff = np.concatenate([np.log(weights[k][seen[k]]) if k in weights else np.zeros(len(seen[k])) for k in seen])[order].astype(np.float32)
-
-    @classmethod
-    def of(cls, parts: tuple) -> KneserNey:
-        """A model from what ``parts`` gave."""
-        model = cls.__new__(cls)
-        model.keys, model.logp, model.backoff, model.base = parts
-        return model
-
-    def parts(self) -> tuple:
-        """Plain arrays, which any Python worker can read."""
-        return self.keys, self.logp, self.backoff, self.base
-
-    @staticmethod
-    def _discounts(count: np.ndarray) -> np.ndarray:
-        """D for counts 0, 1, 2 and 3 or more, from how many n-grams have counts 1 to 4."""
-        n1, n2, n3, n4 = (max(1, int((count == i).sum())) for i in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2)
-        return np.clip([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0, 0.05, 0.1, 0.15], [0, 0.95, 1.9, 2.85])
-
-    def look_up(self, order: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where n-grams are in the arrays, and whether they are there."""
-        h = hashes(order, code)
-        at = np.minimum(np.searchsorted(self.keys, h), max(0, len(self.keys) - 1))
-        return at, self.keys[at] == h if len(self.keys) else np.zeros(len(h), bool)
-
-    def score(self, code: np.ndarray) -> np.ndarray:
-        """Log probability of the last symbol of each 4-gram after the others."""
-        out, weight = np.zeros(len(code)), np.zeros(len(code))
-        todo = np.arange(len(code))
-        for k in range(ORDER, 0, -1):
-            part = code[todo] & ((1 << (BITS * k)) - 1)
-            at, found = self.look_up(k, part)
-            out[todo[found]] = weight[todo[found]] + self.logp[at[found]]
-            todo, part = todo[~found], part[~found]
-            if not len(todo):
-                return out
-            if k > 1:
-                at, seen = self.look_up(k - 1, part >> BITS)
-                weight[todo[seen]] += self.backoff[at[seen]]
-        out[todo] = weight[todo] + self.base
-        return out
-
-    def dense(self) -> np.ndarray:
-        """Scores of all 2**20 4-grams, which a worker looks up once."""
-        return self.score(np.arange(CELLS)).astype(np.float32)
-
-
-def fit(counts: DataFrame) -> KneserNey:
-    """The model from the counts; they have at most 2**20 rows (see above)."""
-    got = counts.toArrow().sort_by("gram")
-    return KneserNey(got["gram"].to_numpy(), got["n"].to_numpy())
+        yield (c[:-3] << np.uint64(48)) | (c[1:-2] << np.uint64(32)) | (c[2:-1] << np.uint64(16)) | c[3:]
 
 
 def statistics(text: bytes | None) -> tuple[int, int, int, int, int]:
@@ -237,67 +120,281 @@ def repeated(words: list[bytes]) -> int:
 _STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def measure(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, th, lang, the statistics, n_bytes, log_ppl and its terms' deviation (null for empty text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.parts())
+def _base_fails(stats: tuple[int, int, int, int, int]) -> bool:
+    return stats[0] < MIN_WORDS or 100 * stats[4] > 20 * stats[0]
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = KneserNey.of(shared.value).dense()
-        for batch in batches:
-            stats, scores, sizes, terms = [], [], [], []
-            for t in batch.column(3):
-                b = t.as_py()
-                stats.append(statistics(b))
-                sizes.append(len(b or b""))
-                total = squares = 0.0
-                for g in grams(b or b""):
-                    p = table[g].astype(np.float64)
-                    total, squares = total + float(p.sum()), squares + float(p @ p)
-                scores.append(-total / len(b) if b else None)
-                terms.append(max(0.0, squares / len(b) - (total / len(b)) ** 2) ** 0.5 if b else None)
-            columns = [pa.array([s[i] for s in stats], pa.int64()) for i in range(len(_STATS))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *columns, pa.array(sizes, pa.int64()), pa.array(scores, pa.float64()), pa.array(terms, pa.float64())], ["doc_id", "th", "lang", *_STATS, "n_bytes", "log_ppl", "term_sd"])
-
-    source = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(lang_col).cast("string").alias("lang"),
-        F.col(text_col).cast("binary").alias("text"),
-    )
-    return source.mapInArrow(rows, "doc_id long, th long, lang string, " + ", ".join(f"{c} long" for c in _STATS) + ", n_bytes long, log_ppl double, term_sd double")
-
-
-def bands(measured: DataFrame) -> DataFrame:
-    """_lang, mid, stray: each language's median log perplexity, and m (see above)."""
-    passing = measured.filter(~_failed() & F.col("log_ppl").isNotNull()).withColumn("_lang", F.coalesce("lang", F.lit("")))
-    each = passing.groupBy("_lang", "th").agg(*[F.min(c).alias(c) for c in ("log_ppl", "n_bytes", "term_sd")])
-    each = stage(each)
-    middle = stage(each.groupBy("_lang").agg(F.percentile_approx("log_ppl", 0.5, 1000).alias("mid"), F.percentile_approx("term_sd", 0.5, 1000).alias("sd")))
-    away = join_checked(each, middle, "_lang").withColumn("off", F.abs(F.col("log_ppl") - F.col("mid")) * F.sqrt("n_bytes"))
-    stray = F.greatest(F.percentile_approx("off", 0.5, 1000), F.first("sd") * LEAST_STRAY)
-    return away.groupBy("_lang").agg(F.first("mid").alias("mid"), stray.alias("stray"))
 
+def symbol_step(stats: tuple[int, int, int, int, int]) -> int:
+    """The step of a text's share of symbols: 0 for none, NEVER if the base rules reject it."""
+    if _base_fails(stats):
+        return NEVER
+    return 1 + int(STEPS * max(0.0, 20 + np.log2(stats[2] / stats[1]))) if stats[2] else 0
 
-def _failed():
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows lang, step, gram, n; a row without a gram counts texts."""
+    seen: dict[tuple[str | None, int], list[np.ndarray]] = {}
+    texts: dict[tuple[str | None, int], int] = {}
+    held = 0
+
+    def merged(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        codes = np.concatenate([p[0] for p in parts])
+        order = np.argsort(codes, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(codes[order]) != 0))
+        return codes[order][first], np.add.reduceat(np.concatenate([p[1] for p in parts])[order], first)
+
+    def send() -> Iterator[pa.RecordBatch]:
+        for (lang, step), parts in seen.items():
+            code, n = merged(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(np.full(len(code), step), pa.int32()), pa.array(code.view(np.int64)), pa.array(n)], ["lang", "step", "gram", "n"])
+        keys = list(texts)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([None] * len(keys), pa.int64()), pa.array([texts[k] for k in keys], pa.int64())], ["lang", "step", "gram", "n"])
+        seen.clear()
+        texts.clear()
+
+    def add(key: tuple[str | None, int], codes: list[np.ndarray]) -> int:
+        code, n = np.unique(np.concatenate(codes), return_counts=True)
+        seen.setdefault(key, []).append((code, n.astype(np.int64)))
+        return len(code)
+
+    pending: dict[tuple[str | None, int], list[np.ndarray]] = {}
+    waiting = 0
+    for batch in batches:
+        for lang, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+            text = t.as_py()
+            key = (lang, symbol_step(statistics((text or "").encode("utf-8", "surrogatepass"))))
+            texts[key] = texts.get(key, 0) + 1
+            for g in grams(text):
+                pending.setdefault(key, []).append(g)
+                waiting += len(g)
+            if waiting >= CHUNK:
+                held += sum(add(k, parts) for k, parts in pending.items())
+                pending, waiting = {}, 0
+                if held > FLUSH:  # together first, for chunks share most of their n-grams
+                    for k in seen:
+                        seen[k] = [merged(seen[k])]
+                    held = sum(len(p[0][0]) for p in seen.values())
+                    if held > FLUSH // 2:
+                        yield from send()
+                        held = 0
+    for k, parts in pending.items():
+        add(k, parts)
+    yield from send()
+
+
+def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """lang, step, gram, n: the 4-grams of all documents; each task sends sums only."""
+    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.mapInArrow(_count, "lang string, step int, gram long, n long")
+    return rows.groupBy(_key("lang").alias("lang"), "step", "gram").agg(F.sum("n").alias("n"))
+
+
+def _key(lang: str) -> Column:
+    """A language as a key that tells null from every string."""
+    return F.when(F.col(lang).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(lang)))
+
+
+def _suffix(k: int) -> Column:
+    return F.col("gram").bitwiseAND(F.lit((1 << (UNIT * k)) - 1))
+
+
+def kneser_ney(counted: DataFrame) -> DataFrame:
+    """lang, gram, n_all, logp of each 4-gram from ``count_grams``, by a modified Kneser-Ney model of each language.
+
+    Level k has the k-grams that end some 4-gram; its counts are, below the highest, of
+    different units before them. Each level interpolates the one below; under the lowest all
+    units of the language, and one more, are alike.
+    """
+    texts = counted.filter(F.col("gram").isNull() & (F.col("step") < NEVER))
+    below = Window.partitionBy("lang").orderBy("step")  # a row for each language and step
+    half = texts.withColumn("upto", F.sum("n").over(below)).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
+    limit = half.filter(2 * F.col("upto") >= F.col("all")).groupBy("lang").agg(F.min("step").alias("limit"))
+    train = F.coalesce(F.when(F.col("step") <= F.col("limit"), F.col("n")), F.lit(0))
+    table = join_checked(counted.filter("gram is not null"), stage(limit), "lang", "left").groupBy("lang", "gram").agg(F.sum("n").alias("n_all"), F.sum(train).alias("n"))
+    levels = {ORDER: stage(table)}
+    for k in range(ORDER - 1, 0, -1):
+        more = F.count(F.when(F.col("n") > 0, True)).alias("n")
+        levels[k] = stage(levels[k + 1].groupBy("lang", _suffix(k).alias("gram")).agg(more))
+    prob = stage(levels[1].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("p"))).withColumn("gram", F.lit(0).cast("long"))
+    for k in range(1, ORDER + 1):
+        level = levels[k]
+        n = [F.greatest(F.count(F.when(F.col("n") == i, True)), F.lit(1)).alias(f"n{i}") for i in (1, 2, 3, 4)]
+        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+        d = [F.least(F.greatest(i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"), F.lit(0.05 * i)), F.lit(0.95 * i)).alias(f"d{i}") for i in (1, 2, 3)]
+        of_lang = stage(level.groupBy("lang").agg(*n).select("lang", *d))
+        less = F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        cut = join_checked(level, of_lang, "lang").withColumn("d", less).drop("d1", "d2", "d3")
+        cut = cut.withColumn("history", F.shiftrightunsigned("gram", UNIT))
+        history = stage(cut.groupBy("lang", "history").agg(F.sum("n").alias("total"), F.sum("d").alias("freed")))
+        lower = prob.select("lang", F.col("gram").alias("_end"), F.col("p").alias("lower"))
+        met = cut.withColumn("_end", _suffix(k - 1) if k > 1 else F.lit(0).cast("long"))
+        met = join_checked(join_checked(met, history, ["lang", "history"]), lower, ["lang", "_end"])
+        own = F.when(F.col("total") > 0, (F.col("n") - F.col("d")) / F.col("total")).otherwise(0.0)
+        weight = F.when(F.col("total") > 0, F.col("freed") / F.col("total")).otherwise(1.0)
+        done = met.select("lang", "gram", *(["n_all"] if k == ORDER else []), (own + weight * F.col("lower")).alias("p"))
+        prob = stage(done)
+    discard(*levels.values())
+    return prob.select("lang", "gram", "n_all", F.log("p").alias("logp"))
+
+
+def hashes(code: np.ndarray) -> np.ndarray:
+    """64-bit hashes of 4-grams; a bijection, so that none collide."""
+    x = (code ^ (code >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-def judge(docs: DataFrame, spread: float = SPREAD, floor: float = FLOOR) -> DataFrame:
-    """A row for each document: its statistics, base_failed, log_ppl, low, high and kept."""
-    model = fit(count_grams(docs))
-    measured = stage(measure(docs, model))
-    limits = stage(bands(measured))
-    judged = join_checked(measured.withColumn("_lang", F.coalesce("lang", F.lit(""))), limits, "_lang", "left")
-    away = floor + spread * F.col("stray") / F.sqrt(F.greatest("n_bytes", F.lit(1)))
-    judged = judged.withColumn("low", F.col("mid") - away).withColumn("high", F.col("mid") + away).withColumn("base_failed", _failed())
-    verdict = ~F.col("base_failed") & F.col("log_ppl").between(F.col("low"), F.col("high"))
-    return judged.withColumn("kept", F.coalesce(verdict, F.lit(False))).drop("_lang", "mid", "stray")
 
+class Scores:
+    """Sorted hash arrays of one language: hashes, and log probabilities beside them."""
 
-def digest(judged: DataFrame) -> DataFrame:
-    return judged.select("doc_id", *_STATS, "base_failed", "kept", "log_ppl", "low", "high")
+    def __init__(self, keys: np.ndarray, logp: np.ndarray):
+        self.keys, self.logp = keys, logp
+        self.shift = np.uint64(64 - max(1, int(len(keys)).bit_length() + 1))
+        starts = (keys >> self.shift).astype(np.int64)
+        self.first = np.searchsorted(starts, np.arange((1 << (64 - int(self.shift))) + 1))
+        self.most = int(np.diff(self.first).max(initial=0))
+
+    @classmethod
+    def of(cls, code: np.ndarray, logp: np.ndarray) -> Scores:
+        keys = hashes(code)
+        order = np.argsort(keys)
+        return cls(keys[order], logp[order].astype(np.float32))
+
+    def look_up(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probabilities (zero where they are not here), and whether they are here."""
+        out, here = np.zeros(len(code)), np.zeros(len(code), bool)
+        h = hashes(code)
+        at = self.first[(h >> self.shift).astype(np.int64)]
+        todo = np.arange(len(code))
+        for _ in range(self.most):  # all that share the leading bits stand together
+            at_ = np.minimum(at[todo], len(self.keys) - 1)
+            hit = self.keys[at_] == h[todo]
+            out[todo[hit]] = self.logp[at_[hit]]
+            here[todo[hit]] = True
+            todo = todo[~hit]
+            if not len(todo):
+                break
+            at[todo] += 1
+        return out, here
+
+
+def arrays(model: DataFrame, head: int | None = None) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], DataFrame | None]:
+    """Keys and log probabilities by language of at most ``head`` of the most frequent 4-grams, and the table of the others if there are any."""
+    head = HEAD if head is None else head
+    step = F.floor(F.log2("n_all") * COUNT_STEPS)
+    have = model.groupBy(step.alias("step")).agg(F.count("*").alias("k")).collect()  # at most 64 * COUNT_STEPS rows
+    least, total = None, 0
+    for r in sorted(have, reverse=True):
+        total += r.k
+        if total > head:
+            break
+        least = r.step
+    inside = step >= least if least is not None else F.lit(False)
+    got = model.filter(inside).select("lang", "gram", F.col("logp").cast("float")).toArrow()
+    lang, code, logp = got["lang"].to_numpy(), got["gram"].to_numpy().view(np.uint64), got["logp"].to_numpy()
+    out = {}
+    for name in np.unique(lang.astype(str)).tolist():
+        one = Scores.of(code[lang == name], logp[lang == name])
+        out[name] = (one.keys, one.logp)
+    return out, model.filter(~inside) if total > head else None
+
+
+def measure(docs: DataFrame, known: dict[str, tuple[np.ndarray, np.ndarray]], out: str, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with a struct ``out``: key, th, lang (as a key), the statistics, n_units, the sums of the log
+    probabilities that ``known`` has and of their squares, and the 4-grams that it lacks. To be staged, for keys are random.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+    columns = docs.columns if keep is None else keep
+    text_at, lang_at, hash_at = (fresh(docs, x) for x in ("text", "lang", "hash"))
+    longs = dict.fromkeys(_STATS, pa.int64())
+    kinds = {"key": pa.string(), "th": pa.int64(), "lang": pa.string(), **longs, "n_units": pa.int64(), "total": pa.float64(), "squares": pa.float64(), "rest": pa.list_(pa.struct([("gram", pa.int64()), ("k", pa.int64())]))}
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = {k: Scores(*v) for k, v in shared.value.items()}
+        none = Scores(np.empty(0, np.uint64), np.empty(0, np.float32))
+        task, number = uuid.uuid4().hex, 0
+        for batch in batches:
+            column = dict(zip(batch.schema.names, batch.columns))
+            found = []
+            for text, lang, th in zip(column[text_at], column[lang_at].to_pylist(), column[hash_at].to_pylist()):
+                t = text.as_py() or ""
+                table, total, squares, size, rest = tables.get(lang, none), 0.0, 0.0, 0, []
+                for g in grams(t):
+                    p, here = table.look_up(g)
+                    size, total, squares = size + len(g), total + float(p.sum()), squares + float(p @ p)
+                    if not here.all():
+                        code, n = np.unique(g[~here], return_counts=True)
+                        rest += [{"gram": c, "k": k} for c, k in zip(code.view(np.int64).tolist(), n.tolist())]
+                number += 1
+                found.append((f"{task}{number}", th, lang, *statistics(t.encode("utf-8", "surrogatepass")), size, total, squares, rest))
+            made = pa.StructArray.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds.values())], list(kinds))
+            yield pa.RecordBatch.from_arrays([*(column[c] for c in columns), made], [*columns, out])
+
+    source = docs.withColumns({text_at: F.col(text_col).cast("string"), lang_at: _key(lang_col), hash_at: F.xxhash64(text_col)}).select(*columns, text_at, lang_at, hash_at)
+    made = ",".join(f"{c}:bigint" for c in [*_STATS, "n_units"])
+    kind = f"struct<key:string,th:bigint,lang:string,{made},total:double,squares:double,rest:array<struct<gram:bigint,k:bigint>>>"
+    return source.mapInArrow(rows, StructType([*(docs.schema[c] for c in columns), StructField(out, StructType.fromDDL(f"x {kind}")[0].dataType)]))
+
+
+def with_rest(measured: DataFrame, out: str, rest: DataFrame) -> DataFrame:
+    """``measured`` with the sums of ``out`` made whole by an exact join with the 4-grams that its tasks did not hold."""
+    asked = measured.select(F.col(f"{out}.key").alias("key"), F.col(f"{out}.lang").alias("lang"), F.explode(f"{out}.rest").alias("x")).select("key", "lang", "x.gram", "x.k")
+    found = join_checked(asked, rest.select("lang", "gram", "logp"), ["lang", "gram"])
+    key, total, squares = (fresh(measured, x) for x in ("key", "total", "squares"))
+    sums = found.groupBy(F.col("key").alias(key)).agg(F.sum(F.col("k") * F.col("logp")).alias(total), F.sum(F.col("k") * F.col("logp") * F.col("logp")).alias(squares))
+    met = join_checked(measured.withColumn(key, F.col(f"{out}.key")), stage(sums), key, "left")
+    whole = F.col(out).withField("total", F.col(f"{out}.total") + F.coalesce(total, F.lit(0.0))).withField("squares", F.col(f"{out}.squares") + F.coalesce(squares, F.lit(0.0)))
+    return met.withColumn(out, whole).drop(key, total, squares)
+
+
+def _failed(out: str) -> Column:
+    return (F.col(f"{out}.n_words") < MIN_WORDS) | (100 * F.col(f"{out}.n_repeat_words") > 20 * F.col(f"{out}.n_words"))
+
+
+def _log_ppl(out: str) -> Column:
+    return F.when(F.col(f"{out}.n_units") > 0, -F.col(f"{out}.total") / F.col(f"{out}.n_units"))
+
+
+def bands(measured: DataFrame, out: str) -> DataFrame:
+    """lang, mid, stray: each language's median log perplexity, and m (see above)."""
+    mean = _log_ppl(out)
+    sd = F.sqrt(F.greatest(F.lit(0.0), F.col(f"{out}.squares") / F.col(f"{out}.n_units") - mean * mean))
+    passing = measured.filter(~_failed(out)).select(f"{out}.lang", f"{out}.th", f"{out}.n_units", mean.alias("log_ppl"), sd.alias("term_sd"))
+    each = stage(passing.groupBy("lang", "th").agg(*[F.min(c).alias(c) for c in ("log_ppl", "n_units", "term_sd")]))
+    middle = stage(each.groupBy("lang").agg(F.percentile_approx("log_ppl", 0.5, 1000).alias("mid"), F.percentile_approx("term_sd", 0.5, 1000).alias("sd")))
+    away = join_checked(each, middle, "lang").withColumn("off", F.abs(F.col("log_ppl") - F.col("mid")) * F.sqrt("n_units"))
+    stray = F.greatest(F.percentile_approx("off", 0.5, 1000), F.first("sd") * LEAST_STRAY)
+    limits = stage(away.groupBy("lang").agg(F.first("mid").alias("mid"), stray.alias("stray")))
+    discard(each, middle)
+    return limits
+
+
+def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, spread: float = SPREAD, floor: float = FLOOR) -> tuple[DataFrame, str]:
+    """Columns ``keep`` of ``docs`` (all, if not given) with a struct whose name comes second: statistics, base_failed, log_ppl, low, high, kept."""
+    counted = stage(count_grams(docs, text_col, lang_col))
+    model = kneser_ney(counted)
+    known, rest = arrays(model)
+    out = fresh(docs, "quality")
+    measured = stage(measure(docs, known, out, text_col, lang_col, keep))
+    if rest is not None:
+        measured = stage(with_rest(measured, out, rest))
+    discard(counted, model)
+    limits = bands(measured, out)
+    lang, mid, stray = (fresh(measured, x) for x in ("lang", "mid", "stray"))
+    limits = limits.toDF(lang, mid, stray)
+    met = join_checked(measured.withColumn(lang, F.col(f"{out}.lang")), limits, lang, "left")
+    away = floor + spread * F.col(stray) / F.sqrt(F.greatest(f"{out}.n_units", F.lit(1)))
+    low, high, failed = F.col(mid) - away, F.col(mid) + away, _failed(out)
+    kept = F.coalesce(~failed & _log_ppl(out).between(low, high), F.lit(False))
+    fields = [F.col(f"{out}.{c}").alias(c) for c in _STATS] + [failed.alias("base_failed"), kept.alias("kept"), _log_ppl(out).alias("log_ppl"), low.alias("low"), high.alias("high")]
+    return met.withColumn(out, F.struct(*fields)).drop(lang, mid, stray), out
+
+
+def digest(judged: DataFrame, out: str) -> DataFrame:
+    return judged.select(F.col("doc_id").cast("long").alias("doc_id"), *[f"{out}.{c}" for c in (*_STATS, "base_failed", "kept", "log_ppl", "low", "high")])
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text is kept; equal ids with other texts are told apart."""
-    good = stage(judge(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("th").alias("_h")))
-    keyed = docs.withColumn("_th", F.xxhash64("text"))
-    return keyed.join(good, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")), "left_semi").select(*docs.columns)
+    """The rows of ``docs`` whose text is kept."""
+    judged, out = judge(docs)
+    return judged.filter(F.col(f"{out}.kept")).select(*docs.columns)

@@ -19,7 +19,7 @@ def op2_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.digest(quality.judge(table(spark, sf_dir, "documents")))
+    return quality.digest(*quality.judge(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
