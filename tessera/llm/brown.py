@@ -1,55 +1,63 @@
 """Brown class-based bigrams: exchange clustering, class transitions and word emissions.
 
-Counts come from all training documents. The ``HEAD`` most frequent words are known to
-every task; the counts of all other words stay in a table that is joined by word. What is
-clustered are ``ITEMS`` items, whatever the corpus holds: the most frequent words, each
-by itself; groups that take in all other words, known or not, by a hash of their last
-letters; and the end of a text, alone in its class. So every word has a class at once,
-and the bigram counts that the exchange algorithm needs have at most ITEMS ** 2 rows.
-
-The exchange moves one item after another to the class that gives the training text the
-highest likelihood, until a sweep moves none or ``SWEEPS`` are over.
-
-    score = sum of log10 p(class | class before) + log10 p(word | class)
+Every word of the training texts belongs to a class; the end of a text has class 0 alone.
+The ``OWN`` most frequent words are clustered by the exchange algorithm: one after another
+moves to the class that gives the training text the highest likelihood, until none moves;
+bigrams with other words count there as bigrams with one fixed class. Each other word
+then goes to the class under which the contexts that it has among those words and ends are
+likeliest (log p(class | before) + log p(after | class) - log n(class), over all its
+occurrences, and the log share of the class among the less frequent own words). So the table
+of words, counts and classes grows with the vocabulary. A word of the training texts
+without such a context belongs to the class with the most distinct words.
+
+    score = log10 of the product of p(class | class before) p(word | class)
     p(class | before) = (n(before, class) + LAMBDA p(class)) / (n(before) + LAMBDA)
     p(word | class)   = (c(word) + 0.5) / (n(class) + 0.5 (v(class) + 1))
 
-where v counts the distinct words of a class, and one more stands for unknown words. A
-text begins after an end.
+where n counts over all training texts with all words in their classes, and v counts the
+distinct words of a class; one more stands for unknown words in each class, so the
+probabilities of a run of unknown words are sums over the classes that it may have (the
+end has no unknown words). A text begins after an end.
+
+Texts are read once and kept as numbers: the place of each word in the ``HEAD`` most
+frequent ones, which every task knows, or in the list of the text's other words. The
+counts and classes of those are joined by word. What the driver holds is bounded: the
+head, the bigrams of the own words, and the classes' transitions.
 
 Defined cases: null text is empty and has the end alone; a null doc_id counts as the empty
-string for the split; repeated rows are scored one by one; with no training document the
-model is flat; an empty table gives an empty result.
+string for the split; a very long text is one row, of 4 bytes a token; repeated rows are
+scored one by one; with no training document the model is flat; other columns of the input
+are not read, so none can clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import discard, stage
 
 HEAD = 262_144
 #: Words of more bytes than this are never in the head, which bounds its size.
 HEAD_BYTES = 64
-ITEMS = 2048
-OWN = 1535  # words that are items of their own; 512 groups and the end make up the rest
-GROUPS = ITEMS - OWN - 1
-END = ITEMS - 1
-SUFFIX = 3
-CLASSES = 48
-SWEEPS = 6
+#: Words that the exchange moves one by one.
+OWN = 1536
+#: Classes: 0 is the end's.
+CLASSES = 50
 LAMBDA = 5.0
+#: Runs of unknown words up to this length are kept ready.
+CACHED_RUNS = 64
 #: Steps of the histogram of counts for each power of two.
 COUNT_STEPS = 64
-#: Distinct words, and bigrams, that a task gathers before it sends them on.
+#: Distinct words, and bigrams or contexts, that a task gathers before it sends them on.
 FLUSH_WORDS = 400_000
 FLUSH_TOKENS = 2_000_000
 
@@ -58,10 +66,6 @@ def tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()  # ASCII only on bytes
 
 
-def group_of(word: bytes) -> int:
-    return OWN + zlib.crc32(word[-SUFFIX:]) % GROUPS
-
-
 def _sources(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     doc_id = F.col(id_col).cast("long")
     held = F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % 5 == 1
@@ -84,25 +88,6 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield send()
 
 
-class Words:
-    """Head words, their counts and the item of any word."""
-
-    def __init__(self, words: list[bytes], counts: np.ndarray):
-        self.at = {w: i for i, w in enumerate(words)}
-        self.n = np.append(counts, 0)
-        own = np.arange(len(words))
-        self.item = np.array([*(i if i < OWN else group_of(w) for i, w in zip(own.tolist(), words)), -1], np.int32)
-
-    def read(self, text: bytes | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Tokens, their places in the head (-1: not there) and their items."""
-        words = tokens(text)
-        at = np.fromiter((self.at.get(w, -1) for w in words), np.int32, len(words))
-        items = self.item[at]
-        for i in np.flatnonzero(at < 0).tolist():
-            items[i] = group_of(words[i])
-        return words, at, items
-
-
 def _head(vocabulary: DataFrame) -> tuple[list[bytes], np.ndarray]:
     """The most frequent words and their counts: at most HEAD words of at most HEAD_BYTES bytes.
 
@@ -124,47 +109,91 @@ def _head(vocabulary: DataFrame) -> tuple[list[bytes], np.ndarray]:
     return head["word"].to_pylist(), head["n"].to_numpy()
 
 
-def _bigrams(shared):
+def _read(shared):
+    """Texts as numbers: key, doc_id, held_out, ids (4 bytes each: a place in the head, or -1 - a place in others), others."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, total, pending, size = Words(*shared.value), None, [], 0
-
-        def add(total, pending):
-            new = np.bincount(np.concatenate(pending), minlength=ITEMS * ITEMS)
-            return new if total is None else total + new
-
+        at = {w: i for i, w in enumerate(shared.value)}
+        key = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for t in batch.column(0):
-                _, _, items = head.read(t.as_py())
-                chain = np.concatenate(([END], items, [END])).astype(np.int64)
-                pending.append(chain[:-1] * ITEMS + chain[1:])
-                size += len(items) + 1
-                if size > FLUSH_TOKENS:
-                    total, pending, size = add(total, pending), [], 0
-        if pending:
-            total = add(total, pending)
-        if total is not None:
-            pair = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int32()), pa.array(total[pair], pa.int64())], ["pair", "n"])
+            ids, others, keys = [], [], []
+            for t in batch.column(2):
+                words = tokens(t.as_py())
+                known = [at.get(w) for w in words]
+                if None in known:
+                    other: dict[bytes, int] = {}
+                    for i, k in enumerate(known):
+                        if k is None:
+                            known[i] = -1 - other.setdefault(words[i], len(other))
+                    others.append(list(other))
+                else:
+                    others.append([])
+                ids.append(np.array(known, "<i4").tobytes())
+                key += 1
+                keys.append(key)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(others, pa.list_(pa.binary()))], ["key", "doc_id", "held_out", "ids", "others"])
 
     return rows
 
 
-def exchange(n: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
-    """A class for each item, from the matrix of bigram counts; the end keeps class 0 alone."""
+READ = "key long, doc_id long, held_out boolean, ids binary, others array<binary>"
+
+
+def _chain(ids: bytes, of: np.ndarray, other: int | np.ndarray, end: int) -> np.ndarray:
+    """The values ``of`` a text's words, ``other`` for words outside the head, between two ends."""
+    at = np.frombuffer(ids, "<i4")
+    out = np.empty(len(at) + 2, of.dtype)
+    out[0] = out[-1] = end
+    inside = at >= 0
+    out[1:-1][inside] = of[at[inside]]
+    out[1:-1][~inside] = other if isinstance(other, int) else other[-1 - at[~inside]]
+    return out
+
+
+def _pairs(chains: Iterator[np.ndarray], size: int) -> Iterator[pa.RecordBatch]:
+    """Counts of neighbours in chains of numbers below ``size``."""
+    total, pending, held = np.zeros(size * size, np.int64), [], 0
+    for c in chains:
+        pending.append(c[:-1].astype(np.int64) * size + c[1:])
+        held += len(c)
+        if held > FLUSH_TOKENS:
+            total += np.bincount(np.concatenate(pending), minlength=size * size)
+            pending, held = [], 0
+    if pending:
+        total += np.bincount(np.concatenate(pending), minlength=size * size)
+    pair = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int32()), pa.array(total[pair], pa.int64())], ["pair", "n"])
+
+
+def _matrix(rows: DataFrame, counts, size: int) -> np.ndarray:
+    """The sums of what ``counts`` gives for each task, as a matrix."""
+    got = rows.mapInArrow(counts, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most size ** 2 rows
+    out = np.zeros(size * size)
+    out[got["pair"].to_numpy()] = got["n"].to_numpy()
+    return out.reshape(size, size)
+
+
+def exchange(n: np.ndarray, classes: int, fixed: int = 1) -> np.ndarray:
+    """A class for each item, from the matrix of bigram counts, in sweeps until none moves.
+
+    The last ``fixed`` items stay where they are: the very last, the end, in class 0, those
+    before it in classes of their own after the others.
+    """
     size = len(n)
+    free = size - fixed
     weight = n.sum(axis=0) + n.sum(axis=1)
-    order = np.argsort(-weight, kind="stable")
-    order = order[order != END]
+    order = np.argsort(-weight[:free], kind="stable")
     of = np.zeros(size, int)
-    of[order] = 1 + np.arange(len(order)) % (classes - 1)
-    member = np.eye(classes)[of]
+    of[order] = 1 + np.arange(free) % (classes - 1)
+    of[free : size - 1] = classes + np.arange(fixed - 1)
+    member = np.eye(classes + fixed - 1)[of]
     right, left = n @ member, n.T @ member  # of each item: to, and from, each class
     between = member.T @ right
 
     def f(x: np.ndarray) -> np.ndarray:
         return x * np.log(np.maximum(x, 1))
 
-    for _ in range(sweeps):
+    moved = 1
+    while moved:
         moved = 0
         for w in order[weight[order] > 0].tolist():
             a, s = of[w], n[w, w]
@@ -176,13 +205,14 @@ def exchange(n: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.
             between[a, a] -= s
             own = np.diag(between)
             out, into = between.sum(axis=1), between.sum(axis=0)
-            gain = (f(between + r) - f(between)).sum(axis=1) + (f(between.T + c) - f(between.T)).sum(axis=1)
+            to, came = np.flatnonzero(r), np.flatnonzero(c)
+            gain = (f(between[:, to] + r[to]) - f(between[:, to])).sum(axis=1) + (f(between[came] + c[came, None]) - f(between[came])).sum(axis=0)
             gain += f(own + r + c + s) - f(own) - (f(own + r) - f(own)) - (f(own + c) - f(own))
             out, into = out + c, into + r  # the item's neighbours keep their totals wherever it goes
             gain -= f(out + r.sum() + s) - f(out) + f(into + c.sum() + s) - f(into)
-            gain[0] = -np.inf
+            gain[0] = gain[classes:] = -np.inf
             b = int(np.argmax(gain))
-            if gain[b] <= gain[a] + 1e-9:
+            if gain[b] <= gain[a] + 1e-6:
                 b = a
             between[b] += r
             between[:, b] += c
@@ -194,37 +224,148 @@ def exchange(n: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.
                 right[:, b] += n[:, w]
                 left[:, a] -= n[w]
                 left[:, b] += n[w]
-        if not moved:
-            break
     return of
 
 
-def _read(shared):
-    """Per text: what needs the head only, and the words whose counts are elsewhere."""
+def context_scores(between: np.ndarray) -> np.ndarray:
+    """What one occurrence of a context adds to each class: rows are contexts (classes before, then after).
+
+    ``between`` counts transitions among the classes of own words; smoothed as transitions are.
+    """
+    size = len(between)
+    of_class = between.sum(axis=0)
+    prior = (of_class + 1) / (of_class + 1).sum()
+    step = np.log((between + LAMBDA * prior) / (between.sum(axis=1, keepdims=True) + LAMBDA))
+    emit = np.log(of_class + 1)
+    out = np.concatenate([step - emit, step.T])
+    assert out.shape == (2 * size, size)
+    return out
+
+
+def _contexts(shared):
+    """Rows word, context, n of the words that are not own, for contexts that are own words or ends."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_, counts, step, of = shared.value
-        head = Words(words_, counts)
-        log_n = np.log10(head.n + 0.5)
-        end = head.at.get(b"", -1)
-        key = TaskContext.get().partitionId() << 40
-        kinds = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32())]))
+        words, of = shared.value  # of the head: the class of own words, -1 for others
+        at: dict[bytes, int] = {}
+        local, codes, held = [], [], 0
+
+        def send() -> pa.RecordBatch:
+            code, n = np.unique(np.concatenate([*codes, np.empty(0, np.int64)]), return_counts=True)
+            number, context = np.divmod(code, 2 * CLASSES)
+            inside = number < len(words)
+            names = pa.array([words[i] for i in number[inside].tolist()] + [local[i] for i in (number[~inside] - len(words)).tolist()], pa.binary())
+            return pa.RecordBatch.from_arrays([names, pa.array(context.astype(np.int32)), pa.array(n.astype(np.int64))], ["word", "context", "n"])
+
         for batch in batches:
-            out = []
-            for t in batch.column(2):
-                words, at, items = head.read(t.as_py())
-                chain = of[np.concatenate(([END], items, [END]))]
-                there = at[at >= 0]
-                known_sum = float(log_n[there].sum() + log_n[end] if end >= 0 else log_n[there].sum() + np.log10(0.5))
-                rare = Counter(words[i] for i in np.flatnonzero(at < 0).tolist())
-                key += 1
-                out.append((key, len(words) + 1, len(there) + (end >= 0), known_sum, float(step[chain[:-1], chain[1:]].sum()), [{"word": w, "k": k} for w, k in rare.items()]))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), kinds]
-            columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "held_out", "key", "n_tokens", "n_head", "head_sum", "path", "rare"])
+            for ids, others in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                mine = np.empty(len(others), np.int64)
+                for j, w in enumerate(others):
+                    k = at.get(w)
+                    if k is None:
+                        k = at[w] = len(local)
+                        local.append(w)
+                    mine[j] = len(words) + k
+                cls = _chain(ids, of, -1, 0)
+                number = np.frombuffer(ids, "<i4").astype(np.int64)
+                outside = number < 0
+                number[outside] = mine[-1 - number[outside]]
+                for side in (0, 1):
+                    near = cls[:-2] if side == 0 else cls[2:]
+                    take = (cls[1:-1] < 0) & (near >= 0)
+                    codes.append(number[take] * (2 * CLASSES) + side * CLASSES + near[take])
+                    held += len(codes[-1])
+            if held > FLUSH_TOKENS or len(local) > FLUSH_WORDS:
+                yield send()
+                at, local, codes, held = {}, [], [], 0
+        yield send()
 
     return rows
 
 
+def _assign(shared):
+    """Rows (word, context, n) sorted by word give word, n, class; context -1 is the word's count.
+
+    A word's rows may run over any number of batches; only their sums are carried.
+    """
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, scores, share, none = shared.value
+        open_word, open_n, open_seen = None, 0, np.zeros(2 * CLASSES)
+
+        def classes(names: list[bytes], total: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
+            gain = seen @ scores + share
+            gain[:, 0] = -np.inf
+            cls = np.where(seen.any(axis=1), gain.argmax(axis=1), none).astype(np.int32)
+            for i, w in enumerate(names):
+                if w in own:
+                    cls[i] = own[w]
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(total, pa.int64()), pa.array(cls)], ["word", "n", "class"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            word, context, n = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            first = np.append(True, pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False))
+            run = np.cumsum(first) - 1
+            names = word.take(pa.array(np.flatnonzero(first))).to_pylist()
+            counts = context < 0
+            total = np.bincount(run[counts], n[counts], len(names)).astype(np.int64)
+            at = run[~counts] * (2 * CLASSES) + context[~counts]
+            seen = np.bincount(at, n[~counts], len(names) * 2 * CLASSES).reshape(len(names), 2 * CLASSES)
+            if open_word == names[0]:
+                total[0] += open_n
+                seen[0] += open_seen
+            elif open_word is not None:
+                yield classes([open_word], np.array([open_n]), open_seen[None])
+            open_word, open_n, open_seen = names[-1], total[-1], seen[-1].copy()
+            yield classes(names[:-1], total[:-1], seen[:-1])
+        if open_word is not None:
+            yield classes([open_word], np.array([open_n]), open_seen[None])
+
+    return rows
+
+
+def _known(others: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Counts (0: unknown) and classes (-1: unknown) of a text's other words, by their places."""
+    got = others or []
+    n, cls = np.zeros(len(got), np.int64), np.full(len(got), -1, np.int32)
+    for o in got:
+        if o["n"] is not None:
+            n[o["j"]], cls[o["j"]] = o["n"], o["class"]
+    return n, cls
+
+
+class Runs:
+    """Log probabilities of ways between known classes, over runs of unknown words."""
+
+    def __init__(self, step: np.ndarray, unknown: np.ndarray):
+        self.step, self.once, self.cached = step, unknown[:, None] * step, {0: np.log10(step)}
+
+    def over(self, run: int) -> np.ndarray:
+        """log10 of step (diag(unknown) step) ** run, scaled as it goes, by repeated squaring."""
+        if run not in self.cached:
+            left, square, log, log_square, bits = self.step, self.once, 0.0, 0.0, run
+            while bits:
+                if bits & 1:
+                    left = left @ square
+                    log += log_square + math.log10(left.max())
+                    left = left / left.max()
+                bits >>= 1
+                square = square @ square
+                log_square = 2 * log_square + math.log10(square.max())
+                square = square / square.max()
+            out = np.log10(left) + log
+            if run > CACHED_RUNS:
+                return out
+            self.cached[run] = out
+        return self.cached[run]
+
+    def path(self, classes: np.ndarray) -> float:
+        """Of a chain of classes, with -1 for unknown words, that begins and ends with known ones."""
+        at = np.flatnonzero(classes >= 0)
+        run, a, b = np.diff(at) - 1, classes[at[:-1]], classes[at[1:]]
+        return sum(float(self.over(int(k))[a[run == k], b[run == k]].sum()) for k in np.unique(run))
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
     sc = docs.sparkSession.sparkContext
@@ -232,47 +373,95 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     train = source.filter(~F.col("held_out")).select("text")
     vocabulary = stage(train.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     words, counts = _head(vocabulary)
-
-    item = np.zeros(ITEMS * ITEMS, np.int64)
-    pairs = train.mapInArrow(_bigrams(sc.broadcast((words, counts))), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    item[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
-    n = item.reshape(ITEMS, ITEMS).astype(float)
-    of = exchange(n)
-
-    # distinct words of each item: own words have one, groups what the vocabulary holds
-    group = F.crc32(F.expr(f"substring(word, -{SUFFIX}, {SUFFIX})")) % GROUPS + OWN
-    own = [w for w in words[:OWN] if w]
-    listed = F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in own], "word binary"))  # at most OWN rows
-    grouped = vocabulary.filter(F.col("word") != b"").join(listed, "word", "left_anti")
-    types = grouped.groupBy(group.cast("int").alias("item")).agg(F.count("*").alias("v")).collect()  # at most GROUPS rows
-    v = np.zeros(ITEMS)
-    for i, w in enumerate(words[:OWN]):
-        if w:
-            v[i] = 1
-    for r in types:
-        v[r.item] += r.v
-    v[END] = 1
-    total = vocabulary.agg(F.sum("n").alias("tokens"), F.count("*").alias("types")).first()
-    train_tokens, types_all = total.tokens or 0, total.types or 0
-
-    member = np.eye(CLASSES)[of]
-    between = member.T @ n @ member
-    of_class, types_of = between.sum(axis=0), member.T @ v
+    read = stage(source.mapInArrow(_read(sc.broadcast(words)), READ))
+    trained = read.filter(~F.col("held_out"))
+
+    # the exchange over own words; the end is a word of the vocabulary, but no word of a text
+    own = [i for i, w in enumerate(words) if w][:OWN]
+    item = np.full(len(words), len(own), np.int32)
+    item[own] = np.arange(len(own))
+    item_of = sc.broadcast(item)
+    size = len(own) + 2
+
+    def own_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _pairs((_chain(x, item_of.value, size - 2, size - 1) for b in batches for x in b.column(0).to_pylist()), size)
+
+    n = _matrix(trained.select("ids"), own_pairs, size)
+    of = exchange(n, CLASSES, 2)
+    member = np.eye(CLASSES + 1)[of][:, :CLASSES]
+    scores = context_scores(member.T @ n @ member)
+    late = of[len(own) // 2 : len(own)]  # the less frequent half
+    share = np.log(np.bincount(late, minlength=CLASSES) + 1.0)
+    cls = np.full(len(words), -1, np.int32)
+    cls[own] = of[: len(own)]
+    classes_of_own = {words[i]: int(cls[i]) for i in own} | {b"": 0}
+
+    # the other words, by their contexts; a row of context -1 carries each word's count
+    met = trained.select("ids", "others").mapInArrow(_contexts(sc.broadcast((words, cls))), "word binary, context int, n long")
+    met = met.union(vocabulary.select("word", F.lit(-1).alias("context"), "n")).withColumn("h", F.xxhash64("word"))
+    met = met.repartition("h").sortWithinPartitions("h", "word").select("word", "context", "n")
+    none = CLASSES  # no context at all: settled below
+    table = stage(met.mapInArrow(_assign(sc.broadcast((classes_of_own, scores, share, none))), "word binary, n long, class int"))
+    types = {r["class"]: (r.n, r.v) for r in table.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}  # a row for each class
+    of_class, types_of = np.zeros(CLASSES), np.zeros(CLASSES)
+    for c, (total, v) in types.items():
+        if c < CLASSES:
+            of_class[c], types_of[c] = total, v
+    rare = 1 + int(np.argmax(types_of[1:]))
+    total, v = types.get(none, (0, 0))
+    of_class[rare] += total
+    types_of[rare] += v
+    table = table.withColumn("class", F.when(F.col("class") == none, rare).otherwise(F.col("class")))
+    train_tokens, types_all = int(of_class.sum()), sum(v for _, v in types.values())
+
+    least = int(counts.min()) if len(words) else 0
+    in_head = table.filter((F.col("n") >= least) & (F.length("word") <= HEAD_BYTES)).select("word", "class").toArrow()  # the head's rows
+    class_of = dict(zip(in_head["word"].to_pylist(), in_head["class"].to_numpy().tolist()))
+    head_class = np.array([class_of[w] for w in words], np.int32)
+
+    # counts and classes of the words outside the head, by text
+    asked = read.select("key", F.posexplode("others").alias("j", "word"))
+    found = asked.join(table, "word", "left").groupBy("key").agg(F.collect_list(F.struct("j", "n", "class")).alias("others"))
+    resolved = stage(read.drop("others").join(found, "key", "left").select("doc_id", "held_out", "ids", "others"))
+    discard(vocabulary, read)
+    shared = sc.broadcast((head_class, np.log10(counts + 0.5)))
+
+    def class_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def chains() -> Iterator[np.ndarray]:
+            for b in batches:
+                for ids, others in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    yield _chain(ids, shared.value[0], _known(others)[1], 0)  # training texts have no unknown words
+
+        return _pairs(chains(), CLASSES)
+
+    between = _matrix(resolved.filter(~F.col("held_out")).select("ids", "others"), class_pairs, CLASSES)
     prior = (of_class + 1) / (of_class + 1).sum()
-    step = np.log10((between + LAMBDA * prior) / (between.sum(axis=1, keepdims=True) + LAMBDA))
-    step = step - np.log10(of_class + 0.5 * (types_of + 1))  # with what p(word | class) divides by
+    step = (between + LAMBDA * prior) / (between.sum(axis=1, keepdims=True) + LAMBDA)
+    under = of_class + 0.5 * (types_of + 1)  # what p(word | class) divides by
+    under[0] = of_class[0] + 0.5
+    unknown = 0.5 / under
+    unknown[0] = 0
     base = float(np.log10(train_tokens + 0.5 * (types_all + 1)))
+    end = float(np.log10(of_class[0] + 0.5))
+    seen_end = bool(of_class[0])
 
-    schema = "doc_id long, held_out boolean, key long, n_tokens long, n_head long, head_sum double, path double, rare array<struct<word:binary,k:int>>"
-    read = stage(source.mapInArrow(_read(sc.broadcast((words, counts, step, of))), schema))
-    asked = read.select("key", F.explode("rare").alias("x")).select("key", "x.word", "x.k")
-    rest = vocabulary.select("word", F.col("n").alias("c"))
-    found = asked.join(rest, "word", "left")
-    sums = found.groupBy("key").agg(
-        F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_sum"), F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("n_rare")
-    )
-    all_sum = F.col("head_sum") + F.coalesce("rare_sum", F.lit(0.0))
-    return read.drop("rare").join(sums, "key", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (all_sum - F.col("n_tokens") * base).alias("base_score"), (all_sum + F.col("path")).alias("score"),
-    )
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, log_n = shared.value
+        log_under, over = np.log10(under), Runs(step, unknown)
+        for b in batches:
+            out = []
+            for ids, others in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                n, known = _known(others)
+                path = _chain(ids, classes, known, 0)
+                at = np.frombuffer(ids, "<i4")
+                inside = at[at >= 0]
+                rest = n[-1 - at[at < 0]]
+                size = len(at) + 1
+                seen = float(log_n[inside].sum() + np.log10(rest[rest > 0] + 0.5).sum()) + end
+                lost = int((rest == 0).sum())
+                emitted = seen - float(log_under[path[1:][path[1:] >= 0]].sum())
+                out.append((size, size - lost - (not seen_end), train_tokens, seen + lost * math.log10(0.5) - size * base, emitted + over.path(path)))
+            kinds = [pa.int64()] * 3 + [pa.float64()] * 2
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return resolved.mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
