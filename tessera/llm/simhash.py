@@ -1,21 +1,27 @@
 """Near-duplicate documents by SimHash fingerprints and pigeonring filtering.
 
 A fingerprint has 64 bits. Two fingerprints link if they differ in at most 4 bits.
-The bits form a ring of 7 segments. If at most 4 bits differ, at least 3 segments are
-equal, so every link shares one of the 35 keys made of 3 segments; and, going round the
-ring from some segment, the differences summed over the first n segments never exceed
-n * 4 / 7 (the strong form of the pigeonring principle). Candidates that share a key
-must pass that test of chains before their whole Hamming distance is taken.
+The bits form a ring of 6 segments, or of 7 from ``WIDE_FROM`` classes on. If at most 4 bits
+differ, at least 2 (3) segments are equal, so every link shares one of the 15 (35) keys made
+of 2 (3) segments; both rings give the same links, and the wider keys of the second keep
+groups small where there are more fingerprints. Going round the ring from some segment, the
+differences summed over the first n of m segments never exceed n * 4 / m (the strong form of
+the pigeonring principle). Candidates that share a key must pass that test of chains before
+their whole Hamming distance is taken.
 
 Equal fingerprints are one class from the start. A group that shares a key gives a
-spanning forest, never all its pairs. A key shared by over ``MAX_GROUP`` classes takes
-another exact way: two fingerprints differ in at most 4 bits if and only if a third one
-lies within 2 bits of either, so each class goes to all fingerprints within 2 bits of it,
-and those that meet are linked to the least of them. Its cost is linear in the group.
-
-Defined cases: null or wordless text has fingerprint zero and links like any other; a
-null doc_id keeps its row, and counts in no component's smallest id unless all are null;
-repeated rows come back as often as they went in; an empty table gives an empty result.
+spanning forest, never all its pairs. Keys are counted by partial sums before rows meet, so
+a key with a third of all rows is counted nowhere in one task. A key shared by over
+``MAX_GROUP`` classes takes another exact way: two fingerprints differ in at most 4 bits if
+and only if a third one lies within 2 bits of either, so each class goes to all fingerprints
+within 2 bits of it, and those that meet are linked to the least of them. Its cost is linear
+in the group.
+
+Defined cases: null or wordless text has fingerprint zero and links like any other; a very
+long text is one row, whose hashes are counted in pieces of ``CHUNK``; a null doc_id keeps
+its row, and counts in no component's smallest id unless all are null; repeated rows come
+back as often as they went in; other columns are not read, and ``keep_one`` names its
+helpers so that they meet no column of the input; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,20 +29,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import discard, join_checked, stage
+from .common import discard, fresh, join_checked, stage
 
 WORDS = 4
 SEED = 42
 MAX_BITS = 4
-#: Widths of the ring's segments, from the lowest bit.
-SEGMENTS = (9, 9, 9, 9, 9, 9, 10)
 #: Classes under one key that are still compared with each other, and rows of a block in ``word_links``.
 MAX_GROUP = 8192
 #: For ``keep_one``: fingerprints of word sets, the bits in which the texts' own fingerprints
@@ -45,32 +51,94 @@ WORD_PRINTS = 3
 FAR_BITS = 18
 SIMILAR_WORDS = 5
 SIMILARITY = 0.8
-#: Distances in a group's order from which, and below which, pairs are verified in one round.
-BANDS = ((1, 4), (4, 64), (64, 1 << 62))
-#: Hashes whose bits are counted at once.
+#: Bits of the sketch that bounds how far two texts' shingles differ.
+SKETCH = 1024
+#: Distances in a part's order up to which all parts of a batch are compared at once.
+NEAR = 64
+#: Hashes whose bits are counted at once, and pairs that are sent at once.
 CHUNK = 65_536
-
-_STARTS = np.cumsum((0, *SEGMENTS[:-1]))
-_MASKS = [np.uint64(((1 << w) - 1) << int(s)) for w, s in zip(SEGMENTS, _STARTS)]
-_KEY_OF = np.full((len(SEGMENTS),) * 3, -1)
-for _i, _three in enumerate(combinations(range(len(SEGMENTS)), 3)):
-    _KEY_OF[_three] = _i
-_BUDGET = [n * MAX_BITS // len(SEGMENTS) for n in range(1, len(SEGMENTS) + 1)]
-
-
-def fingerprint(text: bytes | None, words: int = WORDS) -> int:
-    """The SimHash of a text given as UTF-8."""
+#: Rows of one or two numbers up to which they are broadcast.
+FEW_KEYS = 500_000
+
+
+class Ring(NamedTuple):
+    """Widths of the segments from the lowest bit; any two fingerprints within MAX_BITS agree in ``equal`` of them."""
+
+    widths: tuple[int, ...]
+
+    @property
+    def equal(self) -> int:
+        return len(self.widths) - MAX_BITS
+
+    @property
+    def starts(self) -> list[int]:
+        return np.cumsum((0, *self.widths[:-1])).tolist()
+
+    @property
+    def masks(self) -> list[np.uint64]:
+        return [np.uint64(((1 << w) - 1) << s) for w, s in zip(self.widths, self.starts)]
+
+    def keys(self, fp: str) -> list[str]:
+        """SQL for the keys of a fingerprint: the number of the key, then its segments."""
+        seg = [(f"(shiftrightunsigned({fp}, {s}) & {(1 << w) - 1})", w) for w, s in zip(self.widths, self.starts)]
+        out = []
+        for i, some in enumerate(combinations(seg, self.equal)):
+            parts, at = [f"shiftleft({i}L, 40)"], 0
+            for text, w in some:
+                parts.append(f"shiftleft({text}, {at})")
+                at += w
+            out.append(" | ".join(parts))
+        return out
+
+    def viable(self, x: np.ndarray) -> np.ndarray:
+        """Whether some chain of segments of the differing bits ``x`` stays within its budgets."""
+        n = len(self.widths)
+        d = [np.bitwise_count(x & m).astype(np.int8) for m in self.masks]
+        found = np.zeros(len(x), bool)
+        for i in range(n):
+            total, ok = np.zeros(len(x), np.int8), np.ones(len(x), bool)
+            for k in range(n - 1):
+                total = total + d[(i + k) % n]
+                ok &= total <= (k + 1) * MAX_BITS // n
+            found |= ok
+        return found
+
+    def first_key(self, x: np.ndarray) -> np.ndarray:
+        """The number of the first key that two fingerprints share, from their differing bits."""
+        n = len(self.widths)
+        number = np.full((n,) * self.equal, -1)
+        for i, some in enumerate(combinations(range(n), self.equal)):
+            number[some] = i
+        other = np.stack([(x & m) != 0 for m in self.masks], axis=1)
+        some = np.argsort(other, axis=1, kind="stable")[:, : self.equal]
+        return number[tuple(some.T)]
+
+
+NARROW = Ring((11, 11, 11, 11, 10, 10))
+WIDE = Ring((9, 9, 9, 9, 9, 9, 10))
+WIDE_FROM = 1 << 24
+
+
+def ring_for(classes: int) -> Ring:
+    return WIDE if classes >= WIDE_FROM else NARROW
+
+
+def _hashes(text: bytes | None) -> tuple[np.ndarray, int]:
+    """Hashes of a text's shingles of WORDS words in order, and its number of words."""
     tokens = (text or b"").lower().split()  # both are ASCII only on bytes
-    if not tokens:
-        return 0
     h = xxhash.xxh64_intdigest
-    if len(tokens) <= words:
-        return h(b" ".join(tokens), SEED)
+    if len(tokens) <= WORDS:
+        return np.array([h(b" ".join(tokens), SEED)] if tokens else [], np.uint64), len(tokens)
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    stops = ends[words - 1 :].tolist()
-    return _vote(np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts[: len(stops)].tolist(), stops)), np.uint64, len(stops)))
+    stops = ends[WORDS - 1 :].tolist()
+    return np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts[: len(stops)].tolist(), stops)), np.uint64, len(stops)), len(tokens)
+
+
+def fingerprint(text: bytes | None) -> int:
+    """The SimHash of a text given as UTF-8."""
+    return _vote(_hashes(text)[0])
 
 
 def _vote(hashes: np.ndarray) -> int:
@@ -82,6 +150,25 @@ def _vote(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def odd_sketch(hashes: np.ndarray) -> bytes:
+    """SKETCH bits, each whether an odd number of distinct hashes falls to it.
+
+    The differing bits of two sketches are never more than the hashes that only one text has.
+    """
+    return np.packbits(np.bincount((np.unique(hashes) >> np.uint64(7)) & np.uint64(SKETCH - 1), minlength=SKETCH) & 1).tobytes()
+
+
+def most_apart(words_a: np.ndarray, words_b: np.ndarray) -> np.ndarray:
+    """A bound of the shingles of WORDS words that only one of two similar texts has.
+
+    Sets of a and b shingles with a similarity of s differ in (a + b) (1 - s) / (1 + s). A
+    shingle of WORDS words that only one text has begins a longer one that only it has, but
+    for the last of either text. A text has no more shingles than places for them.
+    """
+    places = np.maximum(words_a - SIMILAR_WORDS + 1, 1) + np.maximum(words_b - SIMILAR_WORDS + 1, 1)
+    return places * (1 - SIMILARITY) / (1 + SIMILARITY) + 2 + 1e-9
+
+
 def word_fingerprints(text: bytes | None) -> list[int]:
     """WORD_PRINTS fingerprints of the set of a text's words, each from hashes of its own."""
     words = sorted(set((text or b"").lower().split()))
@@ -108,20 +195,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def ring_viable(x: np.ndarray) -> np.ndarray:
-    """Whether some chain of segments of the differing bits ``x`` stays within its budgets."""
-    d = [np.bitwise_count(x & m).astype(np.int8) for m in _MASKS]
-    n, found = len(d), np.zeros(len(x), bool)
-    for i in range(n):
-        total, ok = np.zeros(len(x), np.int8), np.ones(len(x), bool)
-        for k in range(n - 1):
-            total = total + d[(i + k) % n]
-            ok &= total <= _BUDGET[k]
-        found |= ok
-    return found
-
-
-def _forest(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _forest(key: np.ndarray, fp: np.ndarray, ring: Ring) -> tuple[np.ndarray, np.ndarray]:
     """Links of a spanning forest over rows that are sorted by key, as two arrays of fp."""
     n = len(key)
     root = np.arange(n)
@@ -132,7 +206,7 @@ def _forest(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = at[key[at + gap] == key[at]]
         a = at[root[at] != root[at + gap]]
         x = fp[a] ^ fp[a + gap]
-        keep = ring_viable(x)
+        keep = ring.viable(x)
         a, x = a[keep], x[keep]
         hits = a[np.bitwise_count(x) <= MAX_BITS]
         for i in hits.tolist():
@@ -152,23 +226,26 @@ def _forest(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fp[root[child]], fp[child]
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp) sorted by key; a key's rows may run over several batches."""
-    keep_k, keep_f = np.empty(0, np.int64), np.empty(0, np.uint64)
+def _links(ring: Ring):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (key, fp) sorted by key; a key's rows may run over several batches."""
+        keep_k, keep_f = np.empty(0, np.int64), np.empty(0, np.uint64)
 
-    def links(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-        a, b = _forest(k, f)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        def links(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+            a, b = _forest(k, f, ring)
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    for batch in batches:
-        k = np.concatenate([keep_k, batch.column(0).to_numpy()])
-        f = np.concatenate([keep_f, batch.column(1).to_numpy().view(np.uint64)])
-        if not len(k):
-            continue
-        cut = int(np.searchsorted(k, k[-1]))
-        yield links(k[:cut], f[:cut])
-        keep_k, keep_f = k[cut:], f[cut:]
-    yield links(keep_k, keep_f)
+        for batch in batches:
+            k = np.concatenate([keep_k, batch.column(0).to_numpy()])
+            f = np.concatenate([keep_f, batch.column(1).to_numpy().view(np.uint64)])
+            if not len(k):
+                continue
+            cut = int(np.searchsorted(k, k[-1]))
+            yield links(k[:cut], f[:cut])
+            keep_k, keep_f = k[cut:], f[cut:]
+        yield links(keep_k, keep_f)
+
+    return rows
 
 
 def _ball(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,19 +257,13 @@ def _ball(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(near.view(np.int64)), pa.array(np.full(len(near), f).view(np.int64))], ["z", "fp"])
 
 
-def _keys(fp: str) -> list[str]:
-    """SQL for the 35 keys of a fingerprint."""
-    seg = [f"(shiftrightunsigned({fp}, {s}) & {(1 << w) - 1})" for w, s in zip(SEGMENTS, _STARTS)]
-    three = enumerate(combinations(range(len(SEGMENTS)), 3))
-    return [f"shiftleft({i}L, 40) | shiftleft({seg[p]}, 20) | shiftleft({seg[q]}, 10) | {seg[r]}" for i, (p, q, r) in three]
-
-
-def links(classes: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
+def links(classes: DataFrame, max_group: int = MAX_GROUP, ring: Ring = WIDE) -> DataFrame:
     """Links a, b between distinct fingerprints that give the components of all links."""
-    keyed = classes.select("fp", F.explode(F.array(*[F.expr(k) for k in _keys("fp")])).alias("key"))
-    sized = stage(keyed.selectExpr("key", "fp", "count(*) over (partition by key) as n").filter("n > 1"))
+    keyed = classes.select("fp", F.explode(F.array(*[F.expr(k) for k in ring.keys("fp")])).alias("key"))
+    busy = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    sized = stage(join_checked(keyed, busy, "key", rows=FEW_KEYS))
     small = sized.filter(F.col("n") <= max_group).select("key", "fp")
-    found = small.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links, "a long, b long")
+    found = small.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links(ring), "a long, b long")
     large = sized.filter(F.col("n") > max_group).select("fp")
     if not large.isEmpty():
         near = stage(large.distinct().mapInArrow(_ball, "z long, fp long"))
@@ -201,133 +272,188 @@ def links(classes: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     return found.distinct()
 
 
-def _first_key(x: np.ndarray) -> np.ndarray:
-    """Which of the 35 keys is the first that two fingerprints share, from their differing bits."""
-    other = np.stack([(x & m) != 0 for m in _MASKS], axis=1)
-    three = np.argsort(other, axis=1, kind="stable")[:, :3]
-    return _KEY_OF[three[:, 0], three[:, 1], three[:, 2]]
+class Part(NamedTuple):
+    """Rows sorted by key and part."""
 
+    key: np.ndarray
+    part: np.ndarray
+    w: np.ndarray
+    fp: np.ndarray
+    root: np.ndarray
+    block: np.ndarray
+    two: np.ndarray
+    words: np.ndarray
+    sketch: np.ndarray
 
-def _hubs(w: np.ndarray, fp: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Of each group the row nearest to what most of its rows have in each bit."""
-    away = np.zeros(len(w), np.int64)
-    for x in (w, fp):
-        bits = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        most = 2 * np.add.reduceat(bits, starts, axis=0, dtype=np.int32) > size[:, None]
-        away += np.bitwise_count(x ^ np.packbits(most, axis=1, bitorder="little").view(np.uint64).ravel().repeat(size))
-    return np.lexsort((away, np.arange(len(size)).repeat(size)))[starts]
+    def take(self, at) -> Part:
+        return Part(*(x[at] for x in self))
 
 
-def _near_in_words(part: list[np.ndarray], low: int, high: int, hubs: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows of one part, ``low`` to ``high - 1`` places apart, that both bit tests pass and no root joins.
+def _near_in_words(rows: Part, forest: bool, ring: Ring) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one part that have different roots and pass the tests: both Hamming distances and the sketches.
 
     A pair is given under the first key that it shares, and where a part is made of two
-    blocks only if its rows are of different ones. With ``hubs`` each row also meets the hub
-    of its part, which joins most of a family before all pairs are asked.
+    blocks only if its rows are of different ones. With ``forest`` a pair is left out if
+    pairs before it join its rows, given here or under the key that gives them.
     """
-    n = len(part[0])
+    if not len(rows.key):
+        return
+    change = np.append(True, (rows.key[1:] != rows.key[:-1]) | (rows.part[1:] != rows.part[:-1]))
+    starts = np.flatnonzero(change)
+    mixed = np.minimum.reduceat(rows.root, starts) < np.maximum.reduceat(rows.root, starts)
+    rows = rows.take(mixed[np.cumsum(change) - 1])
+    n = len(rows.key)
     if not n:
         return
-    starts = np.flatnonzero(np.append(True, (part[0][1:] != part[0][:-1]) | (part[4][1:] != part[4][:-1])))
-    size = np.diff(np.append(starts, n))
-    mixed = np.minimum.reduceat(part[3], starts) < np.maximum.reduceat(part[3], starts)
-    key, w, fp, root, _, block, two = (x[mixed.repeat(size)] for x in part)
-    size = size[mixed]
-    group = np.arange(len(size)).repeat(size)
-    starts = np.cumsum(size) - size
-
-    def near(a: np.ndarray, b: np.ndarray, once: bool) -> tuple[np.ndarray, np.ndarray]:
-        apart = root[a] != root[b]
-        a, b = a[apart], b[apart]
-        x = w[a] ^ w[b]
-        ok = (np.bitwise_count(x) <= MAX_BITS) & (np.bitwise_count(fp[a] ^ fp[b]) <= FAR_BITS)
+    change = np.append(True, (rows.key[1:] != rows.key[:-1]) | (rows.part[1:] != rows.part[:-1]))
+    starts = np.flatnonzero(change)
+    group, size = np.cumsum(change) - 1, np.diff(np.append(starts, n))
+    # roots as numbers of their own in each group, which the pairs of a forest join
+    order = np.lexsort((rows.root, group))
+    fresh_root = np.append(True, (group[order][1:] != group[order][:-1]) | (rows.root[order][1:] != rows.root[order][:-1]))
+    local = np.empty(n, np.int64)
+    local[order] = np.cumsum(fresh_root) - 1
+    joined = np.arange(int(local.max()) + 1)
+    pending: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def root(x: int) -> int:
+        while joined[x] != x:
+            joined[x] = joined[joined[x]]
+            x = joined[x]
+        return x
+
+    def near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = rows.w[a] ^ rows.w[b]
+        ok = np.bitwise_count(x) <= MAX_BITS
         a, b, x = a[ok], b[ok], x[ok]
-        if once and len(a):
-            ok = (_first_key(x) == (key[a] >> 40) & 0xFF) & (~two[a] | (block[a] != block[b]))
-            a, b = a[ok], b[ok]
-        return fp[a], fp[b]
-
-    if hubs and len(size):
-        yield near(_hubs(w, fp, starts, size).repeat(size), np.arange(len(key)), False)
-    at, pending, held = np.arange(len(key)), [], 0
-    for gap in range(low, high):
-        at = at[at + gap < len(key)]
+        ok = ring.viable(x) & (np.bitwise_count(rows.fp[a] ^ rows.fp[b]) <= FAR_BITS)
+        a, b = a[ok], b[ok]
+        apart = np.bitwise_count(rows.sketch[a] ^ rows.sketch[b]).sum(axis=1, dtype=np.int64)
+        ok = apart <= most_apart(rows.words[a], rows.words[b])
+        return a[ok], b[ok]
+
+    def give(a: np.ndarray, b: np.ndarray) -> bool:
+        """Takes near pairs; whether some roots were joined."""
+        if forest:
+            keep = np.zeros(len(a), bool)
+            for i, (p, q) in enumerate(zip(local[a].tolist(), local[b].tolist())):
+                p, q = root(p), root(q)
+                if p != q:
+                    joined[max(p, q)] = min(p, q)
+                    keep[i] = True
+            a, b = a[keep], b[keep]
+        some = bool(len(a))
+        mine = ring.first_key(rows.w[a] ^ rows.w[b]) == (rows.key[a] >> 40) & 0xFF
+        mine &= ~rows.two[a] | (rows.block[a] != rows.block[b])
+        pending.append((rows.fp[a[mine]], rows.fp[b[mine]]))
+        return some and forest
+
+    def settle() -> None:
+        nonlocal local
+        while not np.array_equal(up := joined[joined], joined):
+            joined[:] = up
+        local = joined[local]
+
+    at = np.arange(n)
+    for gap in range(1, NEAR):
+        at = at[at + gap < n]
         at = at[group[at + gap] == group[at]]
         if not len(at):
             break
-        pending.append(near(at, at + gap, True))
-        held += len(pending[-1][0])
-        if held > CHUNK or len(pending) > CHUNK:
+        a = at[local[at] != local[at + gap]]
+        if len(a) and give(*near(a, a + gap)):
+            settle()
+    for g in np.flatnonzero(size > NEAR).tolist():  # the rest of large parts: rows outside the largest component meet all
+        here = np.arange(starts[g], starts[g] + size[g])
+        names, count = np.unique(local[here], return_counts=True)
+        if len(names) == 1:
+            continue
+        most = names[count.argmax()]
+        for i in here[local[here] != most].tolist():
+            others = here[(local[here] != local[i]) & (np.abs(here - i) >= NEAR) & ((local[here] == most) | (here > i))]
+            if len(others) and give(*near(np.full(len(others), i), others)):
+                settle()
+        if sum(len(x[0]) for x in pending) > CHUNK:
             yield tuple(map(np.concatenate, zip(*pending)))
-            pending, held = [], 0
+            pending = []
     if pending:
         yield tuple(map(np.concatenate, zip(*pending)))
 
 
-def _word_pairs(low: int, high: int, hubs: bool):
+def _word_pairs(forest: bool, ring: Ring):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (key, w, fp, root, part, block, two) sorted by key and part; a part's rows may run over several batches."""
-        kept = [np.empty(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64, bool)]
+        """Rows as in ``Part``, sorted by key and part; a part's rows may run over several batches."""
+        kept: Part | None = None
 
-        def pairs(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for a, b in _near_in_words(part, low, high, hubs):
+        def pairs(some: Part) -> Iterator[pa.RecordBatch]:
+            for a, b in _near_in_words(some, forest, ring):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
-            new[1], new[2] = new[1].view(np.uint64), new[2].view(np.uint64)
-            all_ = [np.concatenate(x) for x in zip(kept, new)]
-            if not len(all_[0]):
+            if not batch.num_rows:
                 continue
-            last = (all_[0] == all_[0][-1]) & (all_[4] == all_[4][-1])
+            got = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(Part._fields) - 1)]
+            got[2], got[3] = got[2].view(np.uint64), got[3].view(np.uint64)
+            sketch = np.frombuffer(b"".join(batch.column(len(got)).to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
+            now = Part(*got, sketch)
+            if kept is not None:
+                now = Part(*(np.concatenate(x) for x in zip(kept, now)))
+            last = (now.key == now.key[-1]) & (now.part == now.part[-1])
             cut = len(last) - int(last.sum())
-            yield from pairs([x[:cut] for x in all_])
-            kept = [x[cut:] for x in all_]
-        yield from pairs(kept)
+            yield from pairs(now.take(slice(0, cut)))
+            kept = now.take(slice(cut, None))
+        if kept is not None:
+            yield from pairs(kept)
 
     return rows
 
 
-def word_links(rooted: DataFrame, reps: DataFrame, docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame | None:
+def word_links(rooted: DataFrame, texts: DataFrame, max_group: int = MAX_GROUP, ring: Ring = WIDE) -> DataFrame | None:
     """Links a, b that join all documents of different components whose word sets are near and whose shingles are similar.
 
-    ``rooted`` has fp, root and ws, the fingerprints of the word sets; ``reps`` and ``docs``
-    are as in ``similar``. Every pair that passes both bit tests is verified, unless links
-    found before join it: pairs come in rounds by their distance in the group's order, and
-    after each round components are contracted. A group of over ``max_group`` rows is dealt
-    into blocks by hash: each block is a part, and so are any two blocks, first for their hubs
-    and at last for all pairs. So a task has two blocks at once, and no pair is left out.
+    ``rooted`` has fp, root, row, words, sketch and ws, the fingerprints of the word sets;
+    ``texts`` has row and text. Every pair that passes the tests of ``_near_in_words`` is
+    verified, unless links found before join it. The first round takes a spanning forest
+    of the near pairs of each group, as if all were similar, and contracts the components
+    of those that are. If all were, nothing is left; else a last round verifies all near pairs
+    that still have different roots. A group of over ``max_group`` rows is dealt
+    into blocks by hash: each block is a part, and so are any two blocks, nearer ones before
+    farther ones. So a task has two blocks at once, and no pair is left out.
     """
     each = rooted.select("fp", "root", F.posexplode("ws").alias("which", "w"))
-    keyed = each.select("fp", "root", "which", "w", F.explode(F.array(*[F.expr(k) for k in _keys("w")])).alias("k"))
-    keyed = keyed.select("fp", "root", "w", "which", F.expr("k | shiftleft(cast(which as bigint), 48)").alias("key"))
-    of_key = [f"{f} over (partition by key) as {name}" for f, name in (("count(*)", "n"), ("min(root)", "low"), ("max(root)", "high"))]
-    sized = stage(keyed.selectExpr("key", "w", "fp", "root", "which", *of_key).filter("low < high"))
-    roots = stage(sized.select("fp", "root").distinct())
+    keyed = each.select("fp", "root", "which", "w", F.explode(F.array(*[F.expr(k) for k in ring.keys("w")])).alias("k"))
+    keyed = keyed.select("fp", "root", "w", F.expr("k | shiftleft(cast(which as bigint), 48)").alias("key"))
+    busy = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    busy = stage(busy.filter("low < high").select("key", "n"))
+    sized = stage(join_checked(keyed.select("key", "w", "fp"), busy, "key", rows=FEW_KEYS))
+    roots = stage(rooted.select("fp", "root", "row", "words", "sketch"))
     count = f"cast(ceil(n / {max_group}) as bigint)"
     dealt = sized.selectExpr("key", "w", "fp", f"{count} as blocks", f"pmod(xxhash64(fp), {count}) as block")
     blocks = sized.selectExpr(f"max({count}) as blocks").first().blocks or 1
-    links = []
-
-    def settle(found: DataFrame) -> None:
-        nonlocal roots
-        pairs = stage(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        if pairs.isEmpty():
+    found: list[DataFrame] = []
+    refuted = False
+
+    def ask(parts: DataFrame, forest: bool) -> None:
+        """Verifies the near pairs of ``parts`` and contracts the components of similar ones."""
+        nonlocal roots, refuted
+        rows = join_checked(parts, roots.select("fp", "root", "words", "sketch"), "fp").select(*Part._fields)
+        near = rows.repartition("key", "part").sortWithinPartitions("key", "part", "fp").mapInArrow(_word_pairs(forest, ring), "a long, b long")
+        pairs = stage(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        asked = pairs.count()
+        if not asked:
             return
-        good = stage(similar(pairs, reps, docs))
+        good = stage(similar(pairs, roots.select("fp", "row"), texts))
         discard(pairs)
-        if good.isEmpty():
+        true = good.count()
+        refuted |= true < asked
+        if not true:
             return
-        links.append(good)
+        found.append(good)
         of_a, of_b = roots.selectExpr("fp as a", "root as u"), roots.selectExpr("fp as b", "root as v")
         joined = stage(components(good.join(of_a, "a").join(of_b, "b").selectExpr("u as a", "v as b"))).selectExpr("node as root", "root as new")
-        last, roots = roots, stage(join_checked(roots, joined, "root", "left").select("fp", F.coalesce("new", "root").alias("root")))
+        last, roots = roots, stage(join_checked(roots, joined, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new"))
         discard(last)
 
-    def ask(parts: DataFrame, low: int, high: int, hubs: bool) -> None:
-        rows = join_checked(parts, roots, "fp").select("key", "w", "fp", "root", "part", "block", "two")
-        settle(rows.repartition("key", "part").sortWithinPartitions("key", "part", "fp").mapInArrow(_word_pairs(low, high, hubs), "a long, b long"))
-
     def apart(least: int, most: int) -> DataFrame:
         """Parts of two blocks each that are ``least`` to ``most`` places from each other."""
         by = f"explode(sequence({least}L, least({most}L, blocks - 1))) as by"
@@ -335,17 +461,15 @@ def word_links(rooted: DataFrame, reps: DataFrame, docs: DataFrame, max_group: i
         sides = sides.filter("first >= 0 and first + by < blocks")
         return sides.selectExpr("key", "w", "fp", "first * blocks + by as part", "block", "true as two")
 
-    alone = dealt.selectExpr("key", "w", "fp", "block as part", "block", "false as two")
+    alone = dealt.selectExpr("key", "w", "fp", "0L as part", "block", "false as two").withColumn("part", F.col("block") * blocks)
     steps = [(1 << i, (2 << i) - 1) for i in range((blocks - 1).bit_length())]
-    for i, (low, high) in enumerate(BANDS):
-        ask(alone, low, high, i == 0)
-        if i == 0:
+    for forest in (True, False):
+        if forest or refuted:
+            ask(alone, forest)
             for least, most in steps:
-                ask(apart(least, most), 1, 1, True)
-    for least, most in steps:
-        ask(apart(least, most), 1, 1 << 62, False)
-    discard(sized, roots)
-    return reduce(DataFrame.union, links) if links else None
+                ask(apart(least, most), forest)
+    discard(busy, sized, roots)
+    return reduce(DataFrame.union, found) if found else None
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,17 +482,15 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
 
 
-def similar(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def similar(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose documents share at least SIMILARITY of their shingles.
 
-    ``reps`` gives fp, doc_id and th of one document for each fingerprint; ``docs`` has
-    doc_id, th and text.
+    ``reps`` gives fp and row of one document for each fingerprint; ``texts`` has row and text.
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    wanted = stage(reps.join(wanted, "fp").select("fp", F.col("doc_id").alias("_id"), F.col("th").alias("_h")))
-    same = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("th") == F.col("_h")]
-    texts = join_checked(docs, wanted, same).select("fp", F.col("text").cast("binary").alias("text")).dropDuplicates(["fp"])
-    sets = stage(texts.mapInArrow(_shingle_sets, "fp long, shingles array<long>"))
+    wanted = stage(reps.join(wanted, "fp"))
+    found = join_checked(texts, wanted, "row", rows=FEW_KEYS).select("fp", F.col("text").cast("binary").alias("text"))
+    sets = stage(found.mapInArrow(_shingle_sets, "fp long, shingles array<long>"))
     left = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
@@ -380,24 +502,26 @@ def components(edges: DataFrame) -> DataFrame:
     """node and root of every node of ``edges`` (a, b): the least node that it reaches.
 
     Large and small stars in turn (Kiveris et al., Connected components in MapReduce and beyond):
-    each round is two joins with per-node minima, and ends when no edge changes.
+    each round is two joins with per-node minima, and ends when no edge changes, which
+    their number and two sums of their hashes tell.
     """
-    e = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    size = e.count()
+    def settled(df: DataFrame) -> tuple[DataFrame, tuple]:
+        out = stage(df)
+        h = F.xxhash64("u", "v")
+        return out, tuple(out.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 20))).first())
+
+    e, mark = settled(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        large = stage(large.distinct(), 2 * size)
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         # a neighbour that is not the least one hangs below it, and so does the node
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        new = stage(small.select("x.u", "x.v").filter("u <> v").distinct(), 4 * size)
-        now = new.count()
-        same = now == size and new.exceptAll(e).isEmpty()
-        discard(e, large)
-        e, size = new, now
+        new, now = settled(small.select("x.u", "x.v").filter("u <> v").distinct())
+        discard(e)
+        e, same, mark = new, now == mark, now
         if same:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
                 e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
@@ -410,50 +534,69 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _with_components(prints, max_group)
 
 
-def _with_components(prints: DataFrame, max_group: int) -> DataFrame:
-    rows = prints.count()
-    classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), rows)
-    root = components(links(classes, max_group))
-    reach = stage(classes.join(root, classes.fp == root.node).select("fp", "root", "least"), rows)
+def _with_components(prints: DataFrame, max_group: int, ring: Ring | None = None) -> DataFrame:
+    classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    root = components(links(classes, max_group, ring or ring_for(classes.count())))
+    reach = stage(classes.join(root, classes.fp == root.node).select("fp", "root", "least"))
     least = reach.groupBy("root").agg(F.min("least").alias("all_least"))
     linked = reach.join(least, "root").select("fp", "all_least")
     ids = classes.join(linked, "fp", "left").select("fp", F.coalesce("all_least", "least").alias("component_id"))
-    return prints.join(stage(ids, rows), "fp")
+    return prints.join(stage(ids), "fp")
 
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
+def numbered(docs: DataFrame, out: str) -> DataFrame:
+    """``docs`` with a struct ``out``: row (a number of its own), doc_id, th, fp, ws, words, sketch. To be staged."""
+    columns = docs.columns
+    row, id_at, hash_at, text_at = (fresh(docs, x) for x in ("row", "id", "hash", "bytes"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = dict(zip(batch.schema.names, batch.columns))
+            fp, ws, sizes, sketches = [], [], [], []
+            for t in column[text_at]:
+                text = t.as_py()
+                h, n = _hashes(text)
+                fp.append(_vote(h))
+                ws.append(np.array(word_fingerprints(text), np.uint64).view(np.int64))
+                sizes.append(n)
+                sketches.append(odd_sketch(h))
+            made = [column[row], column[id_at], column[hash_at], pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(ws, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
+            struct = pa.StructArray.from_arrays(made, ["row", "doc_id", "th", "fp", "ws", "words", "sketch"])
+            yield pa.RecordBatch.from_arrays([*(column[c] for c in columns), struct], [*columns, out])
+
+    helpers = {row: F.monotonically_increasing_id(), id_at: F.col("doc_id").cast("long"), hash_at: F.xxhash64("text"), text_at: F.col("text").cast("binary")}
+    kind = StructType.fromDDL("row long, doc_id long, th long, fp long, ws array<long>, words long, sketch binary")
+    return docs.withColumns(helpers).mapInArrow(rows, StructType([*docs.schema.fields, StructField(out, kind)]))
+
+
+def keep_one(docs: DataFrame, max_group: int = MAX_GROUP, ring: Ring | None = None) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the smallest doc_id.
 
     Besides fingerprints that link, copies are found that changed in more places: documents
     whose word sets are near (by the same search over WORD_PRINTS other fingerprints) and
     that share at least SIMILARITY of their SIMILAR_WORDS-word shingles, which is verified.
-    Among rows that share an id the one with the smallest text hash stays, once.
+    Among rows that share an id the one with the smallest text hash stays, once. Texts are
+    written once with their fingerprints, and shuffled only where over FEW_KEYS rows go.
     """
-    keyed = docs.withColumn("_th", F.xxhash64("text"))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    prints = stage(source.withColumn("text", F.col("text").cast("binary")).mapInArrow(_all_prints, "doc_id long, th long, fp long, ws array<long>"))
-    rep = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "ws"))
-    rows = prints.count()
-    classes = stage(prints.groupBy("fp").agg(rep.alias("rep")), rows)
-    edges = stage(links(classes.select("fp"), max_group))
+    out = fresh(docs, "prints")
+    held = stage(numbered(docs, out))
+    prints = held.select(f"{out}.*")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "row", "ws", "words", "sketch"))
+    classes = stage(prints.groupBy("fp").agg(rep.alias("rep")))
+    ring = ring or ring_for(classes.count())
+    edges = stage(links(classes.select("fp"), max_group, ring))
     rooted = classes.join(components(edges), classes.fp == F.col("node"), "left")
-    rooted = stage(rooted.select("fp", F.coalesce("root", "fp").alias("root"), F.col("rep.ws").alias("ws")), rows)
-    reps = classes.select("fp", "rep.doc_id", "rep.th")
-    more = word_links(rooted, reps, source, max_group)
+    rooted = stage(rooted.select("fp", F.coalesce("root", "fp").alias("root"), "rep.row", "rep.words", "rep.sketch", "rep.ws"))
+    more = word_links(rooted, held.select(F.col(f"{out}.row").alias("row"), "text"), max_group, ring)
     linked = components(edges if more is None else edges.union(more))
-    grouped = classes.join(linked, classes.fp == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root"))
-    chosen = stage(grouped.agg(F.min("rep").alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.th").alias("_h")), rows)
-    kept = keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_th"]).select(*docs.columns)
-
-
-def _all_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [t.as_py() for t in batch.column(2)]
-        fp = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-        ws = np.array([word_fingerprints(t) for t in texts], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp), pa.array(list(ws), pa.list_(pa.int64()))], ["doc_id", "th", "fp", "ws"])
+    names = F.struct("rep.last", "rep.doc_id", "rep.th", "rep.row").alias("rep")
+    grouped = classes.select("fp", names).join(linked, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root"))
+    chosen = grouped.agg(F.min("rep").alias("x")).select("x.row")
+    row = fresh(docs, "row")
+    gone = stage(prints.select("row").join(chosen, "row", "left_anti").select(F.col("row").alias(row)))
+    discard(classes, edges, rooted)
+    return join_checked(held.withColumn(row, F.col(f"{out}.row")), gone, row, "left_anti", FEW_KEYS).select(*docs.columns)
