@@ -17,7 +17,9 @@ at least 0.8 of its distinct shingles are in the document.
 Defined cases: null text has no words; texts and items of fewer than five words have no
 shingles, so such an item is never found; repeated rows of documents give one result for
 each different text under an id, repeated items count once for each id; a null item id is
-kept; an empty table on either side gives an empty result.
+kept; a very long text is one row, which holds its hashes and windows at once, some 40 bytes
+a word and size class; other columns are not read, so none can clash; an empty table on
+either side gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_checked, stage
+from .common import fresh, join_checked, stage
 
 WORDS = 5
 CONTAINMENT = 0.8
@@ -113,11 +115,11 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text holds no item."""
-    bad = stage(search(docs, items).select(F.col("doc_id").alias("_id"), F.col("th").alias("_h")).distinct())
-    keyed = docs.withColumn("_th", F.xxhash64("text"))
-    on = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("_th") == F.col("_h")]
-    return join_checked(keyed, bad, on, "left_anti", FEW).select(*docs.columns)
+    """The rows of ``docs`` whose text holds no item. Helper columns meet no name of ``docs``."""
+    doc, of_text, th = (fresh(docs, x) for x in ("doc", "of_text", "text_hash"))
+    bad = stage(search(docs, items).select(F.col("doc_id").alias(doc), F.col("th").alias(of_text)).distinct())
+    on = [F.col("doc_id").eqNullSafe(F.col(doc)), F.col(th) == F.col(of_text)]
+    return join_checked(docs.withColumn(th, F.xxhash64("text")), bad, on, "left_anti", FEW).select(*docs.columns)
 
 
 ORACLE = r"""

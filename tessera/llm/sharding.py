@@ -13,8 +13,9 @@ runs again finds the same keys. Neither a block nor a shard is sorted in one tas
 are uniform, so ranks are taken in parts of ``PART_ROWS`` rows or so.
 
 Defined cases: copies, repeated rows and null ids are rows like any other; a null text has
-8 bytes and checksum 0; fewer rows than shards leave the last shards empty; an empty table
-gives an empty result.
+8 bytes and checksum 0; a very long text is a row like any other, and only its size and
+checksum are carried by the query; fewer rows than shards leave the last shards empty;
+columns with any names stay as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rank_in_groups, stage
+from .common import fresh, rank_in_groups, stage
 
 SHARDS = 24
 SEED = 20_240_229
@@ -73,15 +74,19 @@ def matrix(counts: list[int], shards: int, seed: int) -> list[list[int]]:
 
 
 def uniform_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """``df`` with shard (from 0) and slot (gapless from 0 in each shard)."""
+    """``df`` with two more columns: shard (from 0) and slot (gapless from 0 in each shard).
+
+    Where ``df`` has such a name, it stays, and the new column has an underscore before it.
+    """
     spark = df.sparkSession
+    shard, slot, block_of, first, second, tie, rank, ends_of = (fresh(df, x) for x in ("shard", "slot", "block", "key_1", "key_2", "tie", "rank", "ends"))
     block = F.pmod(F.spark_partition_id(), F.lit(BLOCKS))
-    keyed = stage(df.withColumns({"_block": block, "_k1": F.rand(seed), "_k2": F.rand(seed + 1), "_tie": F.monotonically_increasing_id()}))
-    counted = sorted((r._block, r.n) for r in keyed.groupBy("_block").agg(F.count("*").alias("n")).collect())  # at most BLOCKS rows
+    keyed = stage(df.withColumns({block_of: block, first: F.rand(seed), second: F.rand(seed + 1), tie: F.monotonically_increasing_id()}))
+    counted = sorted((r[0], r[1]) for r in keyed.groupBy(block_of).agg(F.count("*")).collect())  # at most BLOCKS rows
     rows = sum(n for _, n in counted)
     drawn = matrix([n for _, n in counted], shards, seed)
     ends = [(i, np.cumsum(line).tolist()) for (i, _), line in zip(counted, drawn)]
-    ends_of = F.broadcast(spark.createDataFrame(ends, "_block int, _ends array<long>"))  # at most BLOCKS x shards numbers
+    ends = F.broadcast(spark.createDataFrame(ends, f"{block_of} int, {ends_of} array<long>"))  # at most BLOCKS x shards numbers
 
     def parts(groups: int) -> int:
         return max(LEAST_PARTS, rows // max(1, groups) // PART_ROWS + 1)
@@ -89,10 +94,10 @@ def uniform_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> Dat
     def bucket(key: str, groups: int):
         return F.floor(F.col(key) * parts(groups)).cast("int")
 
-    dealt = rank_in_groups(keyed, ["_block"], [F.col("_k1"), F.col("_tie")], bucket("_k1", len(counted)), "_rank")
-    sent = dealt.join(ends_of, "_block").withColumn("shard", F.size(F.filter("_ends", lambda e: e <= F.col("_rank"))))
-    sent = stage(sent.drop("_ends", "_rank", "_block", "_k1"), rows)
-    return rank_in_groups(sent, ["shard"], [F.col("_k2"), F.col("_tie")], bucket("_k2", shards), "slot").drop("_k2", "_tie")
+    dealt = rank_in_groups(keyed, [block_of], [F.col(first), F.col(tie)], bucket(first, len(counted)), rank)
+    sent = dealt.join(ends, block_of).withColumn(shard, F.size(F.filter(ends_of, lambda e: e <= F.col(rank))))
+    sent = stage(sent.drop(ends_of, rank, block_of, first))
+    return rank_in_groups(sent, [shard], [F.col(second), F.col(tie)], bucket(second, shards), slot).drop(second, tie)
 
 
 def digest(docs: DataFrame) -> DataFrame:
