@@ -2,20 +2,22 @@
 
 Kinds with their own evidence are kept whatever stands near: ``email``; ``ip`` (four parts
 of at most 255); ``card`` (13 to 19 digits that pass Luhn); ``phone`` (a plus and 9 to 15
-digits). ``iban`` needs its mod-97 checksum. ``ssn`` and ``secret`` (access keys and long
-hex or base-64 strings) start from a low score and need words such as "password" or
-"ssn" within ``NEAR`` characters before them; an access-key prefix is evidence enough.
+digits). ``iban`` has the length of its country and needs its mod-97 checksum. ``ssn`` and
+``secret`` (access keys and long hex or base-64 strings) start from a low score and need
+words such as "password" or "ssn", whole or in the plural, within ``NEAR`` characters
+before or after them; an access-key prefix is evidence enough.
 
 Offsets are code points, the end exclusive. Every scan is linear in the text: runs of
 digits and of name characters are entered at their start only.
 
-Defined cases: null text counts as empty; repeated rows are each reported; an empty table
-gives an empty result; all other columns are left alone.
+Defined cases: null text counts as empty; a very long text is one row and is scanned once for
+each kind; repeated rows are each reported; ``detect`` reads no other column, so none can
+clash, and ``redacted`` leaves all others as they are, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -45,15 +47,26 @@ CONTEXT = {
     "secret": ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "api key", "access key"),
 }
 CONTEXT_GAIN = 0.3
+#: Letters and digits of an IBAN by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
+    "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28,
+    "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20,
+    "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29,
+    "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22,
+    "VG": 24, "XK": 20,
+}
+_CONTEXT = {k: re.compile(r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, words)) + r")s?(?![a-z0-9])") for k, words in CONTEXT.items()}
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+_IBAN_REST = re.compile(r" ?[A-Z0-9]")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?:AKIA[0-9A-Z]{16}|(?=[A-Za-z0-9+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{16,}={0,2})(?![A-Za-z0-9+/_-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?:AKIA[0-9A-Z]{16}|(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2})(?![A-Za-z0-9+/_-])")
 
 
 class Span(NamedTuple):
@@ -116,25 +129,44 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    done = 0
+    for m in _IBAN_START.finditer(text):
+        size = IBAN_LENGTHS.get(m[0][:2])
+        if not size or m.start() < done:
+            continue
+        end = m.end()
+        for _ in range(size - 4):
+            following = _IBAN_REST.match(text, end)
+            if not following:
+                break
+            end = following.end()
+        else:
+            if not text[end : end + 1].isalnum() and mod97(text[m.start() : end].replace(" ", "")):
+                done = end
+                yield m.start(), end
+
+
 def _more(text: str) -> Iterator[tuple[str, int, int, float]]:
-    for m in _IBAN.finditer(text):
-        if mod97(m[0].replace(" ", "")):
-            yield "iban", *m.span(), START_SCORE["iban"]
+    for start, end in _ibans(text):
+        yield "iban", start, end, START_SCORE["iban"]
     for m in _SSN.finditer(text):
         yield "ssn", *m.span(), START_SCORE["ssn"]
     for m in _SECRET.finditer(text):
         yield "secret", *m.span(), 0.9 if m[0].startswith("AKIA") and len(m[0]) == 20 else START_SCORE["secret"]
 
 
-def _score(kind: str, start: float, text: str, at: int) -> float:
-    before = text[max(0, at - NEAR) : at].lower()
-    return min(1.0, start + CONTEXT_GAIN * any(w in before for w in CONTEXT[kind]))
+def _score(kind: str, score: float, text: str, start: int, end: int) -> float:
+    """A score, raised if a word of the kind's context stands whole within NEAR characters on either side."""
+    low, high = max(0, start - NEAR), min(len(text), end + NEAR)
+    near = text[low:start].lower(), text[end:high].lower()
+    return min(1.0, score + CONTEXT_GAIN * any(_CONTEXT[kind].search(part) for part in near))
 
 
 def find(text: str | None) -> list[Span]:
     """All spans of a text by kind as listed, then start."""
     text = text or ""
-    out = [Span(k, a, b, _score(k, START_SCORE[k], text, a)) for k, spans in base_spans(text).items() for a, b in spans]
+    out = [Span(k, a, b, _score(k, START_SCORE[k], text, a, b)) for k, spans in base_spans(text).items() for a, b in spans]
     taken: list[list[int]] = []  # merged, so that starts and ends both rise
     for a, b in sorted((s.start, s.end) for s in out):
         if taken and a < taken[-1][1]:
@@ -147,7 +179,7 @@ def find(text: str | None) -> list[Span]:
         i = bisect_right(ends, s.start)
         return i == len(taken) or taken[i][0] >= s.end
 
-    more = [Span(k, a, b, _score(k, s, text, a)) for k, a, b, s in _more(text)]
+    more = [Span(k, a, b, _score(k, s, text, a, b)) for k, a, b, s in _more(text)]
     more = [s for s in more if s.score >= ACCEPT and free(s)]
     return out + sorted(more, key=lambda s: (MORE_KINDS.index(s.kind), s.start))
 
@@ -162,10 +194,6 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join(out) + text[at:]
 
 
-def _joined(spans: list[Span]) -> str:
-    return ",".join(f"{s.kind}:{s.start}:{s.end}" for s in spans)
-
-
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and its spans as an array of (kind, start, end, score), for each row."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
@@ -194,12 +222,6 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def base_digest(text: str | None) -> str:
-    """base_sha256 of one text."""
-    listed = _joined([Span(k, a, b, 0) for k, v in base_spans(text or "").items() for a, b in v])
-    return hashlib.sha256(listed.encode()).hexdigest()
-
-
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the spans in its text replaced by their kinds; n_chars follows if it is there."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
