@@ -1,7 +1,8 @@
 """HTML to leaf blocks with their features: one linear pass, tolerant of broken markup.
 
 A leaf block is a run of text between the starts and ends of block elements; inline
-elements do not end it. Comments, scripts, styles and other invisible content give none.
+elements do not end it. Comments, scripts, styles and other invisible content give none;
+nor do elements that are marked as hidden, inline ones too.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ INLINE = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style template noscript iframe object svg math canvas audio video select textarea title head".split())
 RAW = frozenset("script style textarea title iframe noscript xmp".split())
+#: What may stand in a head; anything else ends one that is not closed.
+HEAD_PARTS = frozenset("title base link meta style script noscript template".split())
 #: A start of the first ends an open element of the second, as HTML has it.
 CLOSES = {
     "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",),
@@ -29,9 +32,11 @@ _COMMENT_END = re.compile(r"--!?>")
 _TAG = re.compile(r"(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _ATTRIBUTE = re.compile(r"([A-Za-z_:-][A-Za-z0-9_:.-]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
-#: Attributes whose words describe an element, and the most of them that are read.
+#: Attributes whose words describe an element.
 NAMED = ("class", "id", "role", "itemprop", "aria-label")
-MAX_NAME = 200
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Marks of an open element, beside its features: what it holds is hidden; it is inline.
+_HIDES, _INSIDE = "!", "~"
 
 
 class Block(NamedTuple):
@@ -51,24 +56,34 @@ class _Page:
         self.link = False
 
     def push(self, tag: str, features: tuple[str, ...], hides: bool) -> None:
-        self.stack.append((tag, (*features, "!") if hides else features))
+        self.stack.append((tag, (*features, _HIDES) if hides else features))
         self.open[tag] = self.open.get(tag, 0) + 1
         self.hidden += hides
         for f in features:
-            self.marks[f] = self.marks.get(f, 0) + 1
+            if f != _INSIDE:
+                self.marks[f] = self.marks.get(f, 0) + 1
 
     def pop(self) -> None:
         tag, features = self.stack.pop()
         self.open[tag] -= 1
         for f in features:
-            if f == "!":
+            if f == _HIDES:
                 self.hidden -= 1
+            elif f == _INSIDE:
+                continue
             elif self.marks[f] > 1:
                 self.marks[f] -= 1
             else:
                 del self.marks[f]
 
+    def leave_head(self) -> None:
+        """Ends an open head, as text or an element that cannot stand there does."""
+        while self.open.get("head"):
+            self.pop()
+
     def say(self, raw: str) -> None:
+        if self.stack and self.stack[-1][0] == "head" and raw.strip():
+            self.leave_head()
         if self.hidden or not raw:
             return
         text = html.unescape(raw) if "&" in raw else raw
@@ -85,9 +100,14 @@ class _Page:
             self.text, self.linked = [], 0
 
     def start(self, tag: str, attributes: str) -> None:
+        if tag not in HEAD_PARTS and tag != "head" and self.open.get("head"):
+            self.leave_head()
         if tag in INLINE and not (tag == "ins" and "class" in attributes):  # adverts come in such
             if tag == "a":
                 self.link = True
+            hides = self.unseen(attributes) if "hidden" in attributes or "style" in attributes else False
+            if tag not in VOID and (hides or self.open.get(tag)):  # within a hidden one, others are counted, to know its end
+                self.push(tag, (_INSIDE,), hides)
             return
         self.end_block()
         if tag in VOID:
@@ -103,23 +123,34 @@ class _Page:
                     while len(self.stack) > depth:
                         self.pop()
                     break
-        names, hides = [f"in={tag}"], tag in HIDDEN
-        if "=" in attributes or "hidden" in attributes:
+        names = [f"in={tag}"]
+        if "=" in attributes:
             for name, value in _ATTRIBUTE.findall(attributes):
-                name = name.lower()
-                if name in NAMED:
-                    names += [f"name={p.lower()}" for p in _NAME_PART.findall(value[:MAX_NAME])]
-                elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                    hides = True
+                if name.lower() in NAMED:
+                    names += [f"name={p.lower()}" for p in _NAME_PART.findall(value)]
         self.link = False
-        self.push(tag, tuple(dict.fromkeys(names)), hides)
+        self.push(tag, tuple(dict.fromkeys(names)), tag in HIDDEN or self.unseen(attributes))
+
+    @staticmethod
+    def unseen(attributes: str) -> bool:
+        """Whether attributes say that an element is not shown."""
+        if "hidden" not in attributes.lower() and "style" not in attributes.lower():
+            return False
+        found = [(name.lower(), value) for name, value in _ATTRIBUTE.findall(attributes)]
+        return any(name == "hidden" or name == "style" and _UNSEEN.search(value) for name, value in found)
 
     def end(self, tag: str) -> None:
         if tag in INLINE and not self.open.get(tag):
             if tag == "a":
                 self.link = False
             return
-        self.end_block()
+        inside = False
+        if self.open.get(tag):
+            inside = next(features for t, features in reversed(self.stack) if t == tag)[:1] == (_INSIDE,)
+        if not inside:
+            self.end_block()
+        elif tag == "a":
+            self.link = False
         if tag not in VOID and self.open.get(tag):
             while True:
                 last = self.stack[-1][0]
@@ -187,7 +218,7 @@ def blocks(page: str) -> list[Block]:
     for i, (text, linked, marks) in enumerate(found):
         words = text.count(" ") + 1
         share = linked / len(text)
-        low = text.lower() if words < 60 else ""
+        low = text.lower()
         features = [*marks, f"words={_bucket(words)}", f"linked={'all' if share > 0.9 else 'some' if share > 0.3 else 'none'}"]
         if text[-1] in ".!?…\"”":
             features.append("ends")

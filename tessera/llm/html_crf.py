@@ -10,13 +10,16 @@ and what surrounds it, with blocks whose labels are known as they are written. T
 number is ``TRAINING_PAGES``; nothing is fitted to the table that is read.
 
 Defined cases: a null or empty page has the empty text; broken markup is read as far as
-it goes; repeated rows are each extracted; an empty table gives an empty result.
+it goes; a very long page is one row and is read once, with a state for each block;
+repeated rows are each extracted; columns other than page_id, url and the page are not read,
+so none can clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -249,7 +252,9 @@ def train(pages: list[list[tuple[Block, int]]], steps: int = STEPS, penalty: flo
     return Crf(names, *w)
 
 
+@lru_cache(maxsize=2)
 def default_model(pages: int = TRAINING_PAGES, seed: int = SEED) -> Crf:
+    """The model of composed pages, fitted once in a process."""
     rng = random.Random(seed)
     return train([training_page(rng) for _ in range(pages)])
 
