@@ -12,8 +12,12 @@ response before a piece comes from a table with a row for each URL and piece.
 
 Defined cases: "earlier" means a smaller time; of responses at the same time the one with
 the larger record id counts; a null URL matches nothing; repeated records are resolved
-one by one; a null time comes before all others and has nothing earlier; an empty table
-gives an empty result.
+one by one; a null time comes before all others and has nothing earlier. Only records of type
+``revisit`` are resolved; one whose status is known and not 304 is not, and says
+``status``. Only records of type ``response`` whose status is unknown or 200 are resolved
+to. Records of other types (request, metadata, warcinfo, null) give no row. Other columns
+are not read, so none can clash; headers and URLs may be long, content is not carried; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -50,10 +54,13 @@ def _opaque(etag: Column) -> Column:
 def resolve(records: DataFrame) -> DataFrame:
     """A row for each revisit: what it resolves to, how, and the merged headers.
 
-    ``records`` has record_id, url, ts, type (response or revisit) and headers, a map from
-    lower-case names.
+    ``records`` has record_id, url, ts, type, status and headers, a map from lower-case names.
     """
-    keyed = records.select("record_id", canonical(F.col("url")).alias("key"), "ts", (F.col("type") == "response").alias("full"), "headers")
+    status, full = F.col("status"), F.col("type") == "response"
+    fits = F.coalesce(F.when(full, status == 200).otherwise(status == 304), F.lit(True))
+    known = records.filter(F.col("type").isin("response", "revisit"))
+    odd = known.filter(~full & ~fits).select("record_id", canonical(F.col("url")).alias("key"), "ts")
+    keyed = known.filter(fits).select("record_id", canonical(F.col("url")).alias("key"), "ts", full.alias("full"), "headers")
     rows = keyed.count()
     pieces = max(LEAST_PIECES, rows // PIECE_ROWS + 1)
     cuts = sorted(set(keyed.approxQuantile("ts", [i / pieces for i in range(1, pieces)], 0.01))) if rows else []
@@ -81,10 +88,11 @@ def resolve(records: DataFrame) -> DataFrame:
     )
     update = F.map_filter(own, lambda k, v: k.isin(*PERMITTED) & v.isNotNull())
     merged = F.map_concat(F.map_filter(base, lambda k, v: ~F.array_contains(F.map_keys(update), k)), update)
-    unseen = keyed.filter(F.col("key").isNull() & ~F.col("full"))
+    unseen = keyed.filter(F.col("key").isNull() & ~F.col("full")).select("record_id", "key", "ts", F.lit("none").alias("how"))
+    unseen = unseen.union(odd.withColumn("how", F.lit("status")))
     met = met.select("record_id", "key", "ts", how.alias("how"), F.col("found.record_id").alias("response_id"), merged.alias("headers"))
-    met = met.unionByName(unseen.select("record_id", "key", "ts", F.lit("none").alias("how"), F.lit(None).cast("long").alias("response_id"), F.lit(None).cast("map<string,string>").alias("headers")))
-    good = ~F.col("how").isin("none", "mismatch")
+    met = met.unionByName(unseen.select("record_id", "key", "ts", "how", F.lit(None).cast("long").alias("response_id"), F.lit(None).cast("map<string,string>").alias("headers")))
+    good = ~F.col("how").isin("none", "mismatch", "status")
     return met.withColumn("response_id", F.when(good, F.col("response_id"))).withColumn("headers", F.when(good, F.col("headers")))
 
 
@@ -114,7 +122,8 @@ def captures(pages: DataFrame) -> DataFrame:
         F.struct((p * 3 + 2).alias("record_id"), late.alias("ts"), F.lit("revisit").alias("type"),
                  headers(cache_control=F.lit("max-age=600"), content_length=F.lit("0"), date=text(late), etag=F.concat(F.lit("W/"), F.col("tag"))).alias("headers")),
     )
-    return small.select("url", F.explode(kinds).alias("x")).select("x.record_id", "url", "x.ts", "x.type", "x.headers")
+    status = F.when(F.col("x.type") == "response", 200).otherwise(304)
+    return small.select("url", F.explode(kinds).alias("x")).select("x.record_id", "url", "x.ts", "x.type", status.alias("status"), "x.headers")
 
 
 def digest(resolved: DataFrame) -> DataFrame:
