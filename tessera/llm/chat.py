@@ -12,7 +12,9 @@ is the running sum of +1 where an assistant's text begins and -1 where it ends.
 
 Defined cases: null text is empty and a null role is the empty role; turns are ordered by
 turn, then role and text, nulls first; repeated rows stay repeated turns; conversations
-with no rows don't occur; an empty table gives an empty result.
+with no rows don't occur; a conversation, however long, is one row, for its ids and mask
+are; columns other than conv_id, turn, role and text are not read, so none can clash; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations

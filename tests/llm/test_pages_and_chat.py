@@ -61,8 +61,46 @@ def test_layouts(model, page):
     assert html_crf.main_text(page, model) == TEXT
 
 
+PARAGRAPHS = "<p>The river was low that summer, and the boats lay on the sand.</p><p>Nobody came to look at them until the rain.</p>"
+PLAIN = "The river was low that summer, and the boats lay on the sand. Nobody came to look at them until the rain."
+LONG_NAME = "u-" + "-".join(f"x{i}" for i in range(80))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>t</title><body><article>{PARAGRAPHS}</article>",
+        f"<html><head><meta charset=utf-8><link rel=x href=y><p>{PARAGRAPHS[3:]}",
+        f"<!doctype html><title>t</title><nav><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul></nav><main>{PARAGRAPHS}</main><footer><p>Contact us at any time.</p></footer>",
+        f"<body><article>{PARAGRAPHS.replace('low', '<span hidden>not</span>low')}</article></body>",
+        f"<body><article>{PARAGRAPHS.replace('low', '<span style=' + chr(34) + 'display:none' + chr(34) + '>a <span>b</span> c</span>low')}</article></body>",
+        f"<body><article>{PARAGRAPHS}</article><div class='{LONG_NAME} comments'><p>I liked it a lot, thanks for writing.</p></div></body>",
+        f"<body><table><tr><td class=menu><a href=/>Start</a> <a href=/n>News</a></td><td><div id=content>{PARAGRAPHS}</div></td></tr></table></body>",
+        f"<body><div id=header><h1>The Paper</h1></div><div class=post-content>{PARAGRAPHS}</div><div id=footer>Copyright 2020 The Paper</div></body>",
+        f"<body><div class=cookie-notice><p>We use cookies to improve this site.</p><button>Accept</button></div><main><article>{PARAGRAPHS}</article></main></body>",
+        f"<body><article>{PARAGRAPHS}<div class=newsletter><form><label>Mail</label><input><button>Join</button></form></div></article><aside><h4>Popular</h4><p>Ten things to see.</p></aside></body>",
+        f"<body><header><nav><a href=/>Home</a></nav></header><article>{PARAGRAPHS}<noscript>Turn scripts on.</noscript><template><p>No.</p></template></article><section class=comment-list><div class=comment>First!</div></section></body>",
+        f"<body><ul class=breadcrumbs><li><a href=/>Home</a></li><li>Here</li></ul><div class=entry-content>{PARAGRAPHS}</div><div class=sidebar><div class=widget><h3>Links</h3><ul><li><a href=x>One</a></ul></div></div></body>",
+    ],
+)
+def test_written_pages(model, page):
+    """Layouts written by hand, none by what composes the training pages."""
+    assert html_crf.main_text(page, model) == PLAIN
+
+
+def test_telling_words_of_long_blocks_are_features():
+    long = "word " * 80 + "we use cookies here"
+    assert "said=cookie" in html_blocks.blocks(f"<p>{long}</p>")[0].features
+    assert "name=comments" in html_blocks.blocks(f"<div class='{'a' * 5000} comments'>x</div>")[0].features
+
+
+def test_long_valid_page(model):
+    page = "<body><nav><a href=/>Home</a></nav><article>" + "<p>A sentence of some words that go on for a while.</p>" * 20_000 + "</article></body>"
+    assert html_crf.main_text(page, model).count("sentence") == 20_000
+
+
 def test_broken_markup_ends(model):
-    for page in ("<", "<p", "<p>a<", "a < b", "<!-- x", "<script>x", "</div></p>x", "<a href='x>y", "&#xZ; &amp", "<" * 20_000, "<p>" * 20_000, "<div>" * 20_000 + "x", "<b a=\"" * 5000):
+    for page in ("<", "<p", "<p>a<", "a < b", "<!-- x", "<script>x", "</div></p>x", "<a href='x>y", "&#xZ; &amp", "<" * 20_000, "<p>" * 20_000, "<div>" * 20_000 + "x", "<b a=\"" * 5000, "<span hidden>" * 5000 + "x", "<head>" * 3 + "x</head>", "</span hidden>y"):
         html_crf.main_text(page, model)
     assert html_crf.main_text(None, model) == html_crf.main_text("", model) == ""
 
@@ -100,11 +138,22 @@ def test_revisits_as_sql(spark, sf):
     same_as_sql(spark, sf.replace("0.001", "0.01"), QUERIES["op5_warc_revisits"], ORACLE_SQL["op5_warc_revisits"])
 
 
-RECORDS = "record_id long, url string, ts long, type string, headers map<string,string>, key string, how int"
+RECORDS = "record_id long, url string, ts long, type string, headers map<string,string>, status int, key string, how int"
 
 
 def records(spark, rows):
-    return spark.createDataFrame([(*r, "x", 1) for r in rows], RECORDS)
+    """Rows of record_id, url, ts, type, headers and maybe a status."""
+    return spark.createDataFrame([(*r[:5], r[5] if len(r) > 5 else None, "x", 1) for r in rows], RECORDS)
+
+
+def test_only_not_modified_revisits_are_resolved(spark):
+    tag = {"etag": '"a"'}
+    rows = [
+        (1, "http://a.com/x", 1, "response", tag, 200), (2, "http://a.com/x", 2, "response", tag, 404), (3, "http://a.com/x", 3, "metadata", tag), (4, "http://a.com/x", 4, None, tag),
+        (5, "http://a.com/x", 5, "revisit", tag, 304), (6, "http://a.com/x", 6, "revisit", tag), (7, "http://a.com/x", 7, "revisit", tag, 200), (8, "http://a.com/x", 8, "request", tag),
+    ]
+    got = {r.record_id: (r.how, r.response_id) for r in warc.resolve(records(spark, rows)).collect()}
+    assert got == {5: ("etag", 1), 6: ("etag", 1), 7: ("status", None)}
 
 
 def test_revisits_against_brute_force(spark, monkeypatch):
