@@ -45,9 +45,3 @@ def differences(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
 
 def first_differences(left: DataFrame, right: DataFrame, keys: list[str], n: int = 10) -> DataFrame:
     return differences(left, right, keys).orderBy(*keys).limit(n)
-
-
-def sizes(encoded: DataFrame, raw: str, coded: str) -> DataFrame:
-    """Bytes before and after by img, and their ratio."""
-    both = encoded.groupBy("img").agg(F.sum(raw).cast("long").alias("raw_bytes"), F.sum(coded).cast("long").alias("coded_bytes"))
-    return both.withColumn("ratio", F.round(F.col("raw_bytes") / F.col("coded_bytes"), 6))

@@ -6,13 +6,17 @@ first; ``functions.serial.frame_words`` turns them into the stored words.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bits import ESCAPE, col, let, num_bits, num_bits_plain, shifted_right
+from .scans import carried_sum
 
 KS = 8
 GROUP = 4
+#: Blocks of a part of a stored table of k, and block numbers or rows of big blocks that are summed in one piece.
+PART = 65_536
+PIECE = 2048
 
 
 def cost(syms, k, width=num_bits) -> Column:
@@ -39,10 +43,14 @@ def escapes(syms, k) -> Column:
 
 
 def k_table(best: DataFrame, order: str = "blocki") -> DataFrame:
-    """img and ks: the k of each block as bytes in order, then one zero byte."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(order, "k"))), lambda x: x["k"])
-    bytes_ = F.transform(F.concat(listed, F.array(F.lit(0))), lambda k: F.lpad(F.hex(k.cast("long")), 2, "0"))
-    return best.groupBy("img").agg(F.unhex(F.array_join(bytes_, "")).alias("ks"))
+    """img, part and ks: the k of each block as bytes in order, in parts of ``PART``, then one zero byte in the last part.
+
+    The parts in order are the table as stored; none is larger, whatever the plane's size.
+    """
+    ends = best.groupBy("img").agg((F.max(order) + 1).alias(order)).select("img", order, F.lit(0).cast("long").alias("k"))
+    rows = best.select("img", F.col(order).cast("long").alias(order), F.col("k").cast("long").alias("k")).union(ends)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(order, "k"))), lambda x: F.lpad(F.hex(x["k"]), 2, "0"))
+    return rows.groupBy("img", F.floor(F.col(order) / PART).alias("part")).agg(F.unhex(F.array_join(listed, "")).alias("ks"))
 
 
 def _low_bits(n: Column, width: Column) -> Column:
@@ -135,16 +143,14 @@ def remainders(syms, k) -> Column:
 
 def expand_runs(runs: DataFrame) -> DataFrame:
     """Runs (img, run, count, n) as blocks: img, blocki in the order of runs, and n, its symbols."""
-    before = Window.partitionBy("img").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    placed = runs.withColumn("_from", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    blocks = placed.filter("count > 0").select("img", "n", "_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count").cast("long") - 1)).alias("_i"))
-    return blocks.select("img", (F.col("_from") + F.col("_i")).alias("blocki"), "n")
+    placed = carried_sum(runs, "count", ["run"], "_at", PIECE)
+    blocks = placed.filter("count > 0").select("img", "n", "_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count").cast("long") - 1)).alias("_i"))
+    return blocks.select("img", (F.col("_at") + F.col("_i")).alias("blocki"), "n")
 
 
 def offsets_of(rows: DataFrame, width: str, keys: list[str], out: str = "bit_offset") -> DataFrame:
     """``rows`` with the sum of a width over the rows before, by img in the order of keys."""
-    before = Window.partitionBy("img").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn(out, F.coalesce(F.sum(width).over(before), F.lit(0)).cast("long"))
+    return carried_sum(rows, width, keys, out, PIECE)
 
 
 def suffix_starts(best: DataFrame, d: int = 8) -> DataFrame:

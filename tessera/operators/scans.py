@@ -28,6 +28,32 @@ def _cut(seq: DataFrame) -> DataFrame:
     return seq.withColumn("_piece", F.floor(F.col("i") / PIECE))
 
 
+def numbered(rows: DataFrame, key: str, order: str, out: str) -> DataFrame:
+    """``rows`` with their place from 0 among those of a key, in the order of whole numbers that differ within it.
+
+    A piece takes ``PIECE`` consecutive numbers, so it has no more rows.
+    """
+    cut = rows.withColumn("_piece", F.floor(F.col(order) / PIECE))
+    counted = cut.groupBy(key, "_piece").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    carried = counted.select(key, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
+    inside = F.row_number().over(Window.partitionBy(key, "_piece").orderBy(order))
+    return cut.join(carried, [key, "_piece"]).withColumn(out, F.col("_from") + inside - 1).drop("_piece", "_from")
+
+
+def carried_sum(rows: DataFrame, value: str, keys: list[str], out: str, numbers: int) -> DataFrame:
+    """``rows`` with the sum of a value over the rows before, by img in the order of ``keys``.
+
+    A piece takes ``numbers`` consecutive values of the first key, a whole number.
+    """
+    cut = rows.withColumn("_piece", F.floor(F.col(keys[0]) / numbers))
+    totals = cut.groupBy("img", "_piece").agg(F.sum(value).alias("_t"))
+    carried = totals.select("img", "_piece", F.coalesce(F.sum("_t").over(_pieces().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_from"))
+    inside = Window.partitionBy("img", "_piece").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    met = cut.join(carried, ["img", "_piece"])
+    return met.withColumn(out, (F.col("_from") + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("long")).drop("_piece", "_from")
+
+
 def running(seq: DataFrame, value: Column, out: str) -> DataFrame:
     """``seq`` with the sum of ``value`` up to and with each place."""
     cut = _cut(seq).withColumn("_v", value)

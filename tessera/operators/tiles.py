@@ -30,7 +30,10 @@ def block_keys(plane: DataFrame, d: int) -> DataFrame:
 
 
 def tiles(plane: DataFrame, d: int = BIG, empty: int = 0) -> DataFrame:
-    """img, by, bx, cells: what no cell covers holds ``empty``."""
+    """img, by, bx, cells: what no cell covers holds ``empty``.
+
+    A plane is a function of its places: a place given twice is an error when rows are read.
+    """
     cells = F.map_from_entries(F.collect_list(F.struct("o", "v")))
     grouped = block_keys(plane, d).groupBy("img", "by", "bx").agg(cells.alias("m"))
     every = F.sequence(F.lit(0), F.lit(d * d - 1))
@@ -47,6 +50,13 @@ def crop(plane: DataFrame, width, height) -> DataFrame:
     return plane.filter((F.col("x") < col(width)) & (F.col("y") < col(height)))
 
 
+def unpacked(plane: DataFrame, width, height) -> DataFrame:
+    """Packed pixels (img, y, x, word) as cells, four of a word from its lowest byte on, cropped."""
+    bytes_ = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.call_function("shiftright", F.col("word"), (j * 8).cast("int")).bitwiseAND(255).cast("int"))
+    rows = plane.filter(F.col("x") * 4 < col(width)).select("*", F.posexplode(bytes_).alias("_j", "v"))
+    return crop(rows.withColumn("x", (F.col("x") * 4 + F.col("_j")).cast("long")), width, height).select("img", "y", "x", "v")
+
+
 def drop_missing(df: DataFrame, column: str = "v", missing: int = 0xFFFFFFFF) -> DataFrame:
     """Without the rows that hold the padding value."""
     return df.filter(F.col(column) != missing)

@@ -185,8 +185,8 @@ def signed_byte_undelta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rising(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's event ids in order, which rise."""
-    order = scans.Window.partitionBy("user_id").orderBy("event_id")
-    return relations.table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("img"), (F.row_number().over(order) - 1).cast("long").alias("i"), F.col("event_id").cast("long").alias("v"))
+    events = relations.table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("img"), F.col("event_id").cast("long").alias("v"))
+    return scans.numbered(events, "img", "v", "i").select("img", "i", "v")
 
 
 @query("""with e as (select user_id as img, row_number() over w - 1 as i, event_id as v, lag(event_id) over w as p from events window w as (partition by user_id order by event_id))
@@ -333,11 +333,12 @@ def k_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.groupBy(F.col("k").cast("long").alias("k")).agg(F.count("*").alias("blocks"), F.countDistinct("img").alias("imgs"))
 
 
-@query(f"with {BESTK} select img, string_agg(lpad(hex(k), 2, '0'), '' order by b, s) || '00' as ks from bk group by 1")
+@query(f"""with {BESTK}, m as (select img, b * 16 + s as blocki, k from bk union all select img, max(b * 16 + s) + 1, 0 from bk group by 1)
+select img, blocki // 65536 as part, string_agg(lpad(hex(k), 2, '0'), '' order by blocki) as ks from m group by all""")
 def k_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """k tables as stored, a zero byte last."""
+    """k tables as stored, in parts, a zero byte last."""
     best = _best(_events_tiles(spark, sf_dir)).withColumn("blocki", F.col("by") * 16 + F.col("s"))
-    return rice.k_table(best).select("img", F.hex("ks").alias("ks"))
+    return rice.k_table(best).select("img", "part", F.hex("ks").alias("ks"))
 
 
 @query(f"""with {BESTK}, m as (select *, b * 16 + s as blocki from bk), t as (select img, max(blocki) as last from m group by 1)
@@ -456,25 +457,81 @@ def prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.decode_prefixes(bits_, 64).select("img", text("counts").alias("counts"))
 
 
-@query(f"""with {PX}, h as (select img, (max(i) // 32 + 1) * 32 as cells from px group by 1), f as (select img, unnest(range(cells)) as i from h)
-select f.img, string_agg(lpad(hex(coalesce(v, 0)), 2, '0'), '' order by f.i) as data from f left join px on px.img = f.img and px.i = f.i group by 1""")
+#: Cells of a band of a user's plane, which is one row of compact images: 32 rows of big blocks.
+BAND = 32 * 1024
+BANDS = f"""bp as (select img, i // {BAND} as band, i % {BAND} as i, v from px),
+h as (select img, band, (max(i) // 32 + 1) * 32 as cells from bp group by 1, 2), f as (select img, band, unnest(range(cells)) as i from h),
+fp as (select f.img, f.band, f.i, coalesce(v, 0) as v from f left join bp using (img, band, i))"""
+
+
+@query(f"with {PX}, {BANDS} select img, band, string_agg(lpad(hex(v), 2, '0'), '' order by i) as data from fp group by 1, 2")
 def rice_decode_undelta_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images encoded to stored words and decoded from their offsets."""
-    return codec.decode(codec.encode(_event_images(spark, sf_dir))).select("img", F.hex("data").alias("data"))
+    return _by_band(codec.decode(codec.encode(_event_images(spark, sf_dir))), F.hex("data").alias("data"))
 
 
 def _event_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' planes cut into bands of at most BAND cells; img is user and band in one number."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"])
-    rows = relations.px_events(spark, sf_dir).groupBy("img").agg(serial.to_bytes(listed).alias("data"))
+    band = F.floor(F.col("i") / BAND)
+    rows = relations.px_events(spark, sf_dir).groupBy((F.shiftleft("img", 24) + band).alias("img")).agg(serial.to_bytes(listed).alias("data"))
     return codec.images(rows)
 
 
+def _by_band(df: DataFrame, *columns: Column | str) -> DataFrame:
+    return df.select(F.shiftright("img", 24).alias("img"), F.col("img").bitwiseAND((1 << 24) - 1).alias("band"), *columns)
+
+
+HALVES = f"""h as (select img, b // 32 as band, b % 32 as b, s, so // 32 as half, k, sum({COST}) as bits from sb join bk using (img, b, s) group by all),
+o as (select *, coalesce(sum(bits) over (partition by img, band order by b, s, half rows between unbounded preceding and 1 preceding), 0) as start from h)"""
+
+
+@query(f"""with {BESTK}, {HALVES}
+select img, band, cast(sum(bits) as bigint) as n_bits, string_agg(cast(start as varchar), ',' order by b, s, half) as offsets from o group by 1, 2""")
+def codec_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The compact encoder's offsets are those of the relational plan."""
+    return _by_band(codec.encode(_event_images(spark, sf_dir)), "n_bits", text("offsets").alias("offsets"))
+
+
+@query(f"""with {BESTK},
+cd as (select img, b // 32 as band, b % 32 as b, s, so, case when (v >> k) >= 16 then repeat('0', 16) || left(lpad(bin(v), 8, '0'), cast(8 - k as int)) else repeat('0', cast(v >> k as int)) || '1' end as p,
+  case when k > 0 then right(lpad(bin(v), 8, '0'), cast(k as int)) else '' end as q from sb join bk using (img, b, s)),
+gr as (select img, band, b, s, so // 4 as g, string_agg(p, '' order by so) || string_agg(q, '' order by so) as part from cd group by all),
+st as (select img, band, string_agg(part, '' order by b, s, g) as bits from gr group by 1, 2),
+n as (select *, ((length(bits) + 7) // 8 + 4 + 3) // 4 + 1 as words from st),
+w as (select img, band, u, rpad(substr(bits, cast(32 * u + 1 as int), 32), 32, '0') as word from (select img, band, bits, unnest(range(words)) as u from n)),
+y as (select img, band, u, j, lpad(to_base(cast(list_sum(list_transform(range(8), lambda t: cast(substr(word, cast(8 * j + t + 1 as int), 1) as bigint) << (7 - t))) as bigint), 16), 2, '0') as h
+  from (select img, band, u, word, unnest(range(4)) as j from w))
+select img, band, upper(string_agg(h, '' order by u, 3 - j)) as words from y group by 1, 2""")
+def codec_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored words of the whole codec."""
+    return _by_band(codec.encode(_event_images(spark, sf_dir)), F.hex("words").alias("words"))
+
+
 @query(f"""with {BESTK}, h as (select img, b, s, so // 32 as half, sum({COST}) as bits from sb join bk using (img, b, s) group by all),
 o as (select *, coalesce(sum(bits) over (partition by img order by b, s, half rows between unbounded preceding and 1 preceding), 0) as start from h)
-select img, cast(sum(bits) as bigint) as n_bits, string_agg(cast(start as varchar), ',' order by b, s, half) as offsets from o group by 1""")
-def codec_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The compact encoder's offsets are those of the relational plan."""
-    return codec.encode(_event_images(spark, sf_dir)).select("img", "n_bits", text("offsets").alias("offsets"))
+select px.img, i // 32 as y, i % 32 as x, b * 16 + s as blocki, cast(start as bigint) as bit_offset
+from px join o on o.img = px.img and o.b = i // 1024 and o.s = ((i // 32) % 32 // 8) * 4 + (i % 32) // 8 and o.half = (i // 32) % 8 // 4""")
+def pixel_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each pixel the block that it is decoded in, and where that half block's bits begin."""
+    sized = tiles.halves(_best(_events_tiles(spark, sf_dir))).select("img", "by", "s", "half", rice.cost("syms", "k").cast("long").alias("bits"))
+    offsets = rice.offsets_of(sized, "bits", ["by", "s", "half"]).select("img", "by", "s", "half", "bit_offset")
+    plane = tiles.grid(relations.px_events(spark, sf_dir))
+    s = F.floor(F.col("y") % 32 / 8) * 4 + F.floor(F.col("x") / 8)
+    keyed = plane.select("img", "y", "x", F.floor(F.col("y") / 32).alias("by"), s.cast("int").alias("s"), F.floor(F.col("y") % 8 / 4).cast("int").alias("half"))
+    met = keyed.join(offsets, ["img", "by", "s", "half"])
+    return met.select("img", "y", "x", (F.col("by") * 16 + F.col("s")).cast("long").alias("blocki"), "bit_offset")
+
+
+@query(f"""with {PX}, m as (select img, max(i // 32) as rows from px group by 1)
+select img, i // 32 as y, i % 32 as x, v from px join m using (img) where i // 32 < rows and i % 32 < 30""")
+def unpack_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four cells in a word, taken apart and cropped."""
+    plane = tiles.grid(relations.px_events(spark, sf_dir))
+    byte = F.call_function("shiftleft", F.col("v").cast("long"), ((F.col("x") % 4) * 8).cast("int"))
+    words = plane.withColumn("b", byte).groupBy("img", "y", F.floor(F.col("x") / 4).alias("x")).agg(F.sum("b").alias("word"))
+    rows = plane.groupBy("img").agg(F.max("y").alias("rows"))
+    return tiles.unpacked(words.join(rows, "img"), 30, F.col("rows")).withColumn("v", F.col("v").cast("long"))
 
 
 @query("select doc_id as img, hex(encode(coalesce(text, ''))) || repeat('00', cast((32 - strlen(coalesce(text, '')) % 32) % 32 as int)) as data from documents where strlen(coalesce(text, '')) > 0")
@@ -618,27 +675,58 @@ def bit_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- several streams
 
-@query(f"with {EMBED} select img // 4 as img, img % 4 as stream, string_agg(cast(v as varchar), ',' order by o) as syms from sy group by all")
-def mux_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four vectors at a time as streams in one, and apart again."""
-    return _muxed(spark, sf_dir, 1)
+STREAMS = f"with {EMBED} select img // 4 as img, img % 4 as stream, string_agg(cast(v as varchar), ',' order by o) as syms from sy group by all"
 
 
 def _muxed(spark: SparkSession, sf_dir: str, unit: int) -> DataFrame:
+    """Four vectors at a time as streams in one."""
     rows = _coded(spark, sf_dir).select(
         F.floor(F.col("img") / 4).cast("long").alias("img"), (F.col("img") % 4).cast("int").alias("stream"), F.array("k").alias("ks"), rice.interleaved_bits("syms", "k").alias("bits")
     )
     packed = serial.swap_words(serial.frame_words("bits"))  # bytes in order
-    streams = rows.select("img", "stream", "ks", packed.alias("data"))
-    kss = F.transform(F.array_sort(F.collect_list(F.struct("stream", "ks"))), lambda x: x["ks"])
-    muxed = mux.multiplexed(streams, 64, 64, unit).join(streams.groupBy("img").agg(kss.alias("kss")), "img")
+    return mux.multiplexed(rows.select("img", "stream", "ks", packed.alias("data")), 64, 64, unit)
+
+
+def _apart(muxed: DataFrame, unit: int) -> DataFrame:
     return mux.demultiplexed(muxed, 64, 64, unit).select("img", F.col("stream").cast("long").alias("stream"), text("syms").alias("syms"))
 
 
-@query(f"with {EMBED} select img // 4 as img, img % 4 as stream, string_agg(cast(v as varchar), ',' order by o) as syms from sy group by all")
+@query(STREAMS)
+def mux_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams in one, and apart again."""
+    return _apart(_muxed(spark, sf_dir, 1), 1)
+
+
+@query(STREAMS)
 def mux64_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with words of eight bytes."""
-    return _muxed(spark, sf_dir, 8)
+    return _apart(_muxed(spark, sf_dir, 8), 8)
+
+
+# a decoder that has used c bits has read all units up to the one with bit c + 24, the first time that it asks there
+MUXED = f"""with {{coded}},
+wd as (select img // 4 as g, img % 4 as st, img, o, case when esc then 16 else (v >> k) + 1 end as a, case when esc then 8 else k end as z,
+  case when esc then repeat('0', 16) || lpad(bin(v), 8, '0') else p || q end as code from cd),
+ev as (select g, st, img, o, code, sum(a + z) over w - a - z as c0, sum(a + z) over w - z as c1 from wd window w as (partition by img order by o)),
+st as (select img, string_agg(code, '' order by o) || repeat('0', 320) as bits from ev group by 1),
+rd as (select g, st, img, o, e, (c + 24) // {{n}} + 1 as r from (select g, st, img, o, unnest([0, 1]) as e, unnest([c0, c1]) as c from ev)),
+nw as (select *, coalesce(lag(r) over (partition by img order by o, e), 0) as before from rd),
+un as (select g, o, st, e, img, unnest(range(cast(before as bigint), cast(r as bigint))) as u from nw),
+hx as (select g, o, st, e, u, array_to_string(list_transform(range({{n}} // 8), lambda j: lpad(to_base(cast(list_sum(list_transform(range(8), lambda t: cast(substr(bits, cast(u * {{n}} + 8 * j + t + 1 as int), 1) as bigint) << (7 - t))) as bigint), 16), 2, '0')), '') as h
+  from un join st using (img))
+select g as img, upper(string_agg(h, '' order by o, st, e, u)) as mux from hx group by 1"""
+
+
+@query(MUXED.format(coded=CODED, n=8))
+def mux_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of the stream in which four are multiplexed."""
+    return _muxed(spark, sf_dir, 1).select("img", F.hex("mux").alias("mux"))
+
+
+@query(MUXED.format(coded=CODED, n=64))
+def mux64_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by words of eight bytes, the first bit highest."""
+    return _muxed(spark, sf_dir, 8).select("img", F.hex("mux").alias("mux"))
 
 
 @query(f"""with {PX}, r as (select img, i, 1 + v % 3 as count, 16 * (1 + v % 4) as n from px),
@@ -665,32 +753,60 @@ def generated_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query(f"""with {BESTK}, h as (select img, b, s, so // 32 as half, sum({COST}) as bits from sb join bk using (img, b, s) group by all),
-o as (select *, coalesce(sum(bits) over (partition by img order by b, s, half rows between unbounded preceding and 1 preceding), 0) as start from h)
-select img, b * 16 + s as blocki, k, half, cast(start as bigint) as bit_offset from o join bk using (img, b, s)""")
+@query(f"with {BESTK}, {HALVES} select img, band, b * 16 + s as blocki, k, half, cast(start as bigint) as bit_offset from o")
 def codec_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored tables of k and offsets joined by block."""
     k, offsets, _ = codec.relations(codec.encode(_event_images(spark, sf_dir)))
     halves = offsets.select("img", F.floor(F.col("half") / 2).cast("int").alias("blocki"), (F.col("half") % 2).cast("long").alias("half"), "bit_offset")
-    return halves.join(k, ["img", "blocki"]).select("img", F.col("blocki").cast("long").alias("blocki"), F.col("k").cast("long").alias("k"), "half", "bit_offset")
+    met = halves.join(k, ["img", "blocki"])
+    return _by_band(met, F.col("blocki").cast("long").alias("blocki"), F.col("k").cast("long").alias("k"), "half", "bit_offset")
+
+
+KINDS = ("png", "bmp", "tiff", "tga")
 
-@query(f"""with {PX}, h as (select img, (max(i) // 32 + 1) * 32 as cells from px group by 1), f as (select img, unnest(range(cells)) as i from h),
-d as (select f.img, f.i, coalesce(v, 0) as v from f left join px on px.img = f.img and px.i = f.i)
-select img, 32 as width, count(*) // 32 as height, string_agg(repeat(lpad(hex(v), 2, '0'), 3) || 'FF', '' order by i) as png, string_agg(repeat(lpad(hex(v), 2, '0'), 3) || 'FF', '' order by i) as bmp from d group by 1""")
+
+@query(f"""with {PX}, {BANDS}, d as (select img, band, count(*) // 32 as height, string_agg(repeat(lpad(hex(v), 2, '0'), 3) || case when v = 7 then 'FE' else 'FF' end, '' order by i) as bgra, max(case when v = 7 then 32 else 24 end) as bits from fp group by 1, 2)
+select img, band, kind, 32 as width, height, bits, bgra from d cross join (select unnest({list(KINDS)}) as kind)""")
 def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gray planes as PNG and BMP files, and read again."""
-    rows = _event_images(spark, sf_dir)
-    pixel = serial.to_bytes(F.flatten(F.transform(serial.from_bytes("data"), lambda v: F.array(v, v, v, F.lit(255)))))
-    rows = rows.select("img", "width", "height", pixel.alias("bgra"))
+    """Gray planes as image files of each kind, and read again; some pixels aren't opaque."""
+    pixel = serial.to_bytes(F.flatten(F.transform(serial.from_bytes("data"), lambda v: F.array(v, v, v, F.when(v == 7, 254).otherwise(255)))))
+    rows = _event_images(spark, sf_dir).select("img", "width", "height", pixel.alias("bgra"))
     out = None
-    for kind in ("png", "bmp"):
+    for kind in KINDS:
         files = images.encode_images(rows, kind).select("img", F.col("file").alias("content"))
 
         def some(frames):
             for f in frames:
-                yield pd.DataFrame([(i, *images.decode_file(c)) for i, c in zip(f["img"], f["content"])], columns=["img", "width", "height", "bgra"])
+                yield pd.DataFrame([(i, *images.decoded(c)[:4]) for i, c in zip(f["img"], f["content"])], columns=["img", "width", "height", "bgra", "bits"])
+
+        back = files.mapInPandas(some, "img long, width int, height int, bgra binary, bits int")
+        one = _by_band(back, F.lit(kind).alias("kind"), F.col("width").cast("long"), F.col("height").cast("long"), F.col("bits").cast("long"), F.hex("bgra").alias("bgra"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+GRIDS = {name: values for name, values in generators.LITERALS.items() if name.startswith("grid")}
+
+
+@query("with g(config, w, cells) as (values " + ", ".join(f"('{name}', {width}, {cells})" for name, (width, cells) in GRIDS.items()) + """),
+c as (select config, w, cells, unnest(range(len(cells))) as i from g) select config, i // w as y, i % w as x, cast(cells[i + 1] as bigint) as v from c""")
+def literal_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small planes given cell by cell."""
+    out = None
+    for name in GRIDS:
+        one = generators.frame(spark, name).select(F.lit(name).alias("config"), "y", "x", F.col("v").cast("long").alias("v"))
+        out = one if out is None else out.union(one)
+    return out
+
 
-        back = files.mapInPandas(some, "img long, width int, height int, bgra binary")
-        one = back.select("img", F.col("width").cast("long"), F.col("height").cast("long"), F.hex("bgra").alias(kind))
-        out = one if out is None else out.join(one, ["img", "width", "height"])
+@query("""with s as (select unnest(['8x8_ident_2048', '8x8_ident_4096']) as config, unnest([2048, 4096]) as w, unnest([1536, 4096]) as h),
+c as (select config, w, unnest(range(w * h)) as i from s)
+select config, i // w as y, count(*) as n, cast(sum(i % 256) as bigint) as total, cast(sum(i % 256 * (i % w + 1)) as bigint) as weighted from c group by 1, 2""")
+def large_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest named planes, by row."""
+    out = None
+    for config in ("8x8_ident_2048", "8x8_ident_4096"):
+        v, x = F.col("v").cast("long"), F.col("x") + 1
+        one = generators.frame(spark, config).groupBy(F.lit(config).alias("config"), "y").agg(F.count("*").alias("n"), F.sum(v).alias("total"), F.sum(v * x).alias("weighted"))
+        out = one if out is None else out.union(one)
     return out

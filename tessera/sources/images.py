@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-PIXELS = "path string, width int, height int, bgra binary"
+PIXELS = "path string, width int, height int, bgra binary, bits int, reason string"
 
 
 def _chunk(name: bytes, body: bytes) -> bytes:
@@ -33,6 +33,32 @@ def to_png(bgra: bytes, width: int, height: int) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes())) + _chunk(b"IEND", b"")
 
 
+def _unfiltered(lines: np.ndarray, width: int, step: int) -> np.ndarray:
+    """Rows without their filters.
+
+    A pixel needs those to its left, above and above left. Where rows name the filters that
+    need both sides, all pixels with the same sum of row and column are ready together, so
+    there is one step for each such sum; else a row is ready at once.
+    """
+    how, raw = lines[:, 0].astype(np.int32), lines[:, 1:].reshape(len(lines), width, step).astype(np.int32)
+    height = len(lines)
+    out = np.zeros((height + 1, width + 1, step), np.int32)  # a row above and a column before are zero
+    if (how > 2).any():
+        for at in range(height + width - 1):
+            y = np.arange(max(0, at - width + 1), min(height, at + 1))
+            x, kind = at - y, how[y][:, None]
+            a, b, c = out[y + 1, x], out[y, x + 1], out[y, x]
+            near = a + b - c
+            da, db, dc = abs(near - a), abs(near - b), abs(near - c)
+            paeth = np.where((da <= db) & (da <= dc), a, np.where(db <= dc, b, c))
+            out[y + 1, x + 1] = (raw[y, x] + np.select([kind == 1, kind == 2, kind == 3, kind == 4], [a, b, (a + b) >> 1, paeth], 0)) & 255
+    else:
+        for y in range(height):
+            line = np.cumsum(raw[y], axis=0) if how[y] == 1 else raw[y] + out[y, 1:] if how[y] == 2 else raw[y]
+            out[y + 1, 1:] = line & 255
+    return out[1:, 1:].reshape(height, width * step).astype(np.uint8)
+
+
 def from_png(data: bytes) -> tuple[int, int, bytes]:
     """8-bit gray, RGB, palette, gray-alpha or RGBA, not interlaced."""
     at, idat, palette, clear = 8, [], b"", b""
@@ -52,26 +78,7 @@ def from_png(data: bytes) -> tuple[int, int, bytes]:
     if depth != 8 or interlace:
         raise ValueError("only 8-bit PNG files without interlacing are read")
     step = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
-    lines = np.frombuffer(zlib.decompress(b"".join(idat)), np.uint8).reshape(height, 1 + width * step)
-    out = np.zeros((height, width * step), np.uint8)
-    above = np.zeros(width * step, np.int32)
-    for y in range(height):
-        how, line = int(lines[y, 0]), lines[y, 1:].astype(np.int32)
-        if how == 1:
-            line = np.cumsum(line.reshape(width, step), axis=0).ravel() & 255
-        elif how == 2:
-            line = (line + above) & 255
-        elif how > 2:
-            for i in range(len(line)):
-                a = int(line[i - step]) if i >= step else 0
-                b, c = int(above[i]), int(above[i - step]) if i >= step else 0
-                if how == 3:
-                    guess = (a + b) >> 1
-                else:
-                    near = a + b - c
-                    guess = min((abs(near - a), 0, a), (abs(near - b), 1, b), (abs(near - c), 2, c))[2]
-                line[i] = (line[i] + guess) & 255
-        out[y], above = line, line
+    out = _unfiltered(np.frombuffer(zlib.decompress(b"".join(idat)), np.uint8).reshape(height, 1 + width * step), width, step)
     px = out.reshape(height, width, step)
     bgra = np.full((height, width, 4), 255, np.uint8)
     if kind in (0, 4):
@@ -150,18 +157,22 @@ def lzw(data: bytes) -> bytes:
 
 
 def unlzw(data: bytes) -> bytes:
-    out, table, width, at = bytearray(), [bytes([i]) for i in range(256)] + [b"", b""], 9, 0
-    last = b""
-    total = len(data) * 8
-    number = int.from_bytes(data, "big")
-    while at + width <= total:
-        code = (number >> (total - at - width)) & ((1 << width) - 1)
-        at += width
+    out, table, width = bytearray(), [bytes([i]) for i in range(256)] + [b"", b""], 9
+    last, bits, held = b"", 0, 0
+    for byte in data:
+        bits, held = (bits << 8) | byte, held + 8
+        if held < width:
+            continue
+        held -= width
+        code = bits >> held
+        bits &= (1 << held) - 1
         if code == 257:
             break
         if code == 256:
             table, width, last = table[:258], 9, b""
             continue
+        if code > len(table) or code == len(table) and not last:
+            raise ValueError("an LZW code that no table has")
         entry = table[code] if code < len(table) else last + last[:1]
         out += entry
         if last:
@@ -182,6 +193,35 @@ def to_tiff(bgra: bytes, width: int, height: int) -> bytes:
     return b"II*\0" + struct.pack("<IH", 8, len(tags)) + entries + struct.pack("<I", 0) + struct.pack("<4H", 8, 8, 8, 8) + strip
 
 
+def from_tiff(data: bytes) -> tuple[int, int, bytes]:
+    """Strips of 8-bit gray, RGB or RGBA samples, plain or LZW, either byte order, first page."""
+    order = "<" if data[:2] == b"II" else ">"
+    at = struct.unpack(order + "I", data[4:8])[0]
+    sizes, tags = {1: "B", 3: "H", 4: "I"}, {}
+    for i in range(struct.unpack(order + "H", data[at : at + 2])[0]):
+        tag, kind, n = struct.unpack(order + "HHI", data[at + 2 + 12 * i : at + 10 + 12 * i])
+        if kind in sizes:
+            size = struct.calcsize(sizes[kind]) * n
+            place = at + 10 + 12 * i if size <= 4 else struct.unpack(order + "I", data[at + 10 + 12 * i : at + 14 + 12 * i])[0]
+            tags[tag] = struct.unpack(f"{order}{n}{sizes[kind]}", data[place : place + size])
+    first = lambda tag, other: tags.get(tag, (other,))[0]
+    width, height, samples, packing = first(256, 0), first(257, 0), first(277, 1), first(259, 1)
+    if set(tags.get(258, (1,))) != {8} or packing not in (1, 5) or first(284, 1) != 1 or first(317, 1) != 1 or samples not in (1, 3, 4) or first(262, 1) not in (0, 1, 2):
+        raise ValueError("only TIFF files of 8-bit samples side by side, plain or LZW, are read")
+    strips = [data[a : a + n] for a, n in zip(tags[273], tags[279])]
+    px = np.frombuffer(b"".join(map(unlzw, strips)) if packing == 5 else b"".join(strips), np.uint8, width * height * samples).reshape(height, width, samples)
+    bgra = np.full((height, width, 4), 255, np.uint8)
+    bgra[..., :3] = (255 - px if first(262, 1) == 0 else px) if samples == 1 else px[..., 2::-1]
+    if samples == 4:
+        bgra[..., 3] = px[..., 3]
+    return width, height, bgra.tobytes()
+
+
+def to_tga(bgra: bytes, width: int, height: int) -> bytes:
+    """Uncompressed, 32 bits a pixel, rows from the top."""
+    return bytes([0, 0, 2]) + bytes(9) + struct.pack("<HHBB", width, height, 32, 0x28) + bytes(bgra)
+
+
 def from_tga(data: bytes) -> tuple[int, int, bytes]:
     """Uncompressed TGA of 24 or 32 bits a pixel."""
     skip, _, kind = data[0], data[1], data[2]
@@ -198,21 +238,37 @@ def from_tga(data: bytes) -> tuple[int, int, bytes]:
 def decode_file(data: bytes) -> tuple[int, int, bytes]:
     if data[:4] == b"\x89PNG":
         return from_png(data)
-    return from_bmp(data) if data[:2] == b"BM" else from_tga(data)
+    if data[:4] in (b"II*\0", b"MM\0*"):
+        return from_tiff(data)
+    if data[:2] == b"BM":
+        return from_bmp(data)
+    if len(data) >= 18 and data[1] == 0 and data[2] == 2 and data[16] in (24, 32):
+        return from_tga(data)
+    raise ValueError("no PNG, BMP, TIFF or TGA file that is read here")
+
+
+def decoded(data: bytes | None) -> tuple:
+    """width, height, bgra, bits a pixel (32 if some pixel isn't opaque, else 24) and why a file gives no image."""
+    try:
+        width, height, bgra = decode_file(bytes(data or b""))
+    except (ValueError, IndexError, KeyError, struct.error, zlib.error) as e:
+        return None, None, None, None, str(e) or type(e).__name__
+    return width, height, bgra, 24 if (np.frombuffer(bgra, np.uint8)[3::4] == 255).all() else 32, None
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """path, width, height, bgra of the image files under a path."""
+    """path, width, height, bgra, bits and reason of the files under a path; a file that gives no image has a reason only."""
     def some(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in frames:
-            yield pd.DataFrame([(p, *decode_file(c)) for p, c in zip(rows["path"], rows["content"])], columns=["path", "width", "height", "bgra"])
+            out = pd.DataFrame([(p, *decoded(c)) for p, c in zip(rows["path"], rows["content"])], columns=["path", "width", "height", "bgra", "bits", "reason"])
+            yield out.astype({c: "Int32" for c in ("width", "height", "bits")})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(some, PIXELS)
 
 
 def encode_images(pixels: DataFrame, kind: str = "png") -> DataFrame:
-    """``pixels`` (img, width, height, bgra) with file, its bytes as PNG, BMP or TIFF."""
-    make = {"png": to_png, "bmp": to_bmp, "tiff": to_tiff}[kind]
+    """``pixels`` (img, width, height, bgra) with file, its bytes as PNG, BMP, TIFF or TGA."""
+    make = {"png": to_png, "bmp": to_bmp, "tiff": to_tiff, "tga": to_tga}[kind]
 
     def some(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in frames:

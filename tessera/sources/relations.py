@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scans import numbered
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -12,11 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def px_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """img, i, v: each user's event values in the order of their ids."""
-    order = Window.partitionBy("user_id").orderBy("event_id")
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").cast("long").alias("img"), (F.row_number().over(order) - 1).cast("long").alias("i"),
-        (F.floor("value") % 256).cast("int").alias("v"),
+    events = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("long").alias("img"), F.col("event_id").cast("long").alias("event_id"), (F.floor("value") % 256).cast("int").alias("v")
     )
+    return numbered(events, "img", "event_id", "i").select("img", "i", "v")
 
 
 def px_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,8 +30,3 @@ def px_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """img, data: the bytes of each document."""
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("img"), text.alias("data"))
-
-
-def px_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """v with a count: how often each whole quantity occurs, as a symbol."""
-    return table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("int").alias("v"))

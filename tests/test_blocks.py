@@ -210,13 +210,117 @@ def test_mux_order_feeds_all_decoders():
     assert mux.demultiplex(joined, [[2]] * 3, 20, 20) == wanted
 
 
+@pytest.mark.parametrize("unit", [1, 8])
+def test_mux_groups_of_different_sizes(unit):
+    """Many groups at once, k by block, against a reader that takes one symbol after another."""
+    rng = random.Random(unit)
+    groups, kss, wanted = [], [], []
+    for size in (1, 3, 2, 3, 4):
+        streams, ks, symbols = [], [], []
+        for _ in range(size):
+            k = [rng.randrange(8) for _ in range(3)]
+            syms = [rng.choice([rng.randrange(8), rng.randrange(256)]) for _ in range(20)]
+            code = lambda n, k: "0" * 16 + f"{n:08b}" if n >> k >= 16 else "0" * (n >> k) + "1" + (f"{n & ((1 << k) - 1):0{k}b}" if k else "")
+            streams.append(decode.pack_text("".join(code(n, k[j // 8]) for j, n in enumerate(syms))))
+            ks.append(k)
+            symbols.append(syms)
+        groups.append(streams)
+        kss.append(ks)
+        wanted.append(symbols)
+    muxes = mux.multiplex_many(groups, kss, 20, 8, unit)
+    assert [f.tolist() for f in mux.demultiplex_many(muxes, kss, 20, 8, unit)] == wanted
+    assert muxes == [mux.multiplex(g, ks, 20, 8, unit) for g, ks in zip(groups, kss)]
+    for streams, ks, syms, got in zip(groups, kss, wanted, muxes):  # the order in which bits are asked for
+        used, read, order = [0] * len(streams), [0] * len(streams), bytearray()
+        for j in range(20):
+            for s, data in enumerate(streams):
+                k, n = ks[s][j // 8], syms[s][j]
+                for bits in ((16, 8) if n >> k >= 16 else ((n >> k) + 1, k)):
+                    while 8 * unit * read[s] - used[s] <= mux.LOW:
+                        order += data[read[s] * unit : (read[s] + 1) * unit].ljust(unit, b"\0")
+                        read[s] += 1
+                    used[s] += bits
+        assert got == bytes(order)
+
+
+def test_numbers_and_sums_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(scans, "PIECE", 10)
+    monkeypatch.setattr(rice, "PIECE", 3)
+    rng = random.Random(2)
+    ids = sorted(rng.sample(range(500), 90))
+    rows = spark.createDataFrame([(i % 2, i) for i in ids], "img long, v long")
+    got = {(r.img, r.v): r.i for r in scans.numbered(rows, "img", "v", "i").collect()}
+    assert got == {(g, v): j for g in (0, 1) for j, v in enumerate([i for i in ids if i % 2 == g])}
+    widths = [(g, b, s, rng.randrange(9)) for g in (0, 1) for b in range(11) for s in range(4)]
+    sums = rice.offsets_of(spark.createDataFrame(widths, "img long, by long, s long, w long"), "w", ["by", "s"]).collect()
+    for r in sums:
+        assert r.bit_offset == sum(w for g, b, s, w in widths if g == r.img and (b, s) < (r.by, r.s))
+
+
+def test_k_table_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(rice, "PART", 4)
+    rows = spark.createDataFrame([(g, i, (i * 3 + g) % 8) for g in (0, 1) for i in range(8 + g)], "img long, blocki long, k int")
+    got = {(r.img, r.part): bytes(r.ks) for r in rice.k_table(rows).collect()}
+    for g in (0, 1):
+        assert b"".join(got[g, p] for p in sorted(p for i, p in got if i == g)) == bytes([(i * 3 + g) % 8 for i in range(8 + g)]) + b"\0"
+    assert max(map(len, got.values())) == 4
+
+
+def test_a_place_given_twice_is_an_error(spark):
+    with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
+        tiles.tiles(plane(spark, 2, [1, 2]).union(plane(spark, 2, [1, 2]))).collect()
+
+
+def filtered(px, how):
+    """Rows of a PNG under the filters ``how``, by the definition of each."""
+    height, width, step = px.shape
+    rows = []
+    for y in range(height):
+        row = [how[y]]
+        for x in range(width):
+            for c in range(step):
+                a = int(px[y, x - 1, c]) if x else 0
+                b = int(px[y - 1, x, c]) if y else 0
+                d = int(px[y - 1, x - 1, c]) if x and y else 0
+                near = a + b - d
+                paeth = min((a, b, d), key=lambda v: abs(near - v))
+                row.append((int(px[y, x, c]) - [0, a, b, (a + b) // 2, paeth][how[y]]) % 256)
+        rows.append(row)
+    return np.array(rows, np.uint8)
+
+
+def test_png_filters():
+    rng = np.random.default_rng(3)
+    px = np.cumsum(rng.integers(-3, 4, (13, 9, 4)), axis=1).astype(np.uint8)
+    for how in ([0, 1, 2, 1, 2, 0, 2, 1, 0, 0, 1, 2, 2], rng.integers(0, 5, 13).tolist(), [4] * 13, [3] * 13):
+        assert (images._unfiltered(filtered(px, how), 9, 4).reshape(px.shape) == px).all()
+
+
+def test_files_that_give_no_image_say_why(spark, tmp_path):
+    bgra = bytes(range(48)) * 2
+    good = {kind: make(bgra, 6, 4) for kind, make in (("png", images.to_png), ("bmp", images.to_bmp), ("tiff", images.to_tiff), ("tga", images.to_tga))}
+    for kind, data in good.items():
+        (tmp_path / f"a.{kind}").write_bytes(data)
+        (tmp_path / f"cut.{kind}").write_bytes(data[: len(data) // 2])
+    (tmp_path / "x.txt").write_bytes(b"no image at all, only a text of some length")
+    rows = {r.path.rsplit("/", 1)[-1]: r for r in images.read_images(spark, str(tmp_path)).collect()}
+    assert len(rows) == 9
+    for name, r in rows.items():
+        if name.startswith("a."):
+            assert (r.width, r.height, bytes(r.bgra), r.bits, r.reason) == (6, 4, bgra, 32, None)
+        else:
+            assert r.width is None and r.bgra is None and r.reason
+    assert images.decoded(b"")[0] is None and images.decoded(None)[4]
+    assert images.decoded(images.to_png(b"\1\2\3\xff" * 6, 3, 2))[3] == 24
+
+
 def test_image_formats(spark, tmp_path):
     rng = np.random.default_rng(4)
     bgra = rng.integers(0, 256, (37, 53, 4), dtype=np.uint8).tobytes()
     assert images.from_png(images.to_png(bgra, 53, 37)) == (53, 37, bgra)
     assert images.from_bmp(images.to_bmp(bgra, 53, 37)) == (53, 37, bgra)
     assert images.unlzw(images.lzw(bgra)) == bgra and images.unlzw(images.lzw(b"ab" * 9000)) == b"ab" * 9000
-    assert images.to_tiff(bgra, 53, 37)[:4] == b"II*\0"
+    assert images.from_tiff(images.to_tiff(bgra, 53, 37)) == (53, 37, bgra) and images.from_tga(images.to_tga(bgra, 53, 37)) == (53, 37, bgra)
     tga = bytes([0, 0, 2]) + bytes(9) + (53).to_bytes(2, "little") + (37).to_bytes(2, "little") + bytes([32, 32]) + bgra
     assert images.decode_file(tga) == (53, 37, bgra)
     (tmp_path / "a.png").write_bytes(images.to_png(bgra, 53, 37))
@@ -260,6 +364,9 @@ def test_sql_functions(spark):
     assert spark.sql("select * from coded where rice_decode(bits, k, 32, 'grouped') <> syms").count() == 0
     got = spark.sql("select c.i, s.i as j, s.v from coded c, lateral rice_symbols(c.bits, c.k, 32, 'grouped') s order by c.i, j").collect()
     assert [r.v for r in got] == [v for _, _, syms in made for v in syms]
+    best = spark.sql("select i, rice_k(v) as best, rice_bits(v) as bits from (select i, explode(syms) as v from coded) group by i").collect()
+    plain = df.select("i", rice.best_k("syms").alias("k"), F.array_min(rice.costs("syms")).alias("bits"))
+    assert {(r.i, r.best, r.bits) for r in best} == {(r.i, r.k, r.bits) for r in plain.collect()}
 
 
 def test_stored_relations(spark, tmp_path):
