@@ -1,25 +1,27 @@
 """Documents that hold benchmark items: MinHash containment search by size, then exact.
 
 Only DataFrame functions are used. Words are runs of letters and digits in lower case; a
-shingle is five words. Items are partitioned by size: class S holds the items with over
-S / 2 and at most S shingles. For each class that occurs, documents are cut into windows
-of 2 S shingles, a new one every S, so that whatever an item spans lies whole within some
-window, and a short item meets a window of its own size however long the document is.
-
-The sketch of a set is a one-permutation MinHash: hashes fall into ``BINS`` bins by their
-top bits and each bin keeps its least. A window and an item that share a bin's least are
-candidates; at a containment of 0.8 a miss has a probability below 1e-5 for items of 30
-shingles or more, and about 1e-3 for the shortest. Sketches of windows meet those of items
-where the windows are read, if the items' sketches are counted as small, and are never
-gathered by document. Candidates are verified on the shingles' text: an item is found if
-at least 0.8 of its distinct shingles are in the document.
+shingle is five words. The sketch of an item is a one-permutation MinHash: the hashes of its
+shingles fall into ``BINS`` bins by their top bits and each bin keeps its least. Items are
+partitioned by size: class S holds the items with over S / 2 and at most S shingles. In a
+document an item of class S is looked for in windows of 2 S shingles, a new one every S, so
+that whatever an item spans lies whole within some window, and a short item meets a window
+of its own size however long the document is.
+
+The share of an item's sketch among the shingles of a window estimates how much of the item
+the window contains; a window with at least ``SHARE`` of the sketch makes a candidate. At a
+containment of 0.8 a miss has a probability below 1e-9 for sketches of 30 hashes, below
+1e-3 for 4 or 5, and items with fewer shingles than that must be there whole. Documents'
+shingles meet the sketches where they are read, if those are counted as small; only those
+that are in some sketch are gathered, by document, item and window. Candidates are verified
+on the shingles' text: an item is found if at least 0.8 of its distinct shingles are in the
+document.
 
 Defined cases: null text has no words; texts and items of fewer than five words have no
 shingles, so such an item is never found; repeated rows of documents give one result for
 each different text under an id, repeated items count once for each id; a null item id is
-kept; a very long text is one row, which holds its hashes and windows at once, some 40 bytes
-a word and size class; other columns are not read, so none can clash; an empty table on
-either side gives an empty result.
+kept; a very long text is one row with some 24 bytes a word; other columns are not read, so
+none can clash; an empty table on either side gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ WORDS = 5
 CONTAINMENT = 0.8
 BINS = 64
 SHIFT = 58
+#: The least part of an item's sketch that a window must have.
+SHARE = 0.3
 #: Documents up to which the list of candidates is broadcast.
 FEW = 100_000
 
@@ -60,26 +64,22 @@ def _least(a: str) -> str:
 
 
 def item_sketches(items: DataFrame) -> DataFrame:
-    """item_id, size_class and least (a bin's least hash) of each item, a row for each bin."""
+    """item_id, size_class, needed (how many hashes make a candidate) and least (a bin's least hash), a row for each bin."""
     hashed = _hashes(items.select("item_id", "text")).filter("size(h) > 0").withColumn("h", F.expr("array_distinct(h)"))
-    sized = hashed.withColumn("size_class", F.expr("cast(pow(2, ceil(log2(size(h)))) as int)"))
-    return sized.select("item_id", "size_class", F.explode(F.expr(_let("a", "sort_array(h)", _least("a")))).alias("least")).distinct()
+    sized = hashed.withColumn("size_class", F.expr("cast(pow(2, ceil(log2(size(h)))) as int)")).withColumn("sketch", F.expr(_let("a", "sort_array(h)", _least("a"))))
+    needed = F.greatest(F.lit(1), F.ceil(F.size("sketch") * SHARE)).cast("int")
+    return sized.select("item_id", "size_class", needed.alias("needed"), F.explode("sketch").alias("least")).distinct()
 
 
 def candidates(docs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """doc_id, th, item_id: pairs whose sketches share a bin. ``sketches`` should be staged."""
-    classes = [r.size_class for r in sketches.select("size_class").distinct().collect()]  # at most log2 of the longest item
-    hashed = _hashes(docs.select("doc_id", "th", "text")).filter("size(h) > 0")
-    if not classes:
-        return docs.select("doc_id", "th").limit(0).withColumn("item_id", F.lit(None).cast("long"))
-    windows = ", ".join(
-        f"transform(sequence(0, greatest(0, cast(ceil((size(g) - {2 * s}) / {s}.0) as int))),"
-        f" i -> named_struct('size_class', {s}, 'least', {_let('a', f'sort_array(slice(g, i * {s} + 1, {2 * s}))', _least('a'))}))"
-        for s in sorted(classes)
-    )
-    cut = hashed.select("doc_id", "th", F.explode(F.expr(_let("g", "h", f"concat({windows})"))).alias("x"))
-    rows = cut.select("doc_id", "th", F.col("x.size_class"), F.explode("x.least").alias("least"))
-    return join_checked(rows, sketches, ["size_class", "least"]).select("doc_id", "th", "item_id").distinct()
+    """doc_id, th, item_id: pairs of which some window has enough of the item's sketch. ``sketches`` should be staged."""
+    rows = _hashes(docs.select("doc_id", "th", "text")).select("doc_id", "th", F.posexplode("h").alias("at", "least"))
+    met = join_checked(rows, sketches, "least")
+    first = F.floor(F.col("at") / F.col("size_class"))
+    window = F.explode(F.array(first, first - 1)).alias("window")
+    seen = met.select("doc_id", "th", "item_id", "size_class", "needed", "least", window)
+    each = seen.groupBy("doc_id", "th", "item_id", "size_class", "needed", "window").agg(F.countDistinct("least").alias("n"))
+    return each.filter("n >= needed").select("doc_id", "th", "item_id").distinct()
 
 
 def search(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT) -> DataFrame:
