@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -215,44 +216,44 @@ def kneser_ney(counted: DataFrame) -> DataFrame:
     for k in range(ORDER - 1, 0, -1):
         more = F.count(F.when(F.col("n") > 0, True)).alias("n")
         levels[k] = stage(levels[k + 1].groupBy("lang", _suffix(k).alias("gram")).agg(more))
+    of_lang = stage(reduce(DataFrame.union, [_discounts(level).withColumn("level", F.lit(k)) for k, level in levels.items()]))
     prob = stage(levels[1].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("p"))).withColumn("gram", F.lit(0).cast("long"))
     for k in range(1, ORDER + 1):
-        level = levels[k]
-        n = [F.greatest(F.count(F.when(F.col("n") == i, True)), F.lit(1)).alias(f"n{i}") for i in (1, 2, 3, 4)]
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        d = [F.least(F.greatest(i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"), F.lit(0.05 * i)), F.lit(0.95 * i)).alias(f"d{i}") for i in (1, 2, 3)]
-        of_lang = stage(level.groupBy("lang").agg(*n).select("lang", *d))
         less = F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        cut = join_checked(level, of_lang, "lang").withColumn("d", less).drop("d1", "d2", "d3")
-        cut = cut.withColumn("history", F.shiftrightunsigned("gram", UNIT))
-        history = stage(cut.groupBy("lang", "history").agg(F.sum("n").alias("total"), F.sum("d").alias("freed")))
-        lower = prob.select("lang", F.col("gram").alias("_end"), F.col("p").alias("lower"))
-        met = cut.withColumn("_end", _suffix(k - 1) if k > 1 else F.lit(0).cast("long"))
-        met = join_checked(join_checked(met, history, ["lang", "history"]), lower, ["lang", "_end"])
+        cut = levels[k].join(of_lang.filter(F.col("level") == k), "lang").withColumn("d", less).withColumn("history", F.shiftrightunsigned("gram", UNIT))
+        cut = cut.select("lang", "gram", "n", "d", "history", (_suffix(k - 1) if k > 1 else F.lit(0).cast("long")).alias("end"), *(["n_all"] if k == ORDER else []))
+        history = cut.groupBy("lang", "history").agg(F.sum("n").alias("total"), F.sum("d").alias("freed"))
+        lower = prob.select("lang", F.col("gram").alias("end"), F.col("p").alias("lower"))
+        met = cut.join(history, ["lang", "history"]).join(lower, ["lang", "end"])
         own = F.when(F.col("total") > 0, (F.col("n") - F.col("d")) / F.col("total")).otherwise(0.0)
         weight = F.when(F.col("total") > 0, F.col("freed") / F.col("total")).otherwise(1.0)
-        done = met.select("lang", "gram", *(["n_all"] if k == ORDER else []), (own + weight * F.col("lower")).alias("p"))
-        prob = stage(done)
-    discard(*levels.values())
+        prob = stage(met.select("lang", "gram", *(["n_all"] if k == ORDER else []), (own + weight * F.col("lower")).alias("p")))
+    discard(of_lang, *levels.values())
     return prob.select("lang", "gram", "n_all", F.log("p").alias("logp"))
 
 
+def _discounts(level: DataFrame) -> DataFrame:
+    """lang, d1, d2, d3: what counts of 1, 2 and 3 or more give up, from how many n-grams have counts 1 to 4."""
+    n = [F.greatest(F.count(F.when(F.col("n") == i, True)), F.lit(1)).alias(f"n{i}") for i in (1, 2, 3, 4)]
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    d = [F.least(F.greatest(i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"), F.lit(0.05 * i)), F.lit(0.95 * i)).alias(f"d{i}") for i in (1, 2, 3)]
+    return level.groupBy("lang").agg(*n).select("lang", *d)
+
+
 def hashes(code: np.ndarray) -> np.ndarray:
     """64-bit hashes of 4-grams; a bijection, so that none collide."""
-    x = (code ^ (code >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    return (code ^ (code >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
 
 
 class Scores:
     """Sorted hash arrays of one language: hashes, and log probabilities beside them."""
 
     def __init__(self, keys: np.ndarray, logp: np.ndarray):
-        self.keys, self.logp = keys, logp
-        self.shift = np.uint64(64 - max(1, int(len(keys)).bit_length() + 1))
+        self.shift = np.uint64(64 - max(1, int(len(keys)).bit_length() + 2))
+        self.keys, self.logp = np.append(keys, np.uint64(0)), np.append(logp, np.float32(0))  # a place past the end
         starts = (keys >> self.shift).astype(np.int64)
-        self.first = np.searchsorted(starts, np.arange((1 << (64 - int(self.shift))) + 1))
-        self.most = int(np.diff(self.first).max(initial=0))
+        self.first = np.searchsorted(starts, np.arange(1 << (64 - int(self.shift)))).astype(np.int32)
+        self.most = int(np.bincount(starts).max()) if len(keys) else 0
 
     @classmethod
     def of(cls, code: np.ndarray, logp: np.ndarray) -> Scores:
@@ -262,19 +263,19 @@ class Scores:
 
     def look_up(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log probabilities (zero where they are not here), and whether they are here."""
-        out, here = np.zeros(len(code)), np.zeros(len(code), bool)
         h = hashes(code)
-        at = self.first[(h >> self.shift).astype(np.int64)]
-        todo = np.arange(len(code))
-        for _ in range(self.most):  # all that share the leading bits stand together
-            at_ = np.minimum(at[todo], len(self.keys) - 1)
-            hit = self.keys[at_] == h[todo]
-            out[todo[hit]] = self.logp[at_[hit]]
+        at = self.first[h >> self.shift]
+        here = (self.keys[at] == h) & (at < len(self.keys) - 1)
+        out = np.where(here, self.logp[at], np.float32(0))
+        todo = np.flatnonzero(~here)
+        for ahead in range(1, self.most):  # all that share the leading bits stand together
+            place = np.minimum(at[todo] + ahead, len(self.keys) - 1)
+            hit = (self.keys[place] == h[todo]) & (place < len(self.keys) - 1)
+            out[todo[hit]] = self.logp[place[hit]]
             here[todo[hit]] = True
             todo = todo[~hit]
             if not len(todo):
                 break
-            at[todo] += 1
         return out, here
 
 
@@ -295,7 +296,7 @@ def arrays(model: DataFrame, head: int | None = None) -> tuple[dict[str, tuple[n
     out = {}
     for name in np.unique(lang.astype(str)).tolist():
         one = Scores.of(code[lang == name], logp[lang == name])
-        out[name] = (one.keys, one.logp)
+        out[name] = (one.keys[:-1], one.logp[:-1])
     return out, model.filter(~inside) if total > head else None
 
 
@@ -321,7 +322,7 @@ def measure(docs: DataFrame, known: dict[str, tuple[np.ndarray, np.ndarray]], ou
                 table, total, squares, size, rest = tables.get(lang, none), 0.0, 0.0, 0, []
                 for g in grams(t):
                     p, here = table.look_up(g)
-                    size, total, squares = size + len(g), total + float(p.sum()), squares + float(p @ p)
+                    size, total, squares = size + len(g), total + float(p.sum(dtype=float)), squares + float(np.square(p, dtype=float).sum())
                     if not here.all():
                         code, n = np.unique(g[~here], return_counts=True)
                         rest += [{"gram": c, "k": k} for c, k in zip(code.view(np.int64).tolist(), n.tolist())]
