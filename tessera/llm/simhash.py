@@ -1,13 +1,11 @@
 """Near-duplicate documents by SimHash fingerprints and pigeonring filtering.
 
 A fingerprint has 64 bits. Two fingerprints link if they differ in at most 4 bits.
-The bits form a ring of 6 segments, or of 7 from ``WIDE_FROM`` classes on. If at most 4 bits
-differ, at least 2 (3) segments are equal, so every link shares one of the 15 (35) keys made
-of 2 (3) segments; both rings give the same links, and the wider keys of the second keep
-groups small where there are more fingerprints. Going round the ring from some segment, the
-differences summed over the first n of m segments never exceed n * 4 / m (the strong form of
-the pigeonring principle). Candidates that share a key must pass that test of chains before
-their whole Hamming distance is taken.
+The bits form a ring of 7 segments. If at most 4 bits differ, at least 3 segments are
+equal, so every link shares one of the 35 keys made of 3 segments; and, going round the
+ring from some segment, the differences summed over the first n segments never exceed
+n * 4 / 7 (the strong form of the pigeonring principle). Candidates that share a key
+must pass that test of chains before their whole Hamming distance is taken.
 
 Equal fingerprints are one class from the start. A group that shares a key gives a
 spanning forest, never all its pairs. Keys are counted by partial sums before rows meet, so
@@ -58,7 +56,7 @@ NEAR = 64
 #: Hashes whose bits are counted at once, and pairs that are sent at once.
 CHUNK = 65_536
 #: Rows of one or two numbers up to which they are broadcast.
-FEW_KEYS = 500_000
+FEW_KEYS = 200_000
 
 
 class Ring(NamedTuple):
@@ -114,13 +112,8 @@ class Ring(NamedTuple):
         return number[tuple(some.T)]
 
 
-NARROW = Ring((11, 11, 11, 11, 10, 10))
-WIDE = Ring((9, 9, 9, 9, 9, 9, 10))
-WIDE_FROM = 1 << 24
-
-
-def ring_for(classes: int) -> Ring:
-    return WIDE if classes >= WIDE_FROM else NARROW
+#: Keys of 27 or 28 bits: fewer segments make fewer keys, but then unlike fingerprints share keys by chance.
+RING = Ring((9, 9, 9, 9, 9, 9, 10))
 
 
 def _hashes(text: bytes | None) -> tuple[np.ndarray, int]:
@@ -257,7 +250,7 @@ def _ball(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(near.view(np.int64)), pa.array(np.full(len(near), f).view(np.int64))], ["z", "fp"])
 
 
-def links(classes: DataFrame, max_group: int = MAX_GROUP, ring: Ring = WIDE) -> DataFrame:
+def links(classes: DataFrame, max_group: int = MAX_GROUP, ring: Ring = RING) -> DataFrame:
     """Links a, b between distinct fingerprints that give the components of all links."""
     keyed = classes.select("fp", F.explode(F.array(*[F.expr(k) for k in ring.keys("fp")])).alias("key"))
     busy = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
@@ -408,7 +401,7 @@ def _word_pairs(forest: bool, ring: Ring):
     return rows
 
 
-def word_links(rooted: DataFrame, texts: DataFrame, max_group: int = MAX_GROUP, ring: Ring = WIDE) -> DataFrame | None:
+def word_links(rooted: DataFrame, texts: DataFrame, max_group: int = MAX_GROUP, ring: Ring = RING) -> DataFrame | None:
     """Links a, b that join all documents of different components whose word sets are near and whose shingles are similar.
 
     ``rooted`` has fp, root, row, words, sketch and ws, the fingerprints of the word sets;
@@ -423,9 +416,9 @@ def word_links(rooted: DataFrame, texts: DataFrame, max_group: int = MAX_GROUP,
     each = rooted.select("fp", "root", F.posexplode("ws").alias("which", "w"))
     keyed = each.select("fp", "root", "which", "w", F.explode(F.array(*[F.expr(k) for k in ring.keys("w")])).alias("k"))
     keyed = keyed.select("fp", "root", "w", F.expr("k | shiftleft(cast(which as bigint), 48)").alias("key"))
-    busy = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    busy = stage(busy.filter("low < high").select("key", "n"))
-    sized = stage(join_checked(keyed.select("key", "w", "fp"), busy, "key", rows=FEW_KEYS))
+    busy = stage(keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key"))
+    shared = stage(join_checked(keyed.select("key", "w", "fp"), busy, "key", rows=FEW_KEYS))
+    sized = shared.join(shared.groupBy("key").agg(F.count("*").alias("n")), "key")
     roots = stage(rooted.select("fp", "root", "row", "words", "sketch"))
     count = f"cast(ceil(n / {max_group}) as bigint)"
     dealt = sized.selectExpr("key", "w", "fp", f"{count} as blocks", f"pmod(xxhash64(fp), {count}) as block")
@@ -468,7 +461,7 @@ def word_links(rooted: DataFrame, texts: DataFrame, max_group: int = MAX_GROUP,
             ask(alone, forest)
             for least, most in steps:
                 ask(apart(least, most), forest)
-    discard(busy, sized, roots)
+    discard(busy, shared, roots)
     return reduce(DataFrame.union, found) if found else None
 
 
@@ -534,9 +527,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _with_components(prints, max_group)
 
 
-def _with_components(prints: DataFrame, max_group: int, ring: Ring | None = None) -> DataFrame:
+def _with_components(prints: DataFrame, max_group: int, ring: Ring = RING) -> DataFrame:
     classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    root = components(links(classes, max_group, ring or ring_for(classes.count())))
+    root = components(links(classes, max_group, ring))
     reach = stage(classes.join(root, classes.fp == root.node).select("fp", "root", "least"))
     least = reach.groupBy("root").agg(F.min("least").alias("all_least"))
     linked = reach.join(least, "root").select("fp", "all_least")
@@ -573,7 +566,7 @@ def numbered(docs: DataFrame, out: str) -> DataFrame:
     return docs.withColumns(helpers).mapInArrow(rows, StructType([*docs.schema.fields, StructField(out, kind)]))
 
 
-def keep_one(docs: DataFrame, max_group: int = MAX_GROUP, ring: Ring | None = None) -> DataFrame:
+def keep_one(docs: DataFrame, max_group: int = MAX_GROUP, ring: Ring = RING) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the smallest doc_id.
 
     Besides fingerprints that link, copies are found that changed in more places: documents
@@ -587,7 +580,6 @@ def keep_one(docs: DataFrame, max_group: int = MAX_GROUP, ring: Ring | None = No
     prints = held.select(f"{out}.*")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "row", "ws", "words", "sketch"))
     classes = stage(prints.groupBy("fp").agg(rep.alias("rep")))
-    ring = ring or ring_for(classes.count())
     edges = stage(links(classes.select("fp"), max_group, ring))
     rooted = classes.join(components(edges), classes.fp == F.col("node"), "left")
     rooted = stage(rooted.select("fp", F.coalesce("root", "fp").alias("root"), "rep.row", "rep.words", "rep.sketch", "rep.ws"))

@@ -347,7 +347,7 @@ def test_simhash_over_the_table(spark, sf):
     assert len(wanted) > len(least)
 
 
-@pytest.mark.parametrize("ring", [simhash.NARROW, simhash.WIDE])
+@pytest.mark.parametrize("ring", [simhash.RING, simhash.Ring((11, 11, 11, 11, 10, 10))])
 @pytest.mark.parametrize("max_group", [simhash.MAX_GROUP, 3])
 def test_simhash_links_any_fingerprints(spark, max_group, ring):
     """Clouds of fingerprints around centres; with small groups allowed the other exact way is taken."""
@@ -376,7 +376,7 @@ def test_ring_never_prunes_a_link():
     for _ in range(4):
         x ^= np.uint64(1) << rng.integers(0, 64, len(x)).astype(np.uint64)
     far = rng.integers(0, 2**63, 50_000).astype(np.uint64)
-    for ring in (simhash.NARROW, simhash.WIDE):
+    for ring in (simhash.RING, simhash.Ring((11, 11, 11, 11, 10, 10))):
         assert sum(ring.widths) == 64 and ring.viable(x).all() and ring.viable(far).mean() < 0.05
 
 
