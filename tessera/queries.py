@@ -536,7 +536,7 @@ def unpack_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select doc_id as img, hex(encode(coalesce(text, ''))) || repeat('00', cast((32 - strlen(coalesce(text, '')) % 32) % 32 as int)) as data from documents where strlen(coalesce(text, '')) > 0")
 def document_codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's bytes as an image, encoded and decoded."""
+    """The bytes of every document that has some as an image, encoded and decoded."""
     rows = codec.images(relations.px_docs(spark, sf_dir))
     return codec.decode(codec.encode(rows)).select("img", F.hex("data").alias("data"))
 
