@@ -50,7 +50,7 @@ HEAD = 262_144
 HEAD_BYTES = 64
 #: Words that the exchange moves one by one.
 OWN = 1536
-#: Classes: 0 is the end's.
+#: Classes, at most 128; 0 is the end's.
 CLASSES = 50
 LAMBDA = 5.0
 #: Runs of unknown words up to this length are kept ready.
@@ -243,7 +243,7 @@ def context_scores(between: np.ndarray) -> np.ndarray:
 
 
 def _contexts(shared):
-    """Rows word, context, n of the words that are not own, for contexts that are own words or ends."""
+    """Rows word, n (0), contexts and times (4 bytes each) of the words that are not own, for contexts that are own words or ends."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, of = shared.value  # of the head: the class of own words, -1 for others
         at: dict[bytes, int] = {}
@@ -252,9 +252,12 @@ def _contexts(shared):
         def send() -> pa.RecordBatch:
             code, n = np.unique(np.concatenate([*codes, np.empty(0, np.int64)]), return_counts=True)
             number, context = np.divmod(code, 2 * CLASSES)
-            inside = number < len(words)
-            names = pa.array([words[i] for i in number[inside].tolist()] + [local[i] for i in (number[~inside] - len(words)).tolist()], pa.binary())
-            return pa.RecordBatch.from_arrays([names, pa.array(context.astype(np.int32)), pa.array(n.astype(np.int64))], ["word", "context", "n"])
+            first = np.flatnonzero(np.append(True, number[1:] != number[:-1])) if len(number) else np.empty(0, np.int64)
+            which, ends = number[first], np.append(first, len(number))
+            inside = which < len(words)
+            names = pa.array([words[i] for i in which[inside].tolist()] + [local[i] for i in (which[~inside] - len(words)).tolist()], pa.binary())
+            lists = [pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for x in (context.astype(np.uint8), n.astype("<u4"))]
+            return pa.RecordBatch.from_arrays([names, pa.array(np.zeros(len(names), np.int64)), *lists], ["word", "n", "contexts", "times"])
 
         for batch in batches:
             for ids, others in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -283,7 +286,7 @@ def _contexts(shared):
 
 
 def _assign(shared):
-    """Rows (word, context, n) sorted by word give word, n, class; context -1 is the word's count.
+    """Rows as of ``_contexts``, and of counts, sorted by word, give word, n, class.
 
     A word's rows may run over any number of batches; only their sums are carried.
     """
@@ -303,14 +306,15 @@ def _assign(shared):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            word, context, n = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            word, n = batch.column(0), batch.column(1).to_numpy()
+            context, times = (b"".join(batch.column(i).to_pylist()) for i in (2, 3))
+            context, times = np.frombuffer(context, np.uint8).astype(np.int64), np.frombuffer(times, "<u4")
+            each = pc.binary_length(batch.column(2)).to_numpy()
             first = np.append(True, pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False))
             run = np.cumsum(first) - 1
             names = word.take(pa.array(np.flatnonzero(first))).to_pylist()
-            counts = context < 0
-            total = np.bincount(run[counts], n[counts], len(names)).astype(np.int64)
-            at = run[~counts] * (2 * CLASSES) + context[~counts]
-            seen = np.bincount(at, n[~counts], len(names) * 2 * CLASSES).reshape(len(names), 2 * CLASSES)
+            total = np.bincount(run, n, len(names)).astype(np.int64)
+            seen = np.bincount(run.repeat(each) * (2 * CLASSES) + context, times, len(names) * 2 * CLASSES).reshape(len(names), 2 * CLASSES)
             if open_word == names[0]:
                 total[0] += open_n
                 seen[0] += open_seen
@@ -396,10 +400,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     cls[own] = of[: len(own)]
     classes_of_own = {words[i]: int(cls[i]) for i in own} | {b"": 0}
 
-    # the other words, by their contexts; a row of context -1 carries each word's count
-    met = trained.select("ids", "others").mapInArrow(_contexts(sc.broadcast((words, cls))), "word binary, context int, n long")
-    met = met.union(vocabulary.select("word", F.lit(-1).alias("context"), "n")).withColumn("h", F.xxhash64("word"))
-    met = met.repartition("h").sortWithinPartitions("h", "word").select("word", "context", "n")
+    # the other words, by their contexts; one more row carries each word's count
+    met = trained.select("ids", "others").mapInArrow(_contexts(sc.broadcast((words, cls))), "word binary, n long, contexts binary, times binary")
+    nothing = F.lit(b"")
+    met = met.union(vocabulary.select("word", "n", nothing.alias("contexts"), nothing.alias("times"))).withColumn("h", F.xxhash64("word"))
+    met = met.repartition("h").sortWithinPartitions("h", "word").drop("h")
     none = CLASSES  # no context at all: settled below
     table = stage(met.mapInArrow(_assign(sc.broadcast((classes_of_own, scores, share, none))), "word binary, n long, class int"))
     types = {r["class"]: (r.n, r.v) for r in table.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}  # a row for each class
