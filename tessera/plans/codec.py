@@ -75,53 +75,79 @@ COSTS = _costs()
 
 
 def best_ks(blocks: np.ndarray) -> np.ndarray:
-    cost = np.stack([COSTS[k][blocks].sum(axis=1, dtype=np.int32) for k in range(8)])
+    """The k of each block that needs least bits.
+
+    Without escapes a block's bits are its sum shifted right by k and a constant, and the
+    shifted sum is a weighted sum of how often each bit is set. Blocks with larger symbols
+    are counted one by one.
+    """
+    n, size = blocks.shape
+    words = np.ascontiguousarray(blocks).view(np.uint64)
+    ones = np.uint64(0x0101010101010101)
+    cost = np.empty((8, n), np.int32)
+    above = np.zeros(n, np.int32)
+    for j in range(7, -1, -1):  # eight counts in a word, none above the eight words of a block
+        lanes = ((words >> np.uint64(j)) & ones).reshape(n, -1, 8).sum(axis=2, dtype=np.uint64)
+        count = ((lanes * ones) >> np.uint64(56)).sum(axis=1, dtype=np.int32)
+        above = 2 * above + count
+        cost[j] = above + size * (1 + j)
+    large = np.flatnonzero((words & np.uint64(0xF0F0F0F0F0F0F0F0)).any(axis=1))
+    for k in range(4):
+        cost[k][large] = COSTS[k][blocks[large]].sum(axis=1, dtype=np.int32)
     return np.argmin(cost, axis=0)  # the first, so the smallest, of those that tie
 
 
 def words_of(blocks: np.ndarray, ks: np.ndarray, owner: np.ndarray, images: int) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
     """The words of each image's stream, its bits, and where each of its half blocks begins.
 
-    ``owner`` says, in rising order, whose each block is. Four symbols give five parts: each
-    one's prefix, and all suffixes as one. A part ends at a known bit and adds to one word or
-    two; as parts share no bits, sums put them together. Each stream begins a new word.
+    ``owner`` says, in rising order, whose each block is. Four symbols, prefixes first, are one
+    part if they have at most 32 bits, as most have; else five, each one's prefix and all
+    suffixes. A part ends at a known bit and adds to one word or two; as parts share no bits,
+    sums put them together. Each stream begins a new word.
     """
     k, fours = ks[:, None].astype(np.uint8), blocks.shape[1] // 4
     q = blocks >> k
     escaped = q >= ESCAPE
-    four = len(blocks) * fours
-    size, number = np.empty((four, 5), np.uint8), np.empty((four, 5), np.uint64)
-    size[:, :4] = np.where(escaped, ESCAPE + 8 - k, q + 1).reshape(-1, 4)
-    size[:, 4] = np.repeat(ks.astype(np.uint8) * 4, fours)
-    number[:, :4] = np.where(escaped, q, 1).reshape(-1, 4)
-    low = (blocks & ((1 << k.astype(np.uint16)) - 1).astype(np.uint8)).reshape(-1, 4).astype(np.uint64)
-    width = np.repeat(ks.astype(np.uint64), fours)
-    rest = low[:, 0]
+    size = np.where(escaped, ESCAPE + 8 - k, q + 1).astype(np.uint8).reshape(-1, 4)
+    number = np.where(escaped, q, 1).astype(np.uint8).reshape(-1, 4)
+    low = (blocks & ((1 << k.astype(np.uint16)) - 1).astype(np.uint8)).reshape(-1, 4)
+    width = np.repeat(ks.astype(np.uint32), fours)
+    rest = low[:, 0].astype(np.uint32)
     for j in range(1, 4):
         rest = (rest << width) | low[:, j]
-    number[:, 4] = rest
-    end = np.cumsum(size.ravel(), dtype=np.int64)
+    first_bits = size.sum(axis=1, dtype=np.int64)
+    total = first_bits + 4 * width
 
-    whose = np.repeat(owner, fours)
-    last = np.searchsorted(whose, np.arange(images), side="right") * 5 - 1
+    end = np.cumsum(total)
+    last = np.searchsorted(owner, np.arange(images), side="right") * fours - 1
     until = np.where(last >= 0, end[last], 0)
     before = np.concatenate(([0], until[:-1]))
     n_bits = until - before
-    n_words = -(-n_bits // 32)
-    first = np.concatenate(([0], np.cumsum(n_words)))
-    end += np.repeat((first[:-1] * 32 - before)[whose], 5)
+    first = np.concatenate(([0], np.cumsum(-(-n_bits // 32))))
+    end += np.repeat(np.repeat(first[:-1] * 32 - before, np.bincount(owner, minlength=images)), fours)
+    begin = end - total
 
-    begin = end[4::5] - size.sum(axis=1, dtype=np.int64) - (first[:-1] * 32)[whose]
-    place = np.maximum(end - 1, 0)
-    moved = number.ravel() << (31 - (place & 31)).astype(np.uint64)
+    short = total <= 32
+    some = slice(None) if short.all() else np.flatnonzero(short)
+    one = number[some, 0].astype(np.uint64)
+    for j in range(1, 4):
+        one = (one << size[some, j].astype(np.uint64)) | number[some, j]
+    one = (one << (4 * width[some]).astype(np.uint64)) | rest[some]
+    long = np.flatnonzero(~short)
+    inner = begin[long, None] + np.cumsum(size[long], axis=1, dtype=np.int64)
+    ends = np.concatenate([end[some], inner.ravel(), end[long]])
+    parts = np.concatenate([one, number[long].ravel().astype(np.uint64), rest[long].astype(np.uint64)])
+
+    place = np.maximum(ends - 1, 0)
+    moved = parts << (31 - (place & 31)).astype(np.uint64)
     word = place >> 5
     high = moved >> np.uint64(32)
-    total = np.bincount(word, (moved & np.uint64(0xFFFFFFFF)).astype(float), int(first[-1]))
+    sums = np.bincount(word, (moved & np.uint64(0xFFFFFFFF)).astype(float), int(first[-1]))
     over = np.flatnonzero(high)
-    total += np.bincount(word[over] - 1, high[over].astype(float), int(first[-1]))
-    words = np.split(total.astype(np.uint32), first[1:-1])
-    halves = np.split(begin[:: HALF // 4], np.searchsorted(owner, np.arange(1, images)) * (blocks.shape[1] // HALF))
-    return words, n_bits, halves
+    sums += np.bincount(word[over] - 1, high[over].astype(float), int(first[-1]))
+    words = np.split(sums.astype(np.uint32), first[1:-1])
+    half = begin[:: HALF // 4] - np.repeat(np.repeat(first[:-1] * 32, np.bincount(owner, minlength=images)), fours * 4 // HALF)
+    return words, n_bits, np.split(half, np.searchsorted(owner, np.arange(1, images)) * (blocks.shape[1] // HALF))
 
 
 def frame(words: np.ndarray, n_bits: int) -> bytes:
