@@ -27,6 +27,26 @@ def _leading() -> np.ndarray:
 LEADING = _leading()
 
 
+#: Stands for 16 bits that do not hold four whole prefixes.
+SLOW = np.uint32(0xFFFFFFFF)
+
+
+def _fours() -> np.ndarray:
+    """What the first four prefixes in each 16 bits are: a nibble of zeros for each, the first lowest, then all their bits."""
+    rest, used, out = np.arange(1 << 16, dtype=np.uint32), np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.uint32)
+    whole = np.ones(1 << 16, bool)
+    for j in range(4):
+        q = LEADING[rest].astype(np.uint32)
+        used += q + 1
+        whole &= (q < ESCAPE) & (used <= 16)
+        out |= q << (4 * j)
+        rest = (rest << np.minimum(q + 1, 16)) & 0xFFFF
+    return np.where(whole, out | used << 16, SLOW)
+
+
+FOURS = _fours()
+
+
 class Lanes:
     """Bit positions in packed bit strings: one in each, or as many as ``owner`` names."""
 
@@ -58,24 +78,58 @@ class Lanes:
         return q
 
 
+    def some(self, rows: np.ndarray) -> Lanes:
+        """Those of some rows."""
+        out = object.__new__(Lanes)
+        out.words, out.at = self.words, self.at[rows]
+        return out
+
+
+def _group(lanes: Lanes, k: np.ndarray, size: int) -> np.ndarray:
+    """The next ``size`` symbols of each, one group, symbol by symbol; rows are symbols."""
+    out = np.empty((size, len(k)), np.int64)
+    for j in range(size):
+        q = lanes.zeros()
+        escaped = q == ESCAPE
+        if escaped.any():
+            q = np.where(escaped, lanes.take(np.where(escaped, 8 - k, 0)), q)
+        out[j] = q << k
+    rest = lanes.take(k * size)  # at most 28 bits
+    for j in range(size - 1, -1, -1):
+        out[j] |= rest & ((1 << k) - 1)
+        rest >>= k
+    return out
+
+
 def grouped(data: list[bytes], k: np.ndarray, n: int, skip: np.ndarray | None = None, owner: np.ndarray | None = None) -> np.ndarray:
-    """n symbols of each block whose code puts four prefix parts before four suffixes."""
+    """n symbols of each block whose code puts four prefix parts before four suffixes.
+
+    Where four prefixes are whole in the next 16 bits, one look-up finds them, and the
+    same word has their suffixes. Other groups, with escapes among them, are read symbol by symbol.
+    """
     lanes, k = Lanes(data, skip, owner), k.astype(np.int64)
-    out = np.zeros((len(k), n), np.int64)
-    low = (1 << k) - 1
-    for g in range(0, n, 4):
-        last = min(n, g + 4)
-        for j in range(g, last):
-            q = lanes.zeros()
-            escaped = q == ESCAPE
-            if escaped.any():
-                q = np.where(escaped, lanes.take(np.where(escaped, 8 - k, 0)), q)
-            out[:, j] = q << k
-        rest = lanes.take(k * (last - g))  # at most 28 bits
-        for j in range(last - 1, g - 1, -1):
-            out[:, j] |= rest & low
-            rest >>= k
-    return out
+    out = np.zeros((n, len(k)), np.int32)
+    k_, low = k.astype(np.uint32), ((1 << k) - 1).astype(np.uint32)
+    down, bits = (63 - 4 * k).astype(np.uint64), 4 * k
+    for g in range(0, n - n % 4, 4):
+        byte = np.minimum(lanes.at >> 3, len(lanes.words) - 1)
+        word = lanes.words[byte].astype(np.uint64) << (lanes.at & 7).astype(np.uint64)
+        found = FOURS[word >> np.uint64(48)]
+        slow = np.flatnonzero(found == SLOW)
+        used = found >> np.uint32(16)
+        rest = (((word << used.astype(np.uint64)) >> np.uint64(1)) >> down).astype(np.uint32)
+        for j in range(3, -1, -1):
+            out[g + j] = (((found >> np.uint32(4 * j)) & np.uint32(15)) << k_) | (rest & low)
+            rest >>= k_
+        at = lanes.at + used + bits
+        if len(slow):
+            few = lanes.some(slow)
+            out[g : g + 4, slow] = _group(few, k[slow], 4)
+            at[slow] = few.at
+        lanes.at = at
+    if n % 4:
+        out[n - n % 4 :] = _group(lanes, k, n % 4)
+    return np.ascontiguousarray(out.T)
 
 
 def interleaved(data: list[bytes], k: np.ndarray, n: int, skip: np.ndarray | None = None) -> np.ndarray:
