@@ -77,23 +77,26 @@ COSTS = _costs()
 def best_ks(blocks: np.ndarray) -> np.ndarray:
     """The k of each block that needs least bits.
 
-    Without escapes a block's bits are its sum shifted right by k and a constant, and the
-    shifted sum is a weighted sum of how often each bit is set. Blocks with larger symbols
-    are counted one by one.
+    Without escapes a block's bits are its symbols' sum shifted right by k and a constant, and the
+    shifted sum is a weighted sum of how often each bit is set. Escapes are put right one by one.
+    A block has 64 symbols, as eight words.
     """
     n, size = blocks.shape
-    words = np.ascontiguousarray(blocks).view(np.uint64)
+    words = np.ascontiguousarray(blocks).view(np.uint64).reshape(n, -1)
     ones = np.uint64(0x0101010101010101)
     cost = np.empty((8, n), np.int32)
     above = np.zeros(n, np.int32)
-    for j in range(7, -1, -1):  # eight counts in a word, none above the eight words of a block
-        lanes = ((words >> np.uint64(j)) & ones).reshape(n, -1, 8).sum(axis=2, dtype=np.uint64)
-        count = ((lanes * ones) >> np.uint64(56)).sum(axis=1, dtype=np.int32)
-        above = 2 * above + count
+    for j in range(7, -1, -1):
+        lanes = np.zeros(n, np.uint64)  # eight counts, none above the eight words of a block
+        for i in range(words.shape[1]):
+            lanes += (words[:, i] >> np.uint64(j)) & ones
+        above = 2 * above + ((lanes * ones) >> np.uint64(56)).astype(np.int32)
         cost[j] = above + size * (1 + j)
-    large = np.flatnonzero((words & np.uint64(0xF0F0F0F0F0F0F0F0)).any(axis=1))
+    at = np.flatnonzero(blocks.ravel() & 0xF0)  # only these can be escapes
+    symbol, whose = blocks.ravel()[at].astype(np.int32), at // size
     for k in range(4):
-        cost[k][large] = COSTS[k][blocks[large]].sum(axis=1, dtype=np.int32)
+        more = np.where(symbol >> k >= ESCAPE, 24 - (symbol >> k) - 1 - k, 0)
+        cost[k] += np.bincount(whose, more, n).astype(np.int32)
     return np.argmin(cost, axis=0)  # the first, so the smallest, of those that tie
 
 
@@ -115,8 +118,7 @@ def words_of(blocks: np.ndarray, ks: np.ndarray, owner: np.ndarray, images: int)
     rest = low[:, 0].astype(np.uint32)
     for j in range(1, 4):
         rest = (rest << width) | low[:, j]
-    first_bits = size.sum(axis=1, dtype=np.int64)
-    total = first_bits + 4 * width
+    total = 4 * width.astype(np.int64) + size[:, 0] + size[:, 1] + size[:, 2] + size[:, 3]
 
     end = np.cumsum(total)
     last = np.searchsorted(owner, np.arange(images), side="right") * fours - 1
