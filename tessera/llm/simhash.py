@@ -32,7 +32,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -57,6 +57,9 @@ NEAR = 64
 CHUNK = 65_536
 #: Rows of one or two numbers up to which they are broadcast.
 FEW_KEYS = 200_000
+#: Keys whose bitmap, 2 to 4 bytes a key, every task holds; and what a key's hash is multiplied by.
+FILTER_KEYS = 4_000_000
+_MARK = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Ring(NamedTuple):
@@ -76,17 +79,17 @@ class Ring(NamedTuple):
     def masks(self) -> list[np.uint64]:
         return [np.uint64(((1 << w) - 1) << s) for w, s in zip(self.widths, self.starts)]
 
-    def keys(self, fp: str) -> list[str]:
-        """SQL for the keys of a fingerprint: the number of the key, then its segments."""
-        seg = [(f"(shiftrightunsigned({fp}, {s}) & {(1 << w) - 1})", w) for w, s in zip(self.widths, self.starts)]
+    def keys(self, fp: np.ndarray) -> np.ndarray:
+        """The keys of fingerprints, a row for each key: its number, then its segments."""
+        seg = [((fp >> np.uint64(s)) & np.uint64((1 << w) - 1), w) for w, s in zip(self.widths, self.starts)]
         out = []
         for i, some in enumerate(combinations(seg, self.equal)):
-            parts, at = [f"shiftleft({i}L, 40)"], 0
-            for text, w in some:
-                parts.append(f"shiftleft({text}, {at})")
+            key, at = np.full(len(fp), i << 40, np.uint64), 0
+            for part, w in some:
+                key |= part << np.uint64(at)
                 at += w
-            out.append(" | ".join(parts))
-        return out
+            out.append(key)
+        return np.array(out)
 
     def viable(self, x: np.ndarray) -> np.ndarray:
         """Whether some chain of segments of the differing bits ``x`` stays within its budgets."""
@@ -260,11 +263,45 @@ def _ball(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(near.view(np.int64)), pa.array(np.full(len(near), f).view(np.int64))], ["z", "fp"])
 
 
+def keyed(df: DataFrame, prints: Column, carry: list[str], ring: Ring, wanted: DataFrame | None = None) -> DataFrame:
+    """key, w (the fingerprint) and ``carry``, longs, for each key of each fingerprint of an array column.
+
+    If there are at most FILTER_KEYS ``wanted`` keys (staged), most rows with other keys are left
+    out by a bitmap of their hashes; whoever asks joins by key all the same.
+    """
+    shared = None
+    if wanted is not None and (n := wanted.count()) <= FILTER_KEYS:
+        bits = max(10, (16 * n).bit_length())
+        found = wanted.select("key").toArrow()["key"].to_numpy().view(np.uint64)
+        mask = np.zeros(1 << bits, bool)
+        mask[(found * _MARK) >> np.uint64(64 - bits)] = True
+        shared = df.sparkSession.sparkContext.broadcast((bits, np.packbits(mask, bitorder="little")))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                batch = whole.slice(start, 2048)
+                x = batch.column(0).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+                others = [batch.column(i + 1).to_numpy() for i in range(len(carry))]
+                for which in range(x.shape[1]):
+                    key = ring.keys(x[:, which]) | np.uint64(which << 48)
+                    at = np.broadcast_to(np.arange(batch.num_rows), key.shape).ravel()
+                    key = key.ravel()
+                    if shared is not None:
+                        bits, mask = shared.value
+                        h = (key * _MARK) >> np.uint64(64 - bits)
+                        keep = np.flatnonzero((mask[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8)) & 1)
+                        key, at = key[keep], at[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(x[at, which].view(np.int64)), *(pa.array(o[at]) for o in others)], ["key", "w", *carry])
+
+    return df.select(prints.alias("prints"), *carry).mapInArrow(rows, ", ".join(f"{c} long" for c in ["key", "w", *carry]))
+
+
 def links(classes: DataFrame, max_group: int = MAX_GROUP, ring: Ring = RING) -> DataFrame:
     """Links a, b between distinct fingerprints that give the components of all links."""
-    keyed = classes.select("fp", F.explode(F.array(*[F.expr(k) for k in ring.keys("fp")])).alias("key"))
-    busy = stage(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
-    sized = stage(join_checked(keyed, busy, "key", rows=FEW_KEYS))
+    own = F.array("fp")
+    busy = stage(keyed(classes, own, [], ring).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    sized = stage(join_checked(keyed(classes, own, [], ring, busy).withColumnRenamed("w", "fp"), busy, "key", rows=FEW_KEYS))
     small = sized.filter(F.col("n") <= max_group).select("key", "fp")
     found = small.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links(ring), "a long, b long")
     large = sized.filter(F.col("n") > max_group).select("fp")
@@ -423,11 +460,9 @@ def word_links(rooted: DataFrame, texts: DataFrame, max_group: int = MAX_GROUP,
     into blocks by hash: each block is a part, and so are any two blocks, nearer ones before
     farther ones. So a task has two blocks at once, and no pair is left out.
     """
-    each = rooted.select("fp", "root", F.posexplode("ws").alias("which", "w"))
-    keyed = each.select("fp", "root", "which", "w", F.explode(F.array(*[F.expr(k) for k in ring.keys("w")])).alias("k"))
-    keyed = keyed.select("fp", "root", "w", F.expr("k | shiftleft(cast(which as bigint), 48)").alias("key"))
-    busy = stage(keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key"))
-    shared = stage(join_checked(keyed.select("key", "w", "fp"), busy, "key", rows=FEW_KEYS))
+    roots_of = keyed(rooted, F.col("ws"), ["root"], ring).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    busy = stage(roots_of.filter("low < high").select("key"))
+    shared = stage(join_checked(keyed(rooted, F.col("ws"), ["fp"], ring, busy), busy, "key", rows=FEW_KEYS))
     sized = shared.join(shared.groupBy("key").agg(F.count("*").alias("n")), "key")
     roots = stage(rooted.select("fp", "root", "row", "words", "sketch"))
     count = f"cast(ceil(n / {max_group}) as bigint)"
