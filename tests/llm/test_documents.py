@@ -530,6 +530,12 @@ def test_brown_over_the_table(spark, sf, texts):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_brown_held_out(spark, sf):
+    rows = QUERIES["op6_brown"](spark, sf.replace("0.001", "0.01")).filter("held_out")
+    n, score, base = rows.agg(F.sum("n_tokens"), F.sum("score"), F.sum("base_score")).first()
+    assert score / n > -3.7 and base / n < -4.1
+
+
 def test_brown_small_head_gives_the_same_base(spark, sf, monkeypatch):
     full = {r.doc_id: (r.base_score, r.n_known) for r in QUERIES["op6_brown"](spark, sf).collect()}
     monkeypatch.setattr(brown, "HEAD", 60)
@@ -818,6 +824,32 @@ def test_keep_one_with_large_groups_takes_the_other_way(spark):
     assert {r.doc_id for r in simhash.keep_one(df).collect()} == {0, 500}
 
 
+def test_bit_tests_pass_similar_texts():
+    """Of altered texts with a similarity of 0.8 or more, by band: words changed here and there, or a passage gone."""
+    rng = random.Random(31)
+    common = [f"c{i}" for i in range(60)]
+    word = lambda: rng.choice(common) if rng.random() < 0.4 else f"w{rng.randrange(10**6)}"
+    passed = collections.defaultdict(list)
+    for _ in range(1500):
+        words = [word() for _ in range(rng.randrange(80, 600))]
+        other = list(words)
+        if rng.random() < 0.5:
+            for at in rng.sample(range(len(other)), max(1, int(rng.random() * 0.04 * len(other)))):
+                other[at] = word()
+        else:
+            size = max(1, int(rng.random() * 0.2 * len(other)))
+            at = rng.randrange(len(other) - size)
+            del other[at : at + size]
+        sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words, other)]
+        similarity = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        if similarity >= 0.8:
+            a, b = (" ".join(w).encode() for w in (words, other))
+            far = (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count()
+            near = min((x ^ y).bit_count() for x, y in zip(simhash.word_fingerprints(a), simhash.word_fingerprints(b)))
+            passed[int(similarity * 20)].append(far <= simhash.MAX_BITS or (near <= simhash.MAX_BITS and far <= simhash.FAR_BITS))
+    assert all(np.mean(p) > 0.88 for p in passed.values()) and np.mean([x for p in passed.values() for x in p]) > 0.95
+
+
 def star(variants: int, changed: int = 4) -> list[tuple[int, str]]:
     """A text of 200 words, and variants each like it but mostly not like each other."""
     rng = random.Random(21)
