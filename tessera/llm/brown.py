@@ -407,6 +407,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     met = met.repartition("h").sortWithinPartitions("h", "word").drop("h")
     none = CLASSES  # no context at all: settled below
     table = stage(met.mapInArrow(_assign(sc.broadcast((classes_of_own, scores, share, none))), "word binary, n long, class int"))
+    discard(vocabulary)
     types = {r["class"]: (r.n, r.v) for r in table.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}  # a row for each class
     of_class, types_of = np.zeros(CLASSES), np.zeros(CLASSES)
     for c, (total, v) in types.items():
@@ -428,7 +429,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     asked = read.select("key", F.posexplode("others").alias("j", "word"))
     found = asked.join(table, "word", "left").groupBy("key").agg(F.collect_list(F.struct("j", "n", "class")).alias("others"))
     resolved = stage(read.drop("others").join(found, "key", "left").select("doc_id", "held_out", "ids", "others"))
-    discard(vocabulary, read)
+    discard(read)
     shared = sc.broadcast((head_class, np.log10(counts + 0.5)))
 
     def class_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -76,7 +76,7 @@ def stage(df: DataFrame, rows: int | None = None) -> DataFrame:
         atexit.register(_remove, spark, base)
     path = f"{base}/{uuid.uuid4().hex}"
     schema = df.schema
-    (df if rows is None else df.coalesce(rows // FILE_ROWS + 1)).write.parquet(path)
+    (df if rows is None else df.coalesce(rows // FILE_ROWS + 1)).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._staged_at = path
     return out
