@@ -57,6 +57,8 @@ NEAR = 64
 CHUNK = 65_536
 #: Rows of one or two numbers up to which they are broadcast.
 FEW_KEYS = 200_000
+#: Rows with a sketch up to which they are broadcast, some 8 MB.
+FEW_WIDE = 40_000
 #: Keys whose bitmap, 2 to 4 bytes a key, every task holds; and what a key's hash is multiplied by.
 FILTER_KEYS = 4_000_000
 _MARK = np.uint64(0x9E3779B97F4A7C15)
@@ -464,7 +466,7 @@ def word_links(rooted: DataFrame, texts: DataFrame, max_group: int = MAX_GROUP,
     busy = stage(roots_of.filter("low < high").select("key"))
     shared = stage(join_checked(keyed(rooted, F.col("ws"), ["fp"], ring, busy), busy, "key", rows=FEW_KEYS))
     sized = shared.join(shared.groupBy("key").agg(F.count("*").alias("n")), "key")
-    roots = stage(rooted.select("fp", "root", "row", "words", "sketch"))
+    roots = stage(rooted.select("fp", "root", "row", "words", "sketch").join(shared.select("fp").distinct(), "fp", "left_semi"))  # no others can link
     count = f"cast(ceil(n / {max_group}) as bigint)"
     dealt = sized.selectExpr("key", "w", "fp", f"{count} as blocks", f"pmod(xxhash64(fp), {count}) as block")
     blocks = sized.selectExpr(f"max({count}) as blocks").first().blocks or 1
@@ -474,7 +476,7 @@ def word_links(rooted: DataFrame, texts: DataFrame, max_group: int = MAX_GROUP,
     def ask(parts: DataFrame, forest: bool) -> None:
         """Verifies the near pairs of ``parts`` and contracts the components of similar ones."""
         nonlocal roots, refuted
-        rows = join_checked(parts, roots.select("fp", "root", "words", "sketch"), "fp").select(*Part._fields)
+        rows = join_checked(parts, roots.select("fp", "root", "words", "sketch"), "fp", rows=FEW_WIDE).select(*Part._fields)
         near = rows.repartition("key", "part").sortWithinPartitions("key", "part", "fp").mapInArrow(_word_pairs(forest, ring), "a long, b long")
         pairs = stage(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         asked = pairs.count()
